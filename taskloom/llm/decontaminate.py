@@ -51,7 +51,7 @@ def contamination_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     base = docs.select(F.monotonically_increasing_id().alias("_rid"), *key, words(ascii_lower(F.col(text)), LETTER_WORDS).alias("_w"))
     kinds = [gram_hashes("_w", 2)] + ([gram_hashes("_w", 1)] if single else [])
     base = base.select("_rid", *key, "_w", F.size("_w").alias("_n"), F.concat(*kinds, F.array(F.lit(_MARK).cast("long"))).alias("_h"))
-    each = base.select("_rid", *key, "_w", "_n", F.posexplode("_h").alias("_p", "opening"))
+    each = base.select("_rid", *key, "_w", "_n", F.posexplode_outer("_h").alias("_p", "opening"))
     near = each.join(openings, "opening").select("_rid", *key, "_w", "_n", "_p", F.explode("lens").alias("len"))
     near = near.withColumn("pos", F.expr("if(_n = 0, 0, _p % _n)")).where(F.col("pos") + F.col("len") <= F.col("_n"))
     near = near.withColumn("h", F.expr("xxhash64(slice(_w, pos + 1, len))"))

@@ -77,7 +77,7 @@ def _hits(docs: DataFrame, text: str, key: list[str], phrases, notices, gram: in
     table, _ = small(grams.unionByName(marker), MOST_GRAMS)
     base = docs.select(F.monotonically_increasing_id().alias("_rid"), *key, words(ascii_lower(F.col(text)), LETTER_WORDS).alias("_w"))
     base = base.select("_rid", *key, "_w", F.size("_w").alias("_n"), F.concat(*[gram_hashes("_w", k) for k in lengths], F.array(F.lit(-7046029254386353131).cast("long"))).alias("_h"))
-    each = base.select("_rid", *key, "_w", "_n", F.posexplode("_h").alias("_p", "h"))
+    each = base.select("_rid", *key, "_w", "_n", F.posexplode_outer("_h").alias("_p", "h"))
     met = each.join(table, "h").withColumn("_pos", F.col("_p") - F.col("_n") * F.col("k_index"))
     met = met.where((F.col("template") == _MARK) | (F.array_join(F.expr("slice(_w, greatest(_pos, 0) + 1, k)"), " ") == F.col("gram")))
     return met.select("_rid", *key, F.col("_n").cast("long").alias("_n"), "template", "label", "exact", "t_len", "k", "t_pos", "_pos", (F.col("_pos") - F.col("t_pos")).alias("_diag"))

@@ -28,7 +28,7 @@ BUCKETS = 1 << 16
 SMOOTH = 1.0
 MOST_LABELS = 200_000
 #: Least mean log-likelihood ratio of documents that stay.
-THRESHOLD = -0.2
+THRESHOLD = -0.7
 LEAST_WORDS = 10
 REPEAT_WINDOW = 5
 REPEAT_PERCENT = 20
@@ -41,9 +41,10 @@ def _grams(buckets: int) -> Column:
 
 
 def _with_grams(docs: DataFrame, text: str, keep: list[str], buckets: int) -> DataFrame:
-    split = docs.select(*keep, F.col(text).alias("_t"), words(F.col(text), SPACED_WORDS).alias("_w"))
+    # the row id keeps the optimizer from copying the word split into what is built on it
+    split = docs.select(*keep, F.monotonically_increasing_id().alias("_rid"), F.col(text).alias("_t"), words(F.col(text), SPACED_WORDS).alias("_w"))
     ends = F.expr("transform(_w, x -> xxhash64(right(x, 3), 3))")
-    hashed = split.select(*keep, "_t", "_w", gram_hashes("_w", 1).alias("_p1"), gram_hashes("_w", 2).alias("_p2"), ends.alias("_p3"))
+    hashed = split.select(*keep, "_rid", "_t", "_w", gram_hashes("_w", 1).alias("_p1"), gram_hashes("_w", 2).alias("_p2"), ends.alias("_p3"))
     return hashed.withColumn("_g", _grams(buckets))
 
 
@@ -52,7 +53,7 @@ def gram_weights(docs: DataFrame, labels: DataFrame, text: str = "text", key: st
     good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & F.col(key).isNotNull()).select(F.col(key).alias("_good")).distinct()
     good = good.orderBy(F.xxhash64("_good"), "_good").limit(most_labels)
     marked = docs.join(F.broadcast(good), F.col(key) == F.col("_good"), "left").withColumn("_target", F.col("_good").isNotNull().cast("long"))
-    each = _with_grams(marked, text, ["_target"], buckets).select("_target", F.explode("_g").alias("bucket"))
+    each = _with_grams(marked, text, ["_target"], buckets).select("_rid", "_target", F.explode_outer("_g").alias("bucket")).where(F.col("bucket").isNotNull() & (F.col("_rid") >= 0))
     counts = cut(each.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("_target").alias("target")), "gram-counts")
     raw, target = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first()
     if not target:
@@ -65,7 +66,7 @@ def gram_weights(docs: DataFrame, labels: DataFrame, text: str = "text", key: st
     return cut(pairs.select(F.col("_s.weight").alias("weights")), "gram-weights")
 
 
-def quality_digest(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", keep: list[str] | None = None, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
+def quality_digest(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", keep: list[str] | None = None, buckets: int = BUCKETS, threshold: float = THRESHOLD, with_row: bool = False) -> DataFrame:
     """One row a document: counts, the rules' verdict, score and whether it is kept."""
     keep = keep or [key]
     table = gram_weights(docs, labels, text, key, buckets).select(F.lit(1).alias("_one"), F.col("weights").alias("_weights"))
@@ -81,6 +82,7 @@ def quality_digest(docs: DataFrame, labels: DataFrame, text: str = "text", key:
     )
     counted = base.select(
         *keep,
+        "_rid",
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.coalesce(F.regexp_count("_t", F.lit(r"[#*$%&|<>]")), F.lit(0)).cast("long").alias("n_symbols"),
@@ -93,11 +95,12 @@ def quality_digest(docs: DataFrame, labels: DataFrame, text: str = "text", key:
     total = F.expr("aggregate(_g, 0D, (acc, b) -> acc + get(_weights, CAST(b AS INT)))")
     scored = counted.withColumn("score", F.when(F.size("_g") > 0, F.round(total / F.size("_g"), 9)).otherwise(0.0))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return scored.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("score") >= threshold)).alias("kept"), "score")
+    return scored.select(*keep, *(["_rid"] if with_row else []), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("score") >= threshold)).alias("kept"), "score")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the rejected ones; all columns stay.  Nothing is joined: columns ride along with the verdict."""
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"))
-    judged = quality_digest(own, labels.withColumn("_key", F.col(key)), "_text", "_key", ["_row"], **options)
-    return judged.where("kept").select("_row.*")
+    judged = quality_digest(own, labels.withColumn("_key", F.col(key)), "_text", "_key", ["_row"], with_row=True, **options)
+    # with the row id in it the filter stays above the folds, which would else be done once more for it
+    return judged.where(F.col("kept") & (F.col("_rid") >= 0)).select("_row.*")
