@@ -104,6 +104,6 @@ def last_averages(t: DataFrame, window: int = 10) -> DataFrame:
 
 def session_summary(t: DataFrame) -> DataFrame:
     return t.groupBy("pid").agg(
-        F.expr("timestampdiff(SECOND, min(ts), max(ts))").alias("duration_s"), F.round(F.avg("cpu_pct"), 5).alias("avg_cpu"), F.max("cpu_pct").alias("peak_cpu"), F.round(F.avg("ram_pct"), 5).alias("avg_ram"), F.max("ram_pct").alias("peak_ram"),
+        F.expr("timestampdiff(SECOND, min(ts), max(ts))").alias("duration_s"), F.round(F.avg("cpu_pct"), 8).alias("avg_cpu"), F.max("cpu_pct").alias("peak_cpu"), F.round(F.avg("ram_pct"), 8).alias("avg_ram"), F.max("ram_pct").alias("peak_ram"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("bottleneck") != "none", F.col("bottleneck")))), ",").alias("bottlenecks"),
     )

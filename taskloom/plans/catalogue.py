@@ -94,7 +94,7 @@ query("I8_throttle_instant", with_("SELECT seq, pid, cap FROM (SELECT *, lag(cap
 query("I9_throttle_latch", with_("SELECT state, count(*) AS n FROM (SELECT coalesce(last_value(sig IGNORE NULLS) OVER (PARTITION BY pid ORDER BY ts, seq ROWS UNBOUNDED PRECEDING), 'NORMAL') AS state FROM y) GROUP BY 1", "telemetry", more=GRP + """, x AS (SELECT *, count(*) OVER w AS n, min(cpu_pct) OVER w AS cl, max(cpu_pct) OVER w AS ch, min(ram_pct) OVER w AS rl, max(ram_pct) OVER w AS rh FROM t WINDOW w AS (PARTITION BY pid ORDER BY ts, seq ROWS 4 PRECEDING)),
  y AS (SELECT *, CASE WHEN (n >= 5 AND (cl > 80 OR rl > 80)) OR bottleneck = 'oom_risk' THEN 'THROTTLED' WHEN n >= 5 AND ch < 60 AND rh < 60 AND bottleneck = 'none' THEN 'NORMAL' END AS sig FROM x)"""))(lambda s, d: tm.throttle_latch(tel(s, d)))
 query("D24_rolling_averages", with_("SELECT pid, round(avg(cpu_pct), 5) AS avg_cpu, max(cpu_pct) AS max_cpu, round(avg(ram_pct), 5) AS avg_ram, max(ram_pct) AS max_ram, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY ts DESC, seq DESC) AS r FROM telemetry) WHERE r <= 10 GROUP BY 1", "telemetry"))(lambda s, d: tm.last_averages(src.telemetry(s, d)))
-query("D16_session_summary", with_("SELECT pid, date_sub('second', min(ts), max(ts)) AS duration_s, round(avg(cpu_pct), 5) AS avg_cpu, max(cpu_pct) AS peak_cpu, round(avg(ram_pct), 5) AS avg_ram, max(ram_pct) AS peak_ram, coalesce(array_to_string(list_sort(list(DISTINCT bottleneck) FILTER (WHERE bottleneck <> 'none')), ','), '') AS bottlenecks FROM t GROUP BY 1", "telemetry", more=GRP))(lambda s, d: tm.session_summary(tel(s, d)))
+query("D16_session_summary", with_("SELECT pid, date_sub('second', min(ts), max(ts)) AS duration_s, round(avg(cpu_pct), 8) AS avg_cpu, max(cpu_pct) AS peak_cpu, round(avg(ram_pct), 8) AS avg_ram, max(ram_pct) AS peak_ram, coalesce(array_to_string(list_sort(list(DISTINCT bottleneck) FILTER (WHERE bottleneck <> 'none')), ','), '') AS bottlenecks FROM t GROUP BY 1", "telemetry", more=GRP))(lambda s, d: tm.session_summary(tel(s, d)))
 query("D17_run_metrics", "SELECT user_id AS run_id, event_type AS metric, min(value) AS lo, max(value) AS hi, arg_max(value, event_id) AS last, count(*) AS n FROM events GROUP BY 1, 2")(lambda s, d: src.table(s, d, "events").groupBy(F.col("user_id").alias("run_id"), F.col("event_type").alias("metric")).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.max_by("value", "event_id").alias("last"), F.count("*").alias("n")))
 query("D19_stage_summary", with_("SELECT session % 10 AS run, count(*) FILTER (WHERE status = 'COMPLETED') AS completed, count(*) FILTER (WHERE status = 'FAILED') AS failed, count(*) FILTER (WHERE dispatch_at IS NULL) AS cached, round(sum(defer_count), 3)::DOUBLE AS total FROM tasks GROUP BY 1", "tasks"))(
     lambda s, d: src.tasks(s, d).groupBy((F.col("session") % 10).alias("run")).agg(F.count_if(F.col("status") == "COMPLETED").alias("completed"), F.count_if(F.col("status") == "FAILED").alias("failed"), F.count_if(F.col("dispatch_at").isNull()).alias("cached"), F.sum("defer_count").cast("double").alias("total")))
