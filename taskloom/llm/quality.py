@@ -6,7 +6,7 @@ score is the mean over its n-grams of log P(target) - log P(raw), so it doesn't
 whose score is under a fixed threshold are dropped.
 
 Counting the corpus aggregates by bucket before the shuffle, so what moves is at most ``buckets`` rows a
-task.  Scoring joins one row, the table of ``buckets`` weights (a size fixed by parameter), and needs no
+task.  Scoring takes the ``buckets`` weights (a size fixed by parameter) as one scalar, and needs no join and no
 shuffle at all: each document is folded where it was read.
 
 Trusted labels: the ``MOST_LABELS`` labelled ids of smallest hash at most, so that their table may be
@@ -69,7 +69,8 @@ def gram_weights(docs: DataFrame, labels: DataFrame, text: str = "text", key: st
 def quality_digest(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", keep: list[str] | None = None, buckets: int = BUCKETS, threshold: float = THRESHOLD, with_row: bool = False) -> DataFrame:
     """One row a document: counts, the rules' verdict, score and whether it is kept."""
     keep = keep or [key]
-    table = gram_weights(docs, labels, text, key, buckets).select(F.lit(1).alias("_one"), F.col("weights").alias("_weights"))
+    # one value, fixed in size, held by the plan itself: no join, and no copy of it in each row
+    weights = gram_weights(docs, labels, text, key, buckets).scalar()
     base = _with_grams(docs, text, keep, buckets).withColumn("_h", gram_hashes("_w", REPEAT_WINDOW)).withColumn("_h", F.expr(f"slice(_h, 1, greatest(size(_h) - {REPEAT_WINDOW - 1}, 0))"))
     base = base.withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     repeated = F.expr(
@@ -89,9 +90,8 @@ def quality_digest(docs: DataFrame, labels: DataFrame, text: str = "text", key:
         F.coalesce(F.size("_lines") - F.size(F.array_distinct("_lines")), F.lit(0)).cast("long").alias("n_dup_lines"),
         repeated.alias("n_repeat_words"),
         "_g",
-        F.lit(1).alias("_one"),
+        weights.alias("_weights"),
     )
-    counted = counted.join(F.broadcast(table), "_one")
     total = F.expr("aggregate(_g, 0D, (acc, b) -> acc + get(_weights, CAST(b AS INT)))")
     scored = counted.withColumn("score", F.when(F.size("_g") > 0, F.round(total / F.size("_g"), 9)).otherwise(0.0))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
