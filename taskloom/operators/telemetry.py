@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BY = W.partitionBy("pid").orderBy("ts", "seq")
+def by_pid():
+    """Rows of one process in order of time (made on call: windows need a session)."""
+    return W.partitionBy("pid").orderBy("ts", "seq")
 
 
 def anomalies(t: DataFrame, inclusive: bool = False, value: str = "cpu_pct", window: int = 30, least: int = 10, sigmas: float = 2.0) -> DataFrame:
     """Rows over ``sigmas`` sample deviations off the mean of earlier rows (``inclusive``: of rows up to this one)."""
-    w = BY.rowsBetween(-(window - 1), 0) if inclusive else BY.rowsBetween(-window, -1)
+    w = by_pid().rowsBetween(-(window - 1), 0) if inclusive else by_pid().rowsBetween(-window, -1)
     x = t.withColumns({"_n": F.count(value).over(w), "mean": F.avg(value).over(w), "sd": F.stddev_samp(value).over(w)})
     hit = (F.col("_n") >= least) & (F.col("sd") > 0) & (F.abs(F.col(value) - F.col("mean")) > sigmas * F.col("sd"))
     return x.where(hit).select("seq", "pid", F.round("mean", 5).alias("mean"), F.round(F.col("mean") + sigmas * F.col("sd"), 5).alias("threshold"))
@@ -20,25 +22,25 @@ def anomalies(t: DataFrame, inclusive: bool = False, value: str = "cpu_pct", win
 def streak(t: DataFrame, over: float = 85.0, least: int = 3) -> DataFrame:
     """Length of the run of rows over a level that ends here, and whether it is sustained."""
     high = F.col("cpu_pct") > over
-    x = t.withColumn("_grp", F.sum(F.when(high, 0).otherwise(1)).over(BY))
+    x = t.withColumn("_grp", F.sum(F.when(high, 0).otherwise(1)).over(by_pid()))
     n = F.sum(F.when(high, 1).otherwise(0)).over(W.partitionBy("pid", "_grp").orderBy("ts", "seq"))
     return x.select("*", n.alias("streak"), (n >= least).alias("sustained"))
 
 
 def pressure(t: DataFrame, high: float = 80.0, low: float = 60.0, n: int = 5) -> DataFrame:
-    w = BY.rowsBetween(-(n - 1), 0)
+    w = by_pid().rowsBetween(-(n - 1), 0)
     full = F.count("*").over(w) >= n
     return t.select("*", (full & (F.min("cpu_pct").over(w) > high)).alias("cpu_high"), (full & (F.max("cpu_pct").over(w) < low)).alias("cpu_low"), (full & (F.min("ram_pct").over(w) > high)).alias("ram_high"), (full & (F.max("ram_pct").over(w) < low)).alias("ram_low"))
 
 
 def rolling(t: DataFrame, n: int = 10) -> DataFrame:
-    w = BY.rowsBetween(-(n - 1), 0)
+    w = by_pid().rowsBetween(-(n - 1), 0)
     return t.select("seq", "pid", F.round(F.avg("cpu_pct").over(w), 5).alias("mean"), F.max("cpu_pct").over(w).alias("max"))
 
 
 def counter_rate(t: DataFrame, value: str = "counter") -> DataFrame:
     """Increase a second of a counter; rows that don't advance time give 0 and are not compared with."""
-    upto = F.max("ts").over(BY.rowsBetween(W.unboundedPreceding, -1))
+    upto = F.max("ts").over(by_pid().rowsBetween(W.unboundedPreceding, -1))
     x = t.withColumn("_stale", F.coalesce(F.col("ts") <= upto, F.lit(False)))
     by = W.partitionBy("pid", "_stale").orderBy("ts", "seq")
     dt = F.expr("timestampdiff(MICROSECOND, _pt, ts)") / 1e6
@@ -62,7 +64,7 @@ def bottleneck_s() -> Column:
 
 def transitions(t: DataFrame, state: str = "bottleneck") -> DataFrame:
     """Rows at which the state changes; it starts as none."""
-    before = F.lag(state, 1, "none").over(BY)
+    before = F.lag(state, 1, "none").over(by_pid())
     return t.withColumn("_b", before).where(F.col("_b") != F.col(state)).select("seq", "pid", F.col("_b").alias("old"), F.col(state).alias("new"), F.when(F.col(state) != "none", "DETECTED").otherwise("CLEARED").alias("event"))
 
 
@@ -85,14 +87,14 @@ def throttle_instant(t: DataFrame) -> DataFrame:
     on = (F.col("cpu_pct") > 85) | F.col("bottleneck").isin("oom_risk", "cpu_bound")
     cap = F.when(on, 1).otherwise(3)
     x = t.withColumn("cap", cap)
-    return x.withColumn("_p", F.lag("cap", 1, 3).over(BY)).where(F.col("_p") != F.col("cap")).select("seq", "pid", "cap")
+    return x.withColumn("_p", F.lag("cap", 1, 3).over(by_pid())).where(F.col("_p") != F.col("cap")).select("seq", "pid", "cap")
 
 
 def throttle_latch(t: DataFrame) -> DataFrame:
     """Set when cpu or ram stay high or memory runs out, reset when both stay low and nothing is wrong; else unchanged."""
     x = pressure(t)
     signal = F.when(F.col("cpu_high") | F.col("ram_high") | (F.col("bottleneck") == "oom_risk"), "THROTTLED").when(F.col("cpu_low") & F.col("ram_low") & (F.col("bottleneck") == "none"), "NORMAL")
-    state = F.coalesce(F.last(signal, ignorenulls=True).over(BY.rowsBetween(W.unboundedPreceding, 0)), F.lit("NORMAL"))
+    state = F.coalesce(F.last(signal, ignorenulls=True).over(by_pid().rowsBetween(W.unboundedPreceding, 0)), F.lit("NORMAL"))
     return x.withColumn("_s", state).groupBy("_s").agg(F.count("*").alias("n")).select(F.col("_s").alias("state"), "n")
 
 

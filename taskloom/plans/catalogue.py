@@ -79,7 +79,7 @@ query("E3_cpu_streak", with_("SELECT seq, pid, streak::BIGINT AS streak, streak
 query("E4_sustained_pressure", with_("SELECT seq, pid, n >= 5 AND lo > 80 AS cpu_high, n >= 5 AND hi < 60 AS cpu_low FROM x", "telemetry", more="x AS (SELECT *, count(*) OVER w AS n, min(cpu_pct) OVER w AS lo, max(cpu_pct) OVER w AS hi FROM telemetry WINDOW w AS (PARTITION BY pid ORDER BY ts, seq ROWS 4 PRECEDING))"))(lambda s, d: tm.pressure(src.telemetry(s, d)).select("seq", "pid", "cpu_high", "cpu_low"))
 query("E5_rolling_10", with_("SELECT seq, pid, round(avg(cpu_pct) OVER w, 5) AS mean, max(cpu_pct) OVER w AS max FROM telemetry WINDOW w AS (PARTITION BY pid ORDER BY ts, seq ROWS 9 PRECEDING)", "telemetry"))(lambda s, d: tm.rolling(src.telemetry(s, d)))
 _ctr = "c AS (SELECT *, sum(floor(cpu_pct)) OVER (PARTITION BY pid ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS counter, coalesce(ts <= max(ts) OVER (PARTITION BY pid ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stale FROM telemetry), p AS (SELECT *, lag(counter) OVER w AS pv, lag(ts) OVER w AS pt FROM c WINDOW w AS (PARTITION BY pid, stale ORDER BY ts, seq))"
-query("E6_counter_rate", with_("SELECT seq, pid, round(CASE WHEN stale OR pt IS NULL THEN 0.0 ELSE greatest(0.0, counter - pv) / (date_diff('microsecond', pt, ts) / 1e6) END, 6)::DOUBLE AS rate FROM p", "telemetry", more=_ctr))(lambda s, d: tm.counter_rate(src.telemetry(s, d).withColumn("counter", F.sum(F.floor("cpu_pct").cast("double")).over(tm.BY.rowsBetween(W.unboundedPreceding, 0)))))
+query("E6_counter_rate", with_("SELECT seq, pid, round(CASE WHEN stale OR pt IS NULL THEN 0.0 ELSE greatest(0.0, counter - pv) / (date_diff('microsecond', pt, ts) / 1e6) END, 6)::DOUBLE AS rate FROM p", "telemetry", more=_ctr))(lambda s, d: tm.counter_rate(src.telemetry(s, d).withColumn("counter", F.sum(F.floor("cpu_pct").cast("double")).over(tm.by_pid().rowsBetween(W.unboundedPreceding, 0)))))
 query("E8_bottleneck_transitions", with_("SELECT seq, pid, old, bottleneck AS new, CASE WHEN bottleneck <> 'none' THEN 'DETECTED' ELSE 'CLEARED' END AS event FROM (SELECT *, lag(bottleneck, 1, 'none') OVER (PARTITION BY pid ORDER BY ts, seq) AS old FROM t) WHERE old <> bottleneck", "telemetry", more=GRP))(lambda s, d: tm.transitions(tel(s, d)))
 query("L13_bottleneck_a", with_("SELECT bottleneck, count(*) AS n FROM t GROUP BY 1", "telemetry", more=GRP))(lambda s, d: tel(s, d).groupBy("bottleneck").agg(F.count("*").alias("n")))
 query("L14_bottleneck_s", with_("SELECT CASE WHEN ram_pct >= 92 OR swap_pct >= 40 THEN 'oom_risk' WHEN cpu_pct >= 90 THEN 'cpu_bound' WHEN disk_pct >= 70 AND cpu_pct < 50 THEN 'io_bound' WHEN ram_pct >= 80 AND cpu_pct < 60 THEN 'memory_bound' ELSE 'none' END AS bottleneck, count(*) AS n FROM telemetry GROUP BY 1", "telemetry"))(lambda s, d: src.telemetry(s, d).groupBy(tm.bottleneck_s().alias("bottleneck")).agg(F.count("*").alias("n")))
