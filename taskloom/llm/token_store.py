@@ -15,10 +15,8 @@ entry each, told apart by their occurrence within the shard; ties go by text has
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .arrow import arrow_schema, slices
 from .scratch import fresh_path, small
+from .tokenizers_public import byte_model
 
 END = 2
 #: Ids in a block before it is closed.
@@ -119,30 +118,6 @@ def unpack_index(data: bytes) -> tuple[PerfectHash, np.ndarray]:
     return PerfectHash(sizes, bits, prints), np.frombuffer(data, np.int64, 2 * n, at + 4 * int(n)).reshape(2, n)
 
 
-@lru_cache(maxsize=1)
-def _library(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    made = Tokenizer.from_file(path)
-    made.no_truncation()
-    made.no_padding()
-    return made
-
-
-def _encoded(path: str, texts: list[str]) -> Iterator[np.ndarray]:
-    """Ids of each text by the library; the library's objects are large, so few are held at once."""
-    lib = _library(path)
-    part, size = [], 0
-    for i, t in enumerate(texts):
-        part.append(t)
-        size += len(t)
-        if size > 300_000 or i + 1 == len(texts):
-            for e in lib.encode_batch(part, add_special_tokens=False):
-                yield np.array(e.ids, dtype=np.uint32)
-            part, size = [], 0
-
-
 def write_blocks(docs: DataFrame, vocabulary: str, path: str, text: str = "text", key: str = "doc_id", end: int = END, n_shards: int | None = None) -> None:
     """Encodes ``docs`` in ascending order of ``key`` and writes blocks to ``path``."""
     spark = docs.sparkSession
@@ -155,7 +130,7 @@ def write_blocks(docs: DataFrame, vocabulary: str, path: str, text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         shard = TaskContext.get().partitionId()
-        width = 2 if _library(vocabulary).get_vocab_size() <= 65536 and end < 65536 else 4
+        width = 2 if byte_model(vocabulary).lib.get_vocab_size() <= 65536 and end < 65536 else 4
         ids, keys, null, seen = [], [], [], []
         last, again, block, held = object(), 0, 0, 0
 
@@ -170,7 +145,8 @@ def write_blocks(docs: DataFrame, vocabulary: str, path: str, text: str = "text"
 
         for batch in batches:
             for part, texts in slices(batch, "_text"):
-                for k, got in zip(part.column("_key").to_pylist(), _encoded(vocabulary, texts)):
+                for k, made in zip(part.column("_key").to_pylist(), byte_model(vocabulary).encode(texts)):
+                    got = np.frombuffer(made, dtype="<u4")
                     again = again + 1 if k == last else 0
                     last = k
                     ids.append(np.append(got, np.uint32(end)))

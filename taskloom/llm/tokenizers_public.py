@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import regex
@@ -22,14 +22,16 @@ CACHE = 500_000
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 CHUNK = 400_000  # symbols encoded at once
+CUT = re.compile(r"\s*\S+|\s+")
+ODD = re.compile("[\x1c-\x1f]")
 
 
-def _chunks(words: list[str]):
+def _chunks(words: list[str], chunk: int = CHUNK):
     part, size = [], 0
     for w in words:
         part.append(w)
         size += len(w)
-        if size >= CHUNK:
+        if size >= chunk:
             yield part
             part, size = [], 0
     if part:
@@ -160,6 +162,8 @@ class ByteModel:
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         if any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in spec.get("added_tokens", [])):
             raise ValueError("special tokens that take white space aren't supported")
+        if any(re.search(r"\s", t) for t in self.special):
+            raise ValueError("special tokens with white space aren't supported")
         shown = self._alphabet()
         plain = sorted((i, t) for t, i in vocab.items() if t not in self.special)
         index = {t: k for k, (_, t) in enumerate(plain)}
@@ -175,7 +179,28 @@ class ByteModel:
         self.split = regex.compile(SPLIT)
         self.apart = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.cache: dict[str, int] = {}
-        self.space = regex.compile(r"\s ")
+        self.ids_of: dict[str, bytes] = {}
+        self.path = path
+
+    @cached_property
+    def lib(self):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.path)
+        made.no_truncation()
+        made.no_padding()
+        return made
+
+    @cached_property
+    def n_bytes(self) -> np.ndarray:
+        """Bytes of text that each id stands for."""
+        out = np.zeros(self.lib.get_vocab_size(), dtype=np.int64)
+        for t, i in self.lib.get_vocab().items():
+            out[i] = len(t.encode()) if t in self.special else len(t)
+        return out
 
     @staticmethod
     def _alphabet() -> dict[str, str]:
@@ -198,24 +223,60 @@ class ByteModel:
         return word.encode().decode("latin-1")
 
     def parts(self, texts: list[str]) -> list[list[str]]:
-        """Each text cut before single spaces; texts with white space before a space stay whole."""
-        return [[t] if self.space.search(t) or "\x00 " in t else t.replace(" ", "\x00 ").split("\x00") if "\x00" not in t else [t] for t in texts]
+        """Each text cut before white space that follows something else: no word of the split pattern reaches across.
 
-    def counts(self, texts: list[str]) -> list[int]:
-        cut = self.parts(texts)
-        cache = self.cache
+        Texts with information separators stay whole (Python takes them for white space, the pattern doesn't).
+        """
+        return [[t] if ODD.search(t) else CUT.findall(t) for t in texts]
+
+    def learn(self, cut: list[list[str]], cache: dict, work) -> list[str]:
+        """Puts what ``work`` makes of the parts in ``cut`` into ``cache``; returns the long new ones, which are rarely met again, to be dropped after use."""
         if len(cache) > CACHE:
             cache.clear()
         new = set()
         for c in cut:
             new.update(c)
         new.difference_update(cache)
-        whole = [w for w in new if len(w) > 200]  # rarely met again: counted, not kept
-        held = self._count(whole)
-        new.difference_update(whole)
-        words = list(new)
-        cache.update(self._count(words))
-        return [sum(map(cache.__getitem__, c)) if all(len(w) <= 200 for w in c) else sum(held[w] if len(w) > 200 else cache[w] for w in c) for c in cut]
+        cache.update(work(list(new)))
+        return [w for w in new if len(w) > 200]
+
+    def counts(self, texts: list[str]) -> list[int]:
+        cut = self.parts(texts)
+        long = self.learn(cut, self.cache, self._count)
+        out = [sum(map(self.cache.__getitem__, c)) for c in cut]
+        for w in long:
+            del self.cache[w]
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers: the library encodes each new part, special strings included."""
+        cut = self.parts(texts)
+        long = self.learn(cut, self.ids_of, self._library_ids)
+        out = [b"".join(map(self.ids_of.__getitem__, c)) for c in cut]
+        for w in long:
+            del self.ids_of[w]
+        return out
+
+    def _library_ids(self, words: list[str]) -> dict[str, bytes]:
+        """The library's ids of each word, many at a call: words that open with white space and don't end with it cut the same way when put together."""
+        out: dict[str, bytes] = {}
+        together = [w for w in words if w and w[0] in " \t\n\r" and not w[-1].isspace()]
+        for part in _chunks(together, 100_000):
+            ids = np.array(self.lib.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.cumsum(self.n_bytes[ids])
+            want = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in part])
+            at = np.searchsorted(ends, want)
+            if at[-1] >= len(ends) or (ends[at] != want).any():
+                raise ValueError("the vocabulary joins words")
+            raw, place = ids.tobytes(), 0
+            for w, end in zip(part, ((at + 1) * 4).tolist()):
+                out[w] = raw[place:end]
+                place = end
+        alone = [w for w in words if w not in out]
+        for part in _chunks(alone, 100_000):
+            for w, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False)):
+                out[w] = np.array(e.ids, dtype="<u4").tobytes()
+        return out
 
     def _count(self, words: list[str]) -> dict[str, int]:
         out: dict[str, int] = {}
