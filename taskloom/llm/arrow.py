@@ -12,18 +12,22 @@ from pyspark.sql import DataFrame
 HOLD = 4_000_000
 
 
-def slices(batch: pa.RecordBatch, text: str, hold: int = HOLD) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """``batch`` in pieces of about ``hold`` bytes of text, with the texts; null becomes empty."""
-    values = batch.column(text)
-    sizes = [0 if n is None else n for n in pa.compute.binary_length(values).to_pylist()]
+def pieces(batch: pa.RecordBatch, text: str, hold: int = HOLD) -> Iterator[pa.RecordBatch]:
+    """``batch`` in pieces of about ``hold`` bytes of text (a longer single text alone)."""
     begin = held = 0
-    for i, n in enumerate(sizes):
+    for i, n in enumerate(pa.compute.binary_length(batch.column(text)).fill_null(0).to_pylist()):
         if held and held + n > hold:
-            yield batch.slice(begin, i - begin), [x or "" for x in values.slice(begin, i - begin).to_pylist()]
+            yield batch.slice(begin, i - begin)
             begin, held = i, 0
         held += n + 1
-    if begin < len(sizes):
-        yield batch.slice(begin), [x or "" for x in values.slice(begin).to_pylist()]
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
+def slices(batch: pa.RecordBatch, text: str, hold: int = HOLD) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The pieces of ``batch``, with the texts; null becomes empty."""
+    for part in pieces(batch, text, hold):
+        yield part, [x or "" for x in part.column(text).to_pylist()]
 
 
 def arrow_schema(ddl: str) -> pa.Schema:

@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .arrow import arrow_schema, slices
+from .arrow import arrow_schema, pieces
 from .scratch import fresh_path, small
 from .tokenizers_public import byte_model
 
 END = 2
 #: Ids in a block before it is closed.
 BLOCK = 2_000_000
+#: Bytes of text encoded together.
+HOLD = 16_000_000
 LEVELS = 48
 #: Block starts are broadcast up to so many blocks.
 MOST_BLOCKS = 200_000
@@ -144,9 +146,10 @@ def write_blocks(docs: DataFrame, vocabulary: str, path: str, text: str = "text"
             return pa.RecordBatch.from_pylist([dict(zip(schema.names, row))], schema=schema)
 
         for batch in batches:
-            for part, texts in slices(batch, "_text"):
-                for k, made in zip(part.column("_key").to_pylist(), byte_model(vocabulary).encode(texts)):
-                    got = np.frombuffer(made, dtype="<u4")
+            for part in pieces(batch, "_text", HOLD):
+                made, where = byte_model(vocabulary).encode(part.column("_text"))
+                for k, a, b in zip(part.column("_key").to_pylist(), where[:-1].tolist(), where[1:].tolist()):
+                    got = made[a:b]
                     again = again + 1 if k == last else 0
                     last = k
                     ids.append(np.append(got, np.uint32(end)))

@@ -11,6 +11,7 @@ import re
 from functools import cached_property, lru_cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 from .prefix_bpe import PrefixBpe
@@ -26,12 +27,22 @@ CUT = re.compile(r"\s*\S+|\s+")
 ODD = re.compile("[\x1c-\x1f]")
 
 
-def _chunks(words: list[str], chunk: int = CHUNK):
+def text_buffers(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets (from 0) and bytes of a string or binary array without nulls."""
+    wide = pa.types.is_large_string(values.type) or pa.types.is_large_binary(values.type)
+    _, offsets, data = values.buffers()
+    if not len(values) or data is None:
+        return np.zeros(len(values) + 1, dtype=np.int64), np.zeros(0, dtype=np.uint8)
+    where = np.frombuffer(offsets, np.int64 if wide else np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    return where - where[0], np.frombuffer(data, np.uint8)[where[0] : where[-1]]
+
+
+def _chunks(words: list[str]):
     part, size = [], 0
     for w in words:
         part.append(w)
         size += len(w)
-        if size >= chunk:
+        if size >= CHUNK:
             yield part
             part, size = [], 0
     if part:
@@ -179,7 +190,6 @@ class ByteModel:
         self.split = regex.compile(SPLIT)
         self.apart = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.cache: dict[str, int] = {}
-        self.ids_of: dict[str, bytes] = {}
         self.path = path
 
     @cached_property
@@ -248,35 +258,66 @@ class ByteModel:
             del self.cache[w]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers: the library encodes each new part, special strings included."""
-        cut = self.parts(texts)
-        long = self.learn(cut, self.ids_of, self._library_ids)
-        out = [b"".join(map(self.ids_of.__getitem__, c)) for c in cut]
-        for w in long:
-            del self.ids_of[w]
-        return out
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of all texts (an Arrow string array), one after the other, and where each text's ids begin.
 
-    def _library_ids(self, words: list[str]) -> dict[str, bytes]:
-        """The library's ids of each word, many at a call: words that open with white space and don't end with it cut the same way when put together."""
-        out: dict[str, bytes] = {}
-        together = [w for w in words if w and w[0] in " \t\n\r" and not w[-1].isspace()]
-        for part in _chunks(together, 100_000):
-            ids = np.array(self.lib.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.cumsum(self.n_bytes[ids])
-            want = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in part])
-            at = np.searchsorted(ends, want)
-            if at[-1] >= len(ends) or (ends[at] != want).any():
+        Texts are cut, as bytes, before an ASCII space, tab or line end that follows something that is surely not white
+        space: no word of the split pattern and no special string reaches across.  Distinct parts are encoded once, most
+        of them put together in long texts, and all texts' ids are gathered from theirs.
+        """
+        where, data = text_buffers(texts)
+        n = len(data)
+        white = (data == 32) | (data == 9) | (data == 10) | (data == 13)
+        cut = np.zeros(n + 1, dtype=bool)
+        if n > 1:
+            sure = ((data > 32) & (data < 127)) | (data >= 128)
+            # two- and three-byte white space characters begin with these
+            sure[1:] &= (data[1:] < 128) | (data[:-1] != 0xC2)
+            sure[2:] &= (data[2:] < 128) | ((data[:-2] < 0xE1) | (data[:-2] > 0xE3))
+            cut[1:n] = white[1:] & sure[:-1]
+        cut[where] = True
+        cut[n] = False
+        starts = np.append(np.flatnonzero(cut), n)
+        parts = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
+        index, known = parts.indices.to_numpy(), parts.dictionary
+        p_where, p_data = text_buffers(known)
+        if len(known) and p_where[-1] == 0:
+            raise ValueError("a part is empty")
+        first, last = p_data[p_where[:-1]], p_data[p_where[1:] - 1]
+        joins = np.isin(first, [32, 9, 10, 13]) & (last > 32) & (last < 127)
+        size = np.zeros(len(known), dtype=np.int64)
+        begin = np.zeros(len(known), dtype=np.int64)
+        flat, held = [], 0
+        # parts that can stand together
+        some = np.flatnonzero(joins)
+        j_where, j_data = text_buffers(known.filter(pa.array(joins)))
+        at = 0
+        while at < len(some):
+            to = max(at + 1, int(np.searchsorted(j_where, j_where[at] + 200_000)) - 1)
+            to = min(to, len(some))
+            (made,) = self.lib.encode_batch_fast([j_data[j_where[at] : j_where[to]].tobytes().decode()], add_special_tokens=False)
+            ids = np.array(made.ids, dtype="<u4")
+            ends, want = np.cumsum(self.n_bytes[ids]), j_where[at + 1 : to + 1] - j_where[at]
+            upto = np.searchsorted(ends, want)
+            if upto[-1] >= len(ends) or (ends[upto] != want).any():
                 raise ValueError("the vocabulary joins words")
-            raw, place = ids.tobytes(), 0
-            for w, end in zip(part, ((at + 1) * 4).tolist()):
-                out[w] = raw[place:end]
-                place = end
-        alone = [w for w in words if w not in out]
-        for part in _chunks(alone, 100_000):
-            for w, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False)):
-                out[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return out
+            size[some[at:to]] = np.diff(upto + 1, prepend=0)
+            begin[some[at:to]] = held + np.concatenate([[0], upto[:-1] + 1])
+            flat.append(ids)
+            held += len(ids)
+            at = to
+        alone = np.flatnonzero(~joins)
+        for at in range(0, len(alone), 1000):
+            some = alone[at : at + 1000]
+            for k, made in zip(some, self.lib.encode_batch_fast([x.decode() for x in known.take(pa.array(some)).to_pylist()], add_special_tokens=False)):
+                size[k], begin[k] = len(made.ids), held
+                flat.append(np.array(made.ids, dtype="<u4"))
+                held += len(made.ids)
+        pool = np.concatenate(flat) if flat else np.zeros(0, dtype="<u4")
+        lengths = size[index]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = pool[np.repeat(begin[index] - ends[:-1], lengths) + np.arange(ends[-1])]
+        return ids, ends[np.searchsorted(starts, where)] if n else np.zeros(len(where), dtype=np.int64)
 
     def _count(self, words: list[str]) -> dict[str, int]:
         out: dict[str, int] = {}
