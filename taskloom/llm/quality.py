@@ -102,5 +102,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     """``docs`` without the rejected ones; all columns stay.  Nothing is joined: columns ride along with the verdict."""
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"))
     judged = quality_digest(own, labels.withColumn("_key", F.col(key)), "_text", "_key", ["_row"], with_row=True, **options)
-    # with the row id in it the filter stays above the folds, which would else be done once more for it
-    return judged.where(F.col("kept") & (F.col("_rid") >= 0)).select("_row.*")
+    # a fresh row id beside the verdict keeps the filter above the folds: pushed below, it would hold them inlined, each as often as it is named
+    return judged.withColumn("_last", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("_last") >= 0)).select("_row.*")
