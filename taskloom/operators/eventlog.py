@@ -90,3 +90,11 @@ def backpressure(events: DataFrame, most: int = 5) -> DataFrame:
     run = F.sum("_first").over(W.partitionBy("session").orderBy("event_at", "task_id"))
     d = d.withColumn("active", run)
     return d.select("session", "task_id", "active", F.when(F.col("defer_count") >= 10, "task_backpressure").when(F.col("active") >= most, "system_overload").otherwise("none").alias("signal"))
+
+
+def run_lifecycle(tasks: DataFrame) -> DataFrame:
+    """Tasks of a session as runs: a new one aborts the one still running."""
+    x = tasks.withColumn("_next", F.lead("queued_at").over(W.partitionBy("session").orderBy("queued_at", "task_id")))
+    aborted = F.col("_next").isNotNull() & (F.col("complete_at").isNull() | (F.col("_next") < F.col("complete_at")))
+    x = x.withColumns({"ended_at": F.when(aborted, F.col("_next")).otherwise(F.col("complete_at")), "run_status": F.when(aborted, "ABORTED").when(F.col("complete_at").isNull(), "RUNNING").when(F.col("status") == "FAILED", "FAILED").otherwise("COMPLETED")})
+    return x.select("task_id", "session", "ended_at", "run_status", F.when(F.col("ended_at").isNotNull(), seconds("queued_at", "ended_at")).alias("duration_s"))

@@ -81,3 +81,22 @@ def milestones(selected: DataFrame, weeks: int) -> DataFrame:
     t = selected.select("tier").distinct()
     k, each = F.row_number().over(W.orderBy("tier")), F.greatest(F.lit(1), F.floor(F.lit(weeks) / F.count("*").over(W.partitionBy(F.lit(1)))))
     return t.select("tier", ((k - 1) * each + 1).cast("int").alias("week_start"), F.least(F.lit(weeks), k * each).cast("int").alias("week_end"))
+
+
+def weekly(selected: DataFrame, weeks: int) -> DataFrame:
+    """The papers of each week: every tier's, in order, cut evenly over its weeks; what doesn't divide is left out."""
+    n = selected.groupBy("tier").agg(F.count("*").alias("_n"))
+    span = milestones(selected, weeks).join(n, "tier").withColumn("_weeks", F.col("week_end") - F.col("week_start") + 1)
+    each = span.select("tier", "week_start", "_weeks", F.greatest(F.lit(1), F.floor(F.col("_n") / F.greatest(F.lit(1), F.col("_weeks")))).alias("_each"))
+    x = selected.join(F.broadcast(each), "tier").withColumn("_k", F.floor((F.col("rank") - 1) / F.col("_each")))
+    return x.where(F.col("_k") < F.col("_weeks")).select((F.col("week_start") + F.col("_k")).cast("int").alias("week"), "tier", "paper_id")
+
+
+def title_match(papers: DataFrame, titles: list[str], most: int = 5, head: int = 30) -> DataFrame:
+    """First paper by id whose text holds the head of each title, for the first ``most`` titles that one holds.
+
+    One aggregation with a column a title: no join."""
+    text = F.lower("text")
+    found = papers.agg(*[F.min(F.when(F.contains(text, F.lit(x.lower()[:head])), F.col("paper_id"))).alias(f"_{i}") for i, x in enumerate(titles)])
+    rows = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(x).alias("title"), F.col(f"_{i}").alias("paper_id")) for i, x in enumerate(titles)])
+    return found.select(F.inline(F.slice(F.filter(rows, lambda r: r["paper_id"].isNotNull()), 1, most)))

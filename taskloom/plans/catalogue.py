@@ -192,3 +192,11 @@ query("E10_M9_shortlist", with_("SELECT id, gap_id FROM (SELECT * FROM hc QUALIF
 query("A4_H7_stage_keys", "SELECT doc_id, substr(sha256(lower(trim(source)) || '::' || lang), 1, 16) AS stage_key, substr(md5(source || '|' || upper(lang)), 1, 12) AS query_key FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")(
     lambda s, d: src.table(s, d, "documents").where("source IS NOT NULL AND lang IS NOT NULL").select("doc_id", fx.stage_key(F.col("source"), F.col("lang")).alias("stage_key"), F.substring(F.md5(F.concat_ws("|", "source", F.upper("lang"))), 1, 12).alias("query_key")))
 query("H_strings", "SELECT page_id, lower(url) AS low, split_part(url, '/', 3) AS host, substr(replace(html, chr(10), ' '), 1, 40) AS head FROM pages")(lambda s, d: src.table(s, d, "pages").select("page_id", F.lower("url").alias("low"), F.split_part("url", F.lit("/"), F.lit(3)).alias("host"), F.substring(F.replace("html", F.lit("\n"), F.lit(" ")), 1, 40).alias("head")))
+
+_week = _sel + """, m AS (SELECT tier, count(*) AS n, row_number() OVER (ORDER BY tier) AS k, greatest(1, 8 // count(*) OVER ()) AS e FROM se GROUP BY tier),
+ w AS (SELECT tier, (k - 1) * e + 1 AS ws, least(8, k * e) - (k - 1) * e AS nw, n FROM m)"""
+query("E15_weekly", with_("SELECT (ws + (r - 1) // greatest(1, n // greatest(1, nw)))::INT AS week, tier, paper_id FROM se JOIN w USING (tier) WHERE (r - 1) // greatest(1, n // greatest(1, nw)) < nw", "papers", more=_week))(lambda s, d: scoring.weekly(corpus.select_by_budget(T(s, d), 40), 8))
+#: Titles to look up on these tables: the fourth is in no text.
+TITLES = ["License", "Copyright", "password", "zzqx no such title", "http", "token", "secret"]
+query("C7_title_match", "SELECT pos, title, paper_id FROM (" + " UNION ALL ".join(f"SELECT {i} AS pos, '{x}' AS title, min(doc_id) AS paper_id FROM documents WHERE contains(lower(text), lower('{x[:30]}'))" for i, x in enumerate(TITLES)) + ") WHERE paper_id IS NOT NULL ORDER BY pos LIMIT 5")(lambda s, d: scoring.title_match(P(s, d), TITLES))
+query("I18_run_lifecycle", with_("SELECT task_id, session, ended_at, run_status, CASE WHEN ended_at IS NULL THEN NULL ELSE greatest(0, date_diff('second', queued_at, ended_at)) END AS duration_s FROM (SELECT *, CASE WHEN ab THEN nx ELSE complete_at END AS ended_at, CASE WHEN ab THEN 'ABORTED' WHEN complete_at IS NULL THEN 'RUNNING' WHEN status = 'FAILED' THEN 'FAILED' ELSE 'COMPLETED' END AS run_status FROM (SELECT *, nx IS NOT NULL AND (complete_at IS NULL OR nx < complete_at) AS ab FROM (SELECT *, lead(queued_at) OVER (PARTITION BY session ORDER BY queued_at, task_id) AS nx FROM tasks)))", "tasks"))(lambda s, d: eventlog.run_lifecycle(src.tasks(s, d)))
