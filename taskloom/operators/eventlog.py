@@ -97,4 +97,4 @@ def run_lifecycle(tasks: DataFrame) -> DataFrame:
     x = tasks.withColumn("_next", F.lead("queued_at").over(W.partitionBy("session").orderBy("queued_at", "task_id")))
     aborted = F.col("_next").isNotNull() & (F.col("complete_at").isNull() | (F.col("_next") < F.col("complete_at")))
     x = x.withColumns({"ended_at": F.when(aborted, F.col("_next")).otherwise(F.col("complete_at")), "run_status": F.when(aborted, "ABORTED").when(F.col("complete_at").isNull(), "RUNNING").when(F.col("status") == "FAILED", "FAILED").otherwise("COMPLETED")})
-    return x.select("task_id", "session", "ended_at", "run_status", F.when(F.col("ended_at").isNotNull(), seconds("queued_at", "ended_at")).alias("duration_s"))
+    return x.select("task_id", "session", "ended_at", "run_status", F.when(F.col("ended_at").isNotNull(), seconds("queued_at", "ended_at").cast("double")).alias("duration_s"))
