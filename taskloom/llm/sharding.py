@@ -3,11 +3,16 @@
 Law ``rows``: shards' counts differ by one at most.
 
 Documents are linked through their text (a star, never pairs).  As members of a group are alike, the state
-is one row for each (group, shard) with a count, which keeps a group of any size at ``n_shards`` rows.
-Every round joins each group's rows with its best shard (most members among shards with room), and moves
-the others there under that shard's quota; larger pieces come first.  Quotas are kept by prefix sums over
-(size class, hash) buckets: a window over few bucket totals, and one inside each bucket.  Documents without
-equals are no nodes; they fill what room is left.  State is written to shared storage after each round.
+is one row for each group with its counts by shard, which keeps a group of any size at ``n_shards`` counts.
+Every round each group that has no shard yet asks for its best one (most members among shards with room for
+all of it, else any with room), and a shard takes groups whole, larger ones first, while its room lasts.  Room
+is what settled groups leave of a shard: rows of groups that are yet to settle don't count, as they leave in
+the same move.  A round in which any group asks settles one at least, and the rounds end when none asks: then
+no shard has room for any group that is left.  A group larger than a shard first fills whole shards, those
+where it has most members, all at once; only its rest asks as the others do.
+Quotas are kept by prefix sums over (size class, hash) buckets: a window over few bucket totals, and one
+inside each bucket.  Groups that fit nowhere whole fill the largest rooms left, then documents without equals,
+which are no nodes, fill up.  Each round is written to shared storage.
 
 Groups of over a thousandth of all rows (fewer than a thousand of them, so their table may be broadcast)
 are dealt over salted parts wherever their documents are ranked.
@@ -22,10 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import cut
+from .scratch import cut, fresh_path
 
 SHARDS = 24
-ROUNDS = 6
 HOT_SHARE = 1000
 SALTS = 256
 
@@ -44,7 +48,7 @@ def _bucket(size: str, *of: str, parts: int):
     return F.concat(F.lpad((F.lit(99) - F.floor(F.log2(F.col(size)))).cast("string"), 2, "0"), F.lit("-"), F.lpad(F.pmod(F.xxhash64(*of), F.lit(parts)).cast("string"), 9, "0"))
 
 
-def shard_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", n_shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", n_shards: int = SHARDS) -> DataFrame:
     """One row a document: size, crc32 of the text, law, shard and gapless slot."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     base = cut(docs.select(F.col(key).alias("_key"), (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(body).alias("crc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_h")), "shard-base")
@@ -56,42 +60,56 @@ def shard_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", n_
     room = n // n_shards
     parts = max(8, n // 200_000)
 
+    quota = [room + (j < n % n_shards) for j in range(n_shards)]
     spread = F.pmod(F.xxhash64("_key", "_h"), F.lit(n_shards)).cast("int")
-    state = base.select(*group, spread.alias("shard")).groupBy(*group, "shard").agg(F.count("*").alias("c"))
-    whole = W.partitionBy(*group)
-    state = cut(state.withColumn("_all", F.sum("c").over(whole)).where(F.col("_all") > 1), "shard-state")
-    for _ in range(rounds):
-        loads = {r["shard"]: r["c"] for r in state.groupBy("shard").agg(F.sum("c").alias("c")).collect()}  # at most n_shards rows
-        free = F.array(*[F.lit(room - loads.get(j, 0)).cast("long") for j in range(n_shards)])
-        open_ = F.element_at(free, F.col("shard") + 1) > 0
-        best = F.max(F.when(open_, F.struct("c", F.xxhash64(*group, "shard").alias("_tie"), "shard"))).over(whole)
-        seen = state.withColumn("to", best["shard"])
-        moves = seen.where(F.col("to").isNotNull() & (F.col("to") != F.col("shard"))).withColumn("_b", _bucket("c", *group, parts=parts))
-        moves = _ranked(moves, ["to"], "_b", [*group, "shard"], "c", "_before")
-        left = F.greatest(F.lit(0).cast("long"), F.element_at(free, F.col("to") + 1) - F.col("_before"))
-        moves = moves.select(*group, "shard", "to", F.least("c", left).alias("moved")).where("moved > 0")
-        moved = cut(moves, "shard-moves")
-        if not moved.limit(1).count():
+    counts = base.select(*group, spread.alias("shard")).groupBy(*group, "shard").agg(F.count("*").alias("c"))
+    member = F.struct("c", F.xxhash64(*group, "shard").alias("tie"), "shard")
+    state = cut(counts.groupBy(*group).agg(F.sum("c").alias("_all"), F.collect_list(member).alias("_m")).where("_all > 1"), "shard-state")
+
+    # groups larger than a shard (at most 2 * n_shards of them, or of n_shards rows) fill whole shards
+    free, taken = list(quota), []
+    for r in sorted(state.where(F.col("_all") > room).collect(), key=lambda r: (-r["_all"], r["_h"], r["crc"], r["size"])):
+        rest, own = r["_all"], {m["shard"]: m["c"] for m in r["_m"]}
+        for j in sorted(range(n_shards), key=lambda j: (-own.get(j, 0), j)):
+            if 0 < free[j] == quota[j] <= rest:
+                taken.append((r["_h"], r["crc"], r["size"], j, quota[j]))
+                rest, free[j] = rest - quota[j], 0
+    filled_up = base.sparkSession.createDataFrame(taken, counts.select(*group, "shard", "c").schema)
+    gone = F.broadcast(filled_up.groupBy(*group).agg(F.sum("c").alias("_gone")))
+    todo = state.join(gone, group, "left").withColumn("_all", F.col("_all") - F.coalesce("_gone", F.lit(0))).drop("_gone").where("_all > 0")
+
+    path, done = fresh_path(base.sparkSession, "shard-rounds"), 0
+    while True:
+        left = F.array(*[F.lit(f).cast("long") for f in free])
+        fits = lambda j: F.element_at(left, j + 1) >= F.col("_all")
+        near = F.array_max(F.filter("_m", lambda m: fits(m["shard"])))["shard"]
+        others = F.filter(F.array(*[F.lit(j) for j in range(n_shards)]), fits)
+        other = F.when(F.size(others) > 0, F.element_at(others, (F.pmod(F.xxhash64(*group, F.lit(done)), F.size(others)) + 1).cast("int")))
+        asks = todo.withColumn("to", F.coalesce(near, other)).withColumn("_b", _bucket("_all", *group, parts=parts))
+        told = _ranked(asks.where(F.col("to").isNotNull()), ["to"], "_b", group, "_all", "_before")
+        told = told.select(*group, "_all", "_m", "to", (F.col("_before") + F.col("_all") <= F.element_at(left, F.col("to") + 1)).alias("ok"))
+        told = told.unionByName(asks.where(F.col("to").isNull()).select(*group, "_all", "_m", "to", F.lit(False).alias("ok")))
+        told.write.parquet(f"{path}/round={done}")
+        told = base.sparkSession.read.schema(told.schema).parquet(f"{path}/round={done}")
+        settled = told.where("ok").groupBy("to").agg(F.sum("_all").alias("c")).collect()  # at most n_shards rows
+        if not settled:
             break
-        change = moved.select(*group, "shard", (-F.col("moved")).alias("c")).unionByName(moved.select(*group, F.col("to").alias("shard"), F.col("moved").alias("c")))
-        state = cut(state.select(*group, "shard", "c").unionByName(change).groupBy(*group, "shard").agg(F.sum("c").alias("c")).where("c > 0"), "shard-state")
-
-    # what is over a shard's room, and all documents without equals, fill the shards up to even counts
-    quota = [room + (j < n % n_shards) for j in range(n_shards)]
-    state = state.select(*group, "shard", "c").withColumn("_b", _bucket("c", *group, parts=parts))
-    state = _ranked(state, ["shard"], "_b", group, "c", "_before")
-    fits = F.greatest(F.lit(0).cast("long"), F.least("c", F.element_at(F.array(*[F.lit(q).cast("long") for q in quota]), F.col("shard") + 1) - F.col("_before")))
-    state = cut(state.select(*group, "shard", fits.alias("stay"), (F.col("c") - fits).alias("over")), "shard-state")
-    loads = {r["shard"]: r["c"] for r in state.groupBy("shard").agg(F.sum("stay").alias("c")).collect()}
-    lacks = [quota[j] - loads.get(j, 0) for j in range(n_shards)]
-    ends = [sum(lacks[: j + 1]) for j in range(n_shards)]
-    pool = state.where("over > 0").groupBy(*group).agg(F.sum("over").alias("c")).unionByName(groups.where("_all = 1").select(*group, F.col("_all").alias("c")))
+        for r in settled:
+            free[r["to"]] -= r["c"]
+        todo, done = told.where("to IS NOT NULL AND NOT ok"), done + 1
+
+    # groups that no shard has room for, and all documents without equals, fill the shards up to even counts
+    rounds = base.sparkSession.read.schema(told.schema).parquet(path)
+    order = sorted(range(n_shards), key=lambda j: (-free[j], j))
+    lacks = {j: free[j] for j in order}
+    ends = {j: sum(free[i] for i in order[: k + 1]) for k, j in enumerate(order)}
+    pool = rounds.where("to IS NULL").select(*group, F.col("_all").alias("c")).unionByName(groups.where("_all = 1").select(*group, F.col("_all").alias("c")))
     pool = pool.withColumn("_one", F.lit(1)).withColumn("_b", _bucket("c", *group, parts=parts * n_shards))
     pool = _ranked(pool, ["_one"], "_b", group, "c", "_before")
     bounds = F.array(*[F.struct(F.lit(j).alias("shard"), F.lit(ends[j] - lacks[j]).cast("long").alias("a"), F.lit(ends[j]).cast("long").alias("b")) for j in range(n_shards)])
     piece = lambda s: F.struct(s["shard"].alias("shard"), (F.least(s["b"], F.col("_before") + F.col("c")) - F.greatest(s["a"], F.col("_before"))).alias("c"))
     filled = pool.select(*group, F.explode(F.filter(F.transform(bounds, piece), lambda s: s["c"] > 0)).alias("_s")).select(*group, "_s.shard", "_s.c")
-    final = state.where("stay > 0").select(*group, "shard", F.col("stay").alias("c")).unionByName(filled)
+    final = filled_up.unionByName(rounds.where("ok").select(*group, F.col("to").alias("shard"), F.col("_all").alias("c"))).unionByName(filled)
     # a group's pieces as cumulative ranges; at most 2 * n_shards of them
     pieces = final.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("shard", "c"))).alias("_p"))
 
