@@ -69,7 +69,7 @@ def cosine_topk(vectors: DataFrame, query_id: int, k: int = 5) -> DataFrame:
 
 
 def tiers(papers: DataFrame, gap_clusters: list[int]) -> DataFrame:
-    """Reading tiers: core, survey, gap, frontier and rest."""
+    """Reading tiers: core, survey, gap, frontier and rest; with the size of each paper's cluster (null for noise)."""
     t = trend(papers)
     size = papers.where("cluster_id >= 0").groupBy("cluster_id").agg(F.count("*").alias("_n"))
     top = size.withColumn("_top", F.row_number().over(W.orderBy(F.desc("_n"), "cluster_id")) <= 3)
@@ -79,14 +79,14 @@ def tiers(papers: DataFrame, gap_clusters: list[int]) -> DataFrame:
         F.when(F.col("cluster_id") < 0, 5).when(F.coalesce("_top", F.lit(False)) & (F.col("year") <= F.col("_thr") - 2), 1).when((F.col("year") >= F.col("_thr")) & (F.col("trend") == "growing"), 4)
         .when(F.col("cluster_id").isin(gap_clusters), 3).otherwise(2)
     )
-    return x.select("paper_id", "cluster_id", "year", tier.alias("tier"))
+    return x.select("paper_id", "cluster_id", "year", tier.alias("tier"), F.col("_n").alias("cluster_size"))
 
 
 def select_by_budget(tiered: DataFrame, target: int, shares: dict[int, float] | None = None) -> DataFrame:
     """The first of each tier, in the tier's own order, up to its budget."""
     shares = shares or {1: 0.20, 2: 0.25, 3: 0.25, 4: 0.20, 5: 0.10}
     budget = F.expr("CASE tier " + " ".join(f"WHEN {t} THEN {max(1, round(target * s))}" for t, s in shares.items()) + " END")
-    key = F.when(F.col("tier") == 1, F.col("year")).when(F.col("tier").isin(3, 4), -F.col("year")).otherwise(0)
+    key = F.when(F.col("tier") == 1, F.col("year")).when(F.col("tier") == 2, -F.col("cluster_size")).when(F.col("tier").isin(3, 4), -F.col("year")).otherwise(0)
     r = F.row_number().over(W.partitionBy("tier").orderBy(key, "paper_id"))
     return tiered.withColumn("_r", r).where(F.col("_r") <= budget).select("paper_id", "tier", F.col("_r").alias("rank"))
 

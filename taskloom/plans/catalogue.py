@@ -167,7 +167,7 @@ _tier = _trend + ", sz AS (SELECT cluster_id, row_number() OVER (ORDER BY count(
 _sel = _tier + ", se AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY CASE WHEN tier = 1 THEN year WHEN tier IN (3, 4) THEN -year ELSE 0 END, paper_id) AS r FROM ti) WHERE r <= (CASE tier WHEN 1 THEN 8 WHEN 2 THEN 10 WHEN 3 THEN 10 WHEN 4 THEN 8 ELSE 4 END))"
 T = lambda s, d: corpus.tiers(P(s, d), [0, 2])
 S = lambda s, d: corpus.select_by_budget(T(s, d), 40).join(T(s, d).select("paper_id", "year", "cluster_id"), "paper_id")
-query("M11_tiers", with_("SELECT paper_id, cluster_id, year, tier FROM ti", "papers", more=_tier))(T)
+query("M11_tiers", with_("SELECT paper_id, cluster_id, year, tier FROM ti", "papers", more=_tier))(lambda s, d: T(s, d).drop("cluster_size"))
 query("D20_tier_counts", with_("SELECT k AS tier, count(ti.paper_id) AS n FROM range(1, 6) v(k) LEFT JOIN ti ON tier = k GROUP BY 1", "papers", more=_tier))(lambda s, d: s.range(1, 6).select(F.col("id").alias("tier")).join(T(s, d).groupBy("tier").agg(F.count("*").alias("c")), "tier", "left").select("tier", F.coalesce("c", F.lit(0)).cast("long").alias("n")))
 query("M14_E12_selection", with_("SELECT paper_id, tier, r::INT AS rank FROM se", "papers", more=_sel))(lambda s, d: corpus.select_by_budget(T(s, d), 40))
 query("E11_order", with_("SELECT paper_id, tier, row_number() OVER (ORDER BY tier, CASE WHEN tier = 1 THEN year WHEN tier = 4 THEN -year ELSE 0 END, paper_id)::INT AS reading_order FROM se", "papers", more=_sel))(lambda s, d: corpus.reading_order(S(s, d)))
