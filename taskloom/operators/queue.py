@@ -15,11 +15,20 @@ def aged(tasks: DataFrame) -> DataFrame:
     return tasks.withColumn("effective", F.when((t >= 50) & (F.col("priority") > 1), 1).otherwise(F.greatest(F.lit(0), F.col("priority") - F.floor(t / 10))).cast("int"))
 
 
-def pop_order(tasks: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` in order of effective priority and arrival; limits before it numbers."""
-    x = tasks.where("status = 'DEFERRED'").withColumn("_e", F.greatest(F.lit(0), F.col("priority") - F.floor(F.col("task_id") % 60 / 10)))
-    head = x.orderBy("_e", "task_id").limit(n)
-    return head.select("task_id", F.row_number().over(W.orderBy("_e", "task_id")).alias("position"))
+def pop_order(tasks: DataFrame, steps: int = 64) -> DataFrame:
+    """Every waiting task's position by effective priority and arrival.
+
+    Each effective priority is dealt by arrival into ranges of about equal size (bounds by quantile: literals, so that
+    both uses of them agree); a position is the count of the ranges before and the place inside, with no window over all."""
+    x = tasks.where("status = 'DEFERRED'").select("task_id", F.greatest(F.lit(0), F.col("priority") - F.floor(F.col("task_id") % 60 / 10)).alias("_e"))
+    bounds = x.groupBy("_e").agg(F.percentile_approx("task_id", [k / steps for k in range(1, steps)], 100 * steps).alias("_c")).collect()  # a row a priority
+    passed = [F.when(F.col("_e") == r["_e"], F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in r["_c"]]), lambda c: c <= F.col("task_id")))) for r in bounds]
+    x = x.withColumn("_b", F.coalesce(*passed, F.lit(0)))
+    totals = x.groupBy("_e", "_b").agg(F.count("*").alias("_total"))
+    ahead = F.coalesce(F.sum("_total").over(W.orderBy("_e", "_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(totals.select("_e", "_b", ahead.alias("_ahead")))  # ``steps`` rows a priority
+    inside = x.withColumn("_r", F.row_number().over(W.partitionBy("_e", "_b").orderBy("task_id")))
+    return inside.join(starts, ["_e", "_b"]).select("task_id", (F.col("_ahead") + F.col("_r")).cast("int").alias("position"))
 
 
 def peek(tasks: DataFrame) -> DataFrame:

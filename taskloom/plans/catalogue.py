@@ -122,7 +122,7 @@ query("D14_defers_by_rule", with_("SELECT rule, count(*) AS n FROM dec WHERE act
 query("L10_B13_policy_a", with_("SELECT task_id, CASE WHEN defer_count >= 30 THEN 'force_dispatch' WHEN priority = 0 THEN 'dispatch' WHEN bottleneck = 'oom_risk' THEN 'defer' WHEN cpu_pct > 85 AND cpu_cost = 'high' THEN 'defer' WHEN ram_pct > 80 AND ram_cost = 'high' THEN 'defer' WHEN gpu_pct > 90 AND gpu_cost = 'high' THEN 'defer' WHEN 100 - ram_pct < 8 THEN 'defer' ELSE 'dispatch' END AS action FROM entries", *_PV))(
     lambda s, d: src.entries(s, d).select("task_id", F.when(F.col("defer_count") >= 30, "force_dispatch").when(F.col("priority") == 0, "dispatch").when(F.col("bottleneck") == "oom_risk", "defer").when((F.col("cpu_pct") > 85) & (F.col("cpu_cost") == "high"), "defer").when((F.col("ram_pct") > 80) & (F.col("ram_cost") == "high"), "defer").when((F.col("gpu_pct") > 90) & (F.col("gpu_cost") == "high"), "defer").when(100 - F.col("ram_pct") < 8, "defer").otherwise("dispatch").alias("action")))
 # --- queue -----------------------------------------------------------------------------------
-query("F1_queue_order", with_("SELECT task_id, row_number() OVER (ORDER BY greatest(0, priority - (task_id % 60) // 10), task_id)::INT AS position FROM tasks WHERE status = 'DEFERRED' QUALIFY position <= 100", "tasks"))(lambda s, d: queue.pop_order(src.tasks(s, d), 100))
+query("F1_queue_order", with_("SELECT task_id, row_number() OVER (ORDER BY greatest(0, priority - (task_id % 60) // 10), task_id)::INT AS position FROM tasks WHERE status = 'DEFERRED' QUALIFY position <= 100", "tasks"))(lambda s, d: queue.pop_order(src.tasks(s, d)))
 query("F3_peek", with_("SELECT task_id, priority FROM tasks WHERE status = 'DEFERRED' ORDER BY priority, task_id LIMIT 1", "tasks"))(lambda s, d: queue.peek(src.tasks(s, d)))
 _AGED = "CASE WHEN ticks >= 50 AND priority > 1 THEN 1 ELSE greatest(0, priority - ticks // 10) END"
 query("I1_aging", with_(f"SELECT task_id, ({_AGED})::INT AS effective FROM (SELECT *, task_id % 60 AS ticks FROM tasks)", "tasks"))(lambda s, d: queue.aged(src.tasks(s, d).withColumn("ticks", F.col("task_id") % 60)).select("task_id", "effective"))
