@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clamp
-from .corpus import keyword_rate, trend
+from .corpus import dominant_category, keyword_rate, trend
 
 
 def gaps(spark: SparkSession) -> DataFrame:
@@ -42,16 +42,22 @@ def _evidence(g: DataFrame, c: DataFrame) -> DataFrame:
     return e.groupBy("gap_id").agg(F.coalesce(F.avg("n"), F.lit(0.0)).alias("avg_papers"), F.coalesce(F.min("rate"), F.lit(0.0)).alias("min_repro"), F.count_if(F.col("trend") == "stagnating").alias("stagnating"), F.first("multi").alias("multi"), F.count("n").alias("n_clusters"))
 
 
+def gap_categories(g: DataFrame, papers: DataFrame) -> DataFrame:
+    """How many distinct dominant categories the clusters of each gap have."""
+    each = g.select("gap_id", F.explode("clusters").alias("cluster_id"))
+    return each.join(dominant_category(papers), "cluster_id", "left").groupBy("gap_id").agg(F.count_distinct("category").alias("n_categories"))
+
+
 def novelty(g: DataFrame, papers: DataFrame, words: list[str]) -> DataFrame:
     """Six signals of each gap and their weighted sum, clamped to 0..1."""
     c = clusters(papers, words)
     ends = c.agg(F.min("n").alias("_lo"), F.max("n").alias("_hi"))
-    x = _evidence(g, c).crossJoin(F.broadcast(ends))
+    x = _evidence(g, c).join(gap_categories(g, papers), "gap_id").crossJoin(F.broadcast(ends))
     s = x.select(
         "gap_id",
         F.round(F.when(F.col("_hi") == F.col("_lo"), 0.5).otherwise(1 - F.try_divide(F.col("avg_papers") - F.col("_lo"), F.col("_hi") - F.col("_lo"))), 4).alias("sparsity"),
         F.round(F.col("stagnating") / F.greatest("n_clusters", F.lit(1)), 4).alias("recency"), F.round(1 - F.col("min_repro"), 4).alias("repro_gap"),
-        F.round(F.least(F.lit(1.0), (F.col("n_clusters") - 1) / 3), 4).alias("distance"), F.when(F.col("multi"), 0.4).otherwise(0.0).alias("overlap"),
+        F.round(F.least(F.lit(1.0), (F.col("n_clusters") - 1) / 3), 4).alias("distance"), F.round(F.least(F.lit(1.0), F.when(F.col("multi"), 0.4).otherwise(0.0) + 0.2 * F.col("n_categories")), 4).alias("overlap"),
     )
     return s.withColumn("novelty", F.round(clamp(0.2 * F.col("sparsity") + 0.2 * F.col("recency") + 0.15 * F.col("repro_gap") + 0.15 * F.col("distance") + 0.15 * F.col("overlap") + 0.15 * 0.5, 0, 1), 4))
 
