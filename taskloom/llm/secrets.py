@@ -39,7 +39,8 @@ HEX_LEAST = 16
 GITHUB = re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 NPM = re.compile(r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]+-----END [A-Z ]{0,40}PRIVATE KEY-----")
+#: Headers of the body may hold "-"; it ends before another block begins, so blocks without an end cost no second scan.
+PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?!-----BEGIN ).)+?-----END [A-Z ]{0,40}PRIVATE KEY-----", re.S)
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "pem")
 BASE = ("assign", "access", "hex")
 MASK = "[SECRET]"
