@@ -6,11 +6,13 @@ Votes are gathered by diagonal, neighbouring diagonals of the same template are
 added word shifts the diagonal), and a merged span counts if its grams, which were compared as words and
 not only as hashes, cover enough of the template.
 
-Only rows whose hash is in the (small, counted) template table leave the scan; one extra row a document
-carries its word count, so that documents without hits stay in the result without a second scan or a join.
+Templates are broadcast ``BLOCK_GRAMS`` places at a time, each block to a scan of its own: one for any usual list.
+Only rows whose hash is in the table leave a scan; one extra row a document, which takes no part in the join, carries
+its word count from the first scan, so that documents without hits stay in the result.
 
 Defined results: null or empty text has no words and no spans; repeated rows are judged each on its own
-(also with equal or null ids); equal diagonals tie by template order; extra columns are ignored.
+(also with equal or null ids); no documents give no rows; equal diagonals tie by template order; extra columns of any
+name are ignored.  One document's votes are held by one task.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import small
 from .text import LETTER_WORDS, ascii_lower, gram_hashes, joined, words
 
 #: Exact phrases and their labels: fixed values.
@@ -49,45 +50,57 @@ GRAM = 4
 GAP = 2
 #: Share of a notice's words that verified grams must cover.
 COVER = 0.8
-MOST_GRAMS = 200_000
+#: Template places that are broadcast to one scan (about 100 bytes each).
+BLOCK_GRAMS = 200_000
 _MARK = -1
 
 
-def template_grams(spark: SparkSession, phrases=PHRASES, notices=NOTICES, gram: int = GRAM) -> tuple[DataFrame, list[int]]:
-    """One row a template place: its k-gram's hash and words.  Also the gram lengths in use."""
+def template_grams(phrases=PHRASES, notices=NOTICES, gram: int = GRAM) -> tuple[list[tuple], list[int]]:
+    """Template places with their k-gram's words, and the gram lengths in use."""
     rows = [(i, label, text.split(), exact) for i, (text, label, exact) in enumerate([(t, x, True) for t, x in phrases] + [(t, x, False) for t, x in notices])]
     lengths = sorted({min(gram, len(w)) for _, _, w, _ in rows})
     flat = []
     for i, label, w, exact in rows:
         k = min(gram, len(w))
         flat += [(i, label, exact, len(w), k, lengths.index(k), t, w[t : t + k]) for t in range(len(w) - k + 1)]
+    return flat, lengths
+
+
+def _table(spark: SparkSession, flat: list[tuple], lengths: list[int]) -> DataFrame:
     made = spark.createDataFrame(flat, "template int, label string, exact boolean, t_len int, k int, k_index int, t_pos int, gram array<string>")
     # the same fold over words as in gram_hashes
-    hashed = F.lit(None)
+    hashed = F.lit(None).cast("long")
     for k in lengths:
         hashed = F.when(F.col("k") == k, F.expr("xxhash64(" + ", ".join(f"get(gram, {j})" for j in range(k)) + ")")).otherwise(hashed)
-    return made.select("template", "label", "exact", "t_len", "k", "k_index", "t_pos", F.array_join("gram", " ").alias("gram"), hashed.alias("h")), lengths
-
-
-def _hits(docs: DataFrame, text: str, key: list[str], phrases, notices, gram: int) -> DataFrame:
-    """Verified votes, and one marker row (template -1) a document."""
-    spark = docs.sparkSession
-    grams, lengths = template_grams(spark, phrases, notices, gram)
-    marker = spark.createDataFrame([(_MARK, 0)], "template int, k int").select("template", F.lit(None).cast("string").alias("label"), F.lit(False).alias("exact"), F.lit(0).alias("t_len"), "k", F.lit(len(lengths)).alias("k_index"), F.lit(0).alias("t_pos"), F.lit("").alias("gram"), F.lit(-7046029254386353131).cast("long").alias("h"))
-    table, _ = small(grams.unionByName(marker), MOST_GRAMS)
-    base = docs.select(F.monotonically_increasing_id().alias("_rid"), *key, words(ascii_lower(F.col(text)), LETTER_WORDS).alias("_w"))
-    base = base.select("_rid", *key, "_w", F.size("_w").alias("_n"), F.concat(*[gram_hashes("_w", k) for k in lengths], F.array(F.lit(-7046029254386353131).cast("long"))).alias("_h"))
-    each = base.select("_rid", *key, "_w", "_n", F.posexplode_outer("_h").alias("_p", "h"))
-    met = each.join(table, "h").withColumn("_pos", F.col("_p") - F.col("_n") * F.col("k_index"))
-    met = met.where((F.col("template") == _MARK) | (F.array_join(F.expr("slice(_w, greatest(_pos, 0) + 1, k)"), " ") == F.col("gram")))
-    return met.select("_rid", *key, F.col("_n").cast("long").alias("_n"), "template", "label", "exact", "t_len", "k", "t_pos", "_pos", (F.col("_pos") - F.col("t_pos")).alias("_diag"))
-
-
-def license_spans(docs: DataFrame, text: str = "text", key: list[str] | None = None, *, phrases=PHRASES, notices=NOTICES, gram: int = GRAM, gap: int = GAP, cover: float = COVER) -> DataFrame:
-    """Spans (template, label, exact, first_word, end_word, score), and a row with template -1 for each document."""
-    key = key or ["doc_id"]
-    hits = _hits(docs, text, key, phrases, notices, gram).repartition("_rid")
-    own = ["_rid", *key, "_n", "template", "label", "exact", "t_len", "k"]
+    return made.select("template", "label", "exact", "t_len", "k", "k_index", "t_pos", F.array_join("gram", " ").alias("gram"), hashed.alias("h"))
+
+
+def _hits(docs: DataFrame, text: str, key: list[str], phrases, notices, gram: int, block: int) -> DataFrame:
+    """Verified votes, and one row of template -1 a document (from the first scan)."""
+    flat, lengths = template_grams(phrases, notices, gram)
+    base = docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct(*[F.col(f"`{c}`") for c in key]).alias("_id"), words(ascii_lower(F.col(text)), LETTER_WORDS).alias("_w"))
+    out = None
+    for b in range(0, max(1, len(flat)), block):
+        table = F.broadcast(_table(docs.sparkSession, flat[b : b + block], lengths))
+        # the place after all others is the document's own row: it has no hash and needs none
+        own = [F.array(F.lit(None).cast("long"))] if b == 0 else []
+        rows = base.select("_rid", "_id", "_w", F.size("_w").alias("_n"), F.concat(*[gram_hashes("_w", k) for k in lengths], *own).alias("_h"))
+        each = rows.select("_rid", "_id", "_w", "_n", F.posexplode_outer("_h").alias("_p", "h"))
+        met = each.join(table, "h", "left").where(F.col("template").isNotNull() | F.col("h").isNull()) if own else each.join(table, "h")
+        met = met.withColumn("_pos", F.col("_p") - F.col("_n") * F.col("k_index"))
+        met = met.where(F.col("h").isNull() | (F.array_join(F.expr("slice(_w, greatest(_pos, 0) + 1, k)"), " ") == F.col("gram")))
+        met = met.select(
+            "_rid", "_id", F.col("_n").cast("long").alias("_n"), F.coalesce("template", F.lit(_MARK)).alias("template"), "label", F.coalesce("exact", F.lit(False)).alias("exact"), F.coalesce("t_len", F.lit(0)).alias("t_len"),
+            F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("t_pos", F.lit(0)).alias("t_pos"), F.coalesce("_pos", F.lit(0)).alias("_pos"), F.coalesce(F.col("_pos") - F.col("t_pos"), F.lit(0)).alias("_diag"),
+        )
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
+def license_spans(docs: DataFrame, text: str = "text", key: list[str] | None = None, *, phrases=PHRASES, notices=NOTICES, gram: int = GRAM, gap: int = GAP, cover: float = COVER, block: int = BLOCK_GRAMS) -> DataFrame:
+    """Spans (``_rid``, ``_id`` with the key columns, template, label, exact, first_word, end_word, score), and a row with template -1 for each document."""
+    hits = _hits(docs, text, key or ["doc_id"], phrases, notices, gram, block).repartition("_rid")
+    own = ["_rid", "_id", "_n", "template", "label", "exact", "t_len", "k"]
     lines = hits.groupBy(*own, "_diag").agg(F.collect_set("t_pos").alias("_t"), F.min("_pos").alias("_from"), F.max("_pos").alias("_to"))
     by = W.partitionBy("_rid", "template").orderBy("_diag")
     apart = F.col("exact") | (F.col("_diag") - F.lag("_diag").over(by) > gap)
@@ -96,15 +109,14 @@ def license_spans(docs: DataFrame, text: str = "text", key: list[str] | None = N
     covered = F.size(F.array_distinct(F.expr("flatten(transform(_t, p -> sequence(p, p + greatest(k, 1) - 1)))")))
     spans = spans.withColumn("score", F.when(F.col("template") == _MARK, 0.0).otherwise(covered / F.greatest("t_len", F.lit(1))))
     good = F.when(F.col("exact"), F.col("score") == 1.0).otherwise((F.col("score") >= cover) & (F.col("end_word") - F.col("first_word") <= 2 * F.col("t_len")))
-    return spans.where((F.col("template") == _MARK) | good).select("_rid", *key, F.col("_n").alias("n_words"), "template", "label", "exact", F.col("first_word").cast("long").alias("first_word"), F.col("end_word").cast("long").alias("end_word"), "score")
+    return spans.where((F.col("template") == _MARK) | good).select("_rid", "_id", F.col("_n").alias("n_words"), "template", "label", "exact", F.col("first_word").cast("long").alias("first_word"), F.col("end_word").cast("long").alias("end_word"), "score")
 
 
 def license_digest(docs: DataFrame, text: str = "text", key: list[str] | None = None, **options) -> DataFrame:
     """One row a document: exact phrases' places and labels, and all labels with the best score."""
-    key = key or ["doc_id"]
     spans = license_spans(docs, text, key, **options)
     base = F.col("exact")
-    return spans.groupBy("_rid", *key).agg(
+    return spans.groupBy("_rid", "_id").agg(
         F.max("n_words").alias("n_words"),
         F.sum(base.cast("long")).alias("n_base"),
         F.min(F.when(base, F.col("first_word"))).alias("first_word"),
@@ -112,4 +124,4 @@ def license_digest(docs: DataFrame, text: str = "text", key: list[str] | None =
         joined(F.collect_set(F.when(base, F.col("label")))).alias("base_labels"),
         joined(F.collect_set("label")).alias("labels"),
         F.least(F.lit(1.0), F.max("score")).alias("score"),
-    ).drop("_rid")
+    ).select("_id.*", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")

@@ -1,27 +1,32 @@
-"""Shared-storage helpers: cutting lineage and proving broadcast bounds."""
+"""Shared-storage helpers: cutting lineage, clearing what was cut, and joins of hot keys."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders made by this driver and not cleared yet.
+_MADE: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("taskloom.scratch.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir``.  Only a local session may go without: it gets a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("taskloom.scratch.dir", None)
     if not found:
+        if not (spark.conf.get("spark.master", None) or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name storage that all executors share")
         found = tempfile.mkdtemp(prefix="taskloom-")
         spark.conf.set("taskloom.scratch.dir", found)
     return found.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -32,8 +37,31 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession, keep: tuple[str, ...] = ()) -> int:
+    """Deletes all folders made so far but ``keep``; for when no result that reads them is used any more.  Returns their number."""
+    jvm = spark.sparkContext._jvm
+    gone = [p for p in _MADE if p not in keep]
+    for p in gone:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _MADE.remove(p)
+    return len(gone)
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: str, hot: Column) -> DataFrame:
+    """Inner join on column ``on``, of which ``right`` (a table) has one row each.
+
+    ``hot`` marks rows of ``right`` whose key holds over a thousandth of ``left``: fewer than a thousand, so they are
+    broadcast, and no key that is shuffled holds more than that share."""
+    more = [c for c in right.columns if c != on]
+    marked = left.join(F.broadcast(right.where(hot).select(on, F.struct(*more).alias("_more"))), on, "left")
+    met = marked.where(F.col("_more").isNotNull()).select(*left.columns, "_more.*")
+    rest = marked.where(F.col("_more").isNull()).select(*left.columns).join(right.where(~hot), on)
+    return met.unionByName(rest.select(*met.columns))
+
+
 def small(df: DataFrame, most: int) -> tuple[DataFrame, bool]:
-    """``df``, hinted for broadcast only if it has ``most`` rows or fewer (counted, never assumed)."""
+    """``df``, of a few numbers a row, hinted for broadcast only if it has ``most`` rows or fewer (counted, never assumed)."""
     if df.limit(most + 1).count() <= most:
         return F.broadcast(df), True
     return df, False
