@@ -9,7 +9,7 @@ from . import chat, decontaminate, licenses, piece_codec, quality, secrets, shar
 
 
 def vocabulary(name: str) -> str:
-    """Where a public vocabulary file is; ``taskloom.tokenizers.dir`` style overrides go through the operators' parameters."""
+    """Where a public vocabulary file is; operators take the path as a parameter."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -59,7 +59,8 @@ def op10_chat_format(spark, sf_dir):
     says = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id bigint, turn bigint, role string, text string")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat.read_conversations(chat.pack_conversations(rows)).drop("pack")
+    words = vocabulary("byte_bpe_50k.json")
+    return chat.read_conversations(chat.pack_conversations(rows, words), words).drop("pack")
 
 
 def pipeline(spark, sf_dir):

@@ -38,7 +38,8 @@ HEX_LEAST = 16
 
 GITHUB = re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 NPM = re.compile(r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+JWT = re.compile(r"eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]+")
+_JWT_RUN = re.compile(r"[A-Za-z0-9_-]+")
 #: Headers of the body may hold "-"; it ends before another block begins, so blocks without an end cost no second scan.
 PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?!-----BEGIN ).)+?-----END [A-Z ]{0,40}PRIVATE KEY-----", re.S)
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "pem")
@@ -114,6 +115,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
                 at = m.end()
                 if passes(m):
                     out.append((start, at, kind))
+            elif start >= at and kind == "jwt":
+                at = _JWT_RUN.match(text, start).end()  # what fails here fails for what follows the run, from any place in it
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 

@@ -1,7 +1,8 @@
 """Token counts by prefix table: the count at every prefix answers length and budget questions without encoding again.
 
 Null text is empty and has no tokens; special strings inside texts count as the library counts them by
-default; repeated rows are counted each; extra columns are ignored.
+default; repeated rows are counted each; no documents give no rows; extra columns of any name are ignored.  A text of any
+length is linear work; its tables are held by one task.
 """
 
 from __future__ import annotations
@@ -23,7 +24,11 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, text: str =
 
 
 def truncate(docs: DataFrame, vocabulary: str, budget: int, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The longest prefix of each text that has ``budget`` tokens or fewer, read off the prefix table."""
+    """The longest prefix of each text that has ``budget`` tokens or fewer, read off the prefix table.
+
+    A budget of 0 gives empty texts; one under 0 can't be met and is a ValueError."""
+    if budget < 0:
+        raise ValueError("a budget is 0 or more")
 
     def work(texts):
         import numpy as np

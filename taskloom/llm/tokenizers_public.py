@@ -17,8 +17,12 @@ import regex
 from .prefix_bpe import PrefixBpe
 
 SPACE = "▁"
-#: Entries of a worker's cache; it is emptied when full.  It bounds memory only: results don't depend on it.
-CACHE = 500_000
+#: Bytes that a worker's cache holds by estimate before it is emptied, and code points of the longest entry.  They bound
+#: memory only: results don't depend on them.
+CACHE_BYTES = 96_000_000
+LONGEST = 64
+#: What an entry takes besides four bytes for each code point and id.
+_ENTRY = 200
 #: Split pattern of the byte-level vocabularies: fixed value.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -72,6 +76,7 @@ class PieceModel:
         self.id = dict(zip(text, kinds))
         self.byte = {b: lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     def _merge(self, word: str) -> list[str]:
         """Merges pair by pair, for words that open with several spaces."""
@@ -145,14 +150,22 @@ class PieceModel:
             else:
                 cut.append((SPACE + t.replace(" ", " " + SPACE)).split(" "))
         cache = self.cache
-        if len(cache) > CACHE:
+        if self.held > CACHE_BYTES:
             cache.clear()
+            self.held = 0
         new = set()
         for c in cut:
             new.update(c)
         new.difference_update(cache)
-        self._learn(list(new))
-        return [b"".join(map(cache.__getitem__, c)) for c in cut]
+        new = list(new)
+        self._learn(new)
+        out = [b"".join(map(cache.__getitem__, c)) for c in cut]
+        for w in new:
+            if len(w) > LONGEST:
+                del cache[w]
+            else:
+                self.held += 4 * len(w) + len(cache[w]) + _ENTRY
+        return out
 
     def decode(self, ids: bytes) -> str:
         return self.lib.decode(np.frombuffer(ids, dtype="<u4").tolist())
@@ -166,7 +179,8 @@ def piece_model(path: str) -> PieceModel:
 class ByteModel:
     """A byte-level BPE vocabulary in the tokenizers library's file format."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials: bool = True):
+        """``specials``: whether special strings inside texts are special, as the library has it by default."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -188,9 +202,12 @@ class ByteModel:
         self.bpe = PrefixBpe(["".join(map(shown.__getitem__, t)) for _, t in plain], rank, splits)
         self.ids = np.array([i for i, _ in plain] + [0], dtype="<u4")
         self.split = regex.compile(SPLIT)
-        self.apart = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.run = regex.compile(r"\s{2,}")
+        self.apart = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special and specials else None
         self.cache: dict[str, int] = {}
+        self.held = 0
         self.path = path
+        self.specials = specials
 
     @cached_property
     def lib(self):
@@ -202,6 +219,7 @@ class ByteModel:
         made = Tokenizer.from_file(self.path)
         made.no_truncation()
         made.no_padding()
+        made.encode_special_tokens = not self.specials
         return made
 
     @cached_property
@@ -212,6 +230,15 @@ class ByteModel:
             out[i] = len(t.encode()) if t in self.special else len(t)
         return out
 
+    @cached_property
+    def bytes_of(self) -> list[bytes]:
+        """What each id stands for."""
+        shown = self._alphabet()
+        out = [b""] * self.lib.get_vocab_size()
+        for t, i in self.lib.get_vocab().items():
+            out[i] = t.encode() if t in self.special else "".join(map(shown.__getitem__, t)).encode("latin-1")
+        return out
+
     @staticmethod
     def _alphabet() -> dict[str, str]:
         """Printable stand-ins of the file format, each to the byte it stands for (as a code point)."""
@@ -239,23 +266,22 @@ class ByteModel:
         """
         return [[t] if ODD.search(t) else CUT.findall(t) for t in texts]
 
-    def learn(self, cut: list[list[str]], cache: dict, work) -> list[str]:
-        """Puts what ``work`` makes of the parts in ``cut`` into ``cache``; returns the long new ones, which are rarely met again, to be dropped after use."""
-        if len(cache) > CACHE:
+    def counts(self, texts: list[str]) -> list[int]:
+        cut, cache = self.parts(texts), self.cache
+        if self.held > CACHE_BYTES:
             cache.clear()
+            self.held = 0
         new = set()
         for c in cut:
             new.update(c)
         new.difference_update(cache)
-        cache.update(work(list(new)))
-        return [w for w in new if len(w) > 200]
-
-    def counts(self, texts: list[str]) -> list[int]:
-        cut = self.parts(texts)
-        long = self.learn(cut, self.cache, self._count)
-        out = [sum(map(self.cache.__getitem__, c)) for c in cut]
-        for w in long:
-            del self.cache[w]
+        cache.update(self._count(list(new)))
+        out = [sum(map(cache.__getitem__, c)) for c in cut]
+        for w in new:
+            if len(w) > LONGEST:
+                del cache[w]
+            else:
+                self.held += 4 * len(w) + _ENTRY
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -338,27 +364,66 @@ class ByteModel:
         return out
 
     def prefix_counts(self, text: str) -> np.ndarray:
-        """Tokens of ``text[:p]`` for every p from 0 to its length, each as the library would count that prefix alone."""
+        """Tokens of ``text[:p]`` for every p from 0 to its length, each as the library would count that prefix alone.
+
+        A prefix is cut into the same words as the text up to the one it ends in, and that one's prefix table has its
+        count, but for three kinds of place that are set right after: inside a run of white space (which at an end of text
+        is one word), inside a contraction, and inside a special string (which is ordinary text until it is whole).  Each
+        place costs a bounded share of the word or run it is in, so the whole is linear in the text.
+        """
         out = np.zeros(len(text) + 1, dtype=np.int64)
-        place = total = anchor = 0  # anchor: the last place before which nothing depends on what follows
-        for p in self.pretokens(text):
-            end = place + len(p)
-            plain = not (p in self.special or p in CONTRACTIONS or p.isspace())
-            if plain and (place == 0 or (p[0] == " " and not text[place - 1].isspace())):
-                anchor = place
-            if plain:
-                _, _, count = self.bpe.tables([self._symbols(p)])
-                out[place + 1 : end + 1] = total + count[np.cumsum([len(c.encode()) for c in p])]
-                total = int(out[end])
-            else:
-                # such a prefix may be cut into other words than the whole text is
-                for k in range(place + 1, end + 1):
-                    out[k] = out[anchor] + sum(self._count([text[anchor:k]]).values())
-                total += sum(self._count([p]).values())
+        runs: list[tuple[int, str]] = []  # white space of two and more
+        torn: list[tuple[int, int, int, str]] = []  # special strings, and where the word before begins and how many tokens precede it
+        place = total = anchor = ahead = 0
+        for piece in self.apart.split(text) if self.apart is not None else [text]:
+            end = place + len(piece)
+            if self.apart is not None and piece in self.special:
+                torn.append((anchor, ahead, place, piece))
+                total += 1
+                out[end] = total
+                anchor, ahead = end, total
+            elif piece:
+                words = self.split.findall(piece)
+                at = 0
+                while at < len(words):
+                    some, size = [], 0
+                    while at < len(words) and (not some or size < CHUNK):
+                        some.append(words[at])
+                        size += len(words[at])
+                        at += 1
+                    here = place
+                    place += size
+                    first, _, count = self.bpe.tables([self._symbols(w) for w in some])
+                    code = np.frombuffer("".join(some).encode("utf-32-le"), dtype=np.uint32)
+                    ends = np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
+                    whole = np.where(np.diff(first) > 0, count[first[1:]], 0)
+                    before = np.concatenate([[0], np.cumsum(whole)])
+                    out[here + 1 : here + size + 1] = total + before[np.searchsorted(first, ends - 1, side="right") - 1] + count[ends]
+                    starts = here + np.concatenate([[0], np.cumsum([len(w) for w in some])])
+                    for k, w in enumerate(some):
+                        if len(w) == 3 and w in CONTRACTIONS:
+                            out[starts[k] + 2] = out[starts[k]] + 2  # the mark and one letter: a token each
+                    anchor, ahead = int(starts[-2]), total + int(before[-2])
+                    total += int(before[-1])
+                base = end - len(piece)
+                runs += [(base + m.start(), m[0]) for m in self.run.finditer(piece)]
             place = end
+        at = 0
+        while at < len(runs):
+            some, size = [], 0
+            while at < len(runs) and (not some or size < CHUNK):
+                some.append(runs[at])
+                size += len(runs[at][1])
+                at += 1
+            first, _, count = self.bpe.tables([self._symbols(w) for _, w in some])
+            for (start, w), a in zip(some, first):
+                out[start + 1 : start + len(w) + 1] = out[start] + count[a + np.cumsum([len(c.encode()) for c in w])]
+        for start, ahead, place, s in torn:
+            for k in range(place + 1, place + len(s)):
+                out[k] = ahead + sum(self._count([text[start:k]]).values())
         return out
 
 
-@lru_cache(maxsize=2)
-def byte_model(path: str) -> ByteModel:
-    return ByteModel(path)
+@lru_cache(maxsize=4)
+def byte_model(path: str, specials: bool = True) -> ByteModel:
+    return ByteModel(path, specials)
