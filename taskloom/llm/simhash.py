@@ -9,13 +9,16 @@ agree in each partition.  Every fingerprint is filed under its own partition val
 within t_i of it; what meets there is verified in numpy.
 
 A filing place sends on a spanning forest of its verified links, never all pairs.  A place with more than
-``PLACE`` fingerprints is dealt over blocks of it: each block holds a part of the filed ones and sees all probes, so
-no link is lost and no task holds the whole place.  Components are found by joins of labels and edges,
-with the state written to shared storage after each round.
+``PLACE`` fingerprints is dealt over a grid of cells: each holds a part of the filed ones and sees a part of the probes,
+so every pair meets in some cell and no task holds the whole place.  A cell takes its probes ``HOLD`` rows at a
+time.  Components are found by joins of labels and edges, with the state written to shared storage after each round;
+in these joins one side has one row a key, and a hub on the other is split by Spark's adaptive skew join.
+Documents of hot fingerprints, and nodes of hot components, get their names by broadcast (``hot_join``).
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; a text of one
 to three words is one shingle; repeated rows share a component; null ids count only if a component has no
-other; extra columns are ignored; an empty table gives an empty result.
+other; extra columns of any name are ignored; an empty table gives an empty result.  One document's words are held by
+one task.
 """
 
 from __future__ import annotations
@@ -29,12 +32,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut, small
+from .arrow import map_texts
+from .scratch import cut, hot_join, small
 from .text import SPACED_WORDS, ascii_lower, words
 
 SHINGLE = 4
 RADIUS = 4
 PLACE = 4096
+#: Rows of one filing place that are held at once.
+HOLD = 262_144
+#: A key with over one in so many rows is hot.
+HOT_SHARE = 1000
+#: Of the near copies that ``keep_one`` removes.
+COPY_RADIUS, CHECK_SHINGLE, CHECK_BITS = 6, 5, 26
 #: What a probe costs, in comparisons.
 PROBE_COST = 200
 _LANES = (1 << 32) | 1
@@ -140,117 +150,147 @@ def plan(nodes: DataFrame, n: int, radius: int) -> tuple[list[list[int]], list[i
     return best[1], best[2]
 
 
-def _forest(fp: np.ndarray, filed: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links (fingerprint, least linked one) of one place: a spanning forest of the verified ones."""
-    values, back = np.unique(fp, return_inverse=True)
-    label = np.arange(len(values))
-    data = np.unique(fp[filed])
-    where = np.searchsorted(values, data)
-    hits = []
-    for a in range(0, len(values), 256):
-        i, j = np.nonzero(np.bitwise_count(values[a : a + 256, None] ^ data[None, :]) <= radius)
-        i, j = i + a, where[j]
-        off = i != j
-        if off.any():
-            hits.append((i[off], j[off]))
-            # what is already linked needn't be kept
-            while True:
-                low = np.minimum(label[i[off]], label[j[off]])
-                before = label.copy()
-                np.minimum.at(label, i[off], low)
-                np.minimum.at(label, j[off], low)
-                label = label[label]
-                if (before == label).all():
-                    break
-    while hits:
-        before = label.copy()
-        for i, j in hits:
-            low = np.minimum(label[i], label[j])
-            np.minimum.at(label, i, low)
-            np.minimum.at(label, j, low)
-        label = label[label]
-        if (before == label).all():
-            break
-    out = np.flatnonzero(label != np.arange(len(values)))
-    return list(zip(values[out].tolist(), values[label[out]].tolist()))
-
-
-def links(nodes: DataFrame, groups: list[list[int]], thresholds: list[int], radius: int, place: int = PLACE) -> DataFrame:
-    """Verified links (a, b) that connect all fingerprints within ``radius`` of each other."""
+def _joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels (least member of each tree) after linking places ``i`` and ``j``."""
+    while True:
+        while (up := label[label]).tobytes() != label.tobytes():
+            label = up
+        a, b = label[i], label[j]
+        open_ = a != b
+        if not open_.any():
+            return label
+        i, j, a, b = i[open_], j[open_], a[open_], b[open_]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+
+
+def _near(rows: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int, allow: int) -> np.ndarray:
+    """Whether nodes ``i`` and ``j`` (rows: fingerprint, then check prints) are within both radii."""
+    ok = np.bitwise_count(rows[i, 0] ^ rows[j, 0]) <= radius
+    if rows.shape[1] > 1:
+        ok &= np.bitwise_count(rows[i, 1:] ^ rows[j, 1:]).sum(axis=1) <= allow
+    return ok
+
+
+def _forest(rows: np.ndarray, filed: np.ndarray, radius: int, allow: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, least linked one) of one place: a spanning forest of the verified ones.  Links are dropped as soon as they are in the forest."""
+    label = np.arange(len(rows))
+    data = np.flatnonzero(filed)
+    for a in range(0, len(rows), 256):
+        i, j = np.nonzero(np.bitwise_count(rows[a : a + 256, None, 0] ^ rows[None, data, 0]) <= radius)
+        i, j = i + a, data[j]
+        ok = i != j
+        if rows.shape[1] > 1 and ok.any():
+            ok &= _near(rows, i, j, radius, allow)
+        if ok.any():
+            label = _joined(label, i[ok], j[ok])
+    out = np.flatnonzero(label != np.arange(len(rows)))
+    return out, label[out]
+
+
+def links(nodes: DataFrame, groups: list[list[int]], thresholds: list[int], radius: int, place: int = PLACE, allow: int = 0, hold: int = HOLD) -> DataFrame:
+    """Verified links (a, b) that connect all nodes within ``radius`` of each other.
+
+    ``nodes``: column ``fp`` and any number of check prints, 64 bits each; check prints of linked nodes differ by ``allow``
+    bits together at most.  A node is its ``fp``, or a struct of all columns where there are check prints."""
+    names = list(nodes.columns)
+    kinds = ", ".join(f"{c} bigint" for c in names)
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            signed = b.column("fp").to_numpy(zero_copy_only=False)
-            fp = signed.view(np.uint64)
+            own_columns = [b.column(c) for c in names]
+            fp = own_columns[0].to_numpy(zero_copy_only=False).view(np.uint64)
             for part, (bits, t) in enumerate(zip(groups, thresholds)):
                 own = _packed(fp, bits)
                 for k in range(t + 1):
                     for flip in combinations(range(len(bits)), k):
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(fp), part, np.int32)), pa.array(own ^ np.int64(sum(1 << f for f in flip))), pa.array(signed), pa.array(np.full(len(fp), k == 0))],
-                            names=["part", "value", "fp", "filed"],
+                            [pa.array(np.full(len(fp), part, np.int32)), pa.array(own ^ np.int64(sum(1 << f for f in flip))), pa.array(np.full(len(fp), k == 0)), *own_columns],
+                            names=["part", "value", "filed", *names],
                         )
 
-    rows = nodes.select("fp").mapInArrow(probes, "part int, value bigint, fp bigint, filed boolean")
+    rows = nodes.mapInArrow(probes, f"part int, value bigint, filed boolean, {kinds}")
     sizes = rows.where("filed").groupBy("part", "value").agg(F.count("*").alias("_c")).where(F.col("_c") > place)
     sizes = cut(sizes.select("part", "value", F.ceil(F.col("_c") / place).cast("int").alias("_blocks")), "simhash-large")
     if sizes.limit(1).count():
         large, _ = small(sizes, 100_000)
         rows = rows.join(large, ["part", "value"], "left")
-        spread = F.pmod(F.xxhash64("fp"), F.col("_blocks")).cast("int")
-        # a filed row stands in its own block and probes all others
-        rows = rows.withColumn("block", F.explode(F.expr("sequence(0, coalesce(_blocks, 1) - 1)")))
-        rows = rows.withColumn("filed", F.col("filed") & (F.col("_blocks").isNull() | (F.col("block") == spread))).drop("_blocks")
+        # a grid of cells: rows by where a node is filed, columns by where it probes; a filed node also probes the other rows
+        deal = lambda seed: F.pmod(F.xxhash64(*names, F.lit(seed)), F.col("_blocks")).cast("int")
+        rows = rows.withColumns({"_f": deal(1), "_p": deal(2)})
+        cells = F.expr(
+            """CASE WHEN _blocks IS NULL THEN array(named_struct('block', 0, 'filed', filed)) ELSE concat(
+                 IF(filed, transform(sequence(0, _blocks - 1), q -> named_struct('block', _f * _blocks + q, 'filed', true)), cast(array() as array<struct<block:int,filed:boolean>>)),
+                 transform(filter(sequence(0, _blocks - 1), g -> NOT filed OR g <> _f), g -> named_struct('block', g * _blocks + _p, 'filed', false))) END"""
+        )
+        rows = rows.select("part", "value", *names, F.explode(cells).alias("_s")).select("part", "value", "_s.block", "_s.filed", *names)
     else:
-        rows = rows.withColumn("block", F.lit(0))
+        rows = rows.select("part", "value", F.lit(0).alias("block"), "filed", *names)
+
+    ends = [f"{e}_{c}" for e in "ab" for c in names]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined = lambda parts: tuple(np.concatenate(x) for x in zip(*parts))
+
         def whole() -> Iterator[tuple[np.ndarray, ...]]:
-            """Batches cut so that no place is split."""
+            """Batches cut between places; of a place with over ``hold`` rows, its filed rows with some of the others at a time."""
             kept: list[tuple[np.ndarray, ...]] = []
+            held = 0
             for b in batches:
-                now = tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("part", "value", "block", "fp", "filed"))
+                now = tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("part", "value", "block", "filed", *names))
                 if not len(now[0]):
                     continue
                 change = np.flatnonzero((np.diff(now[0]) != 0) | (np.diff(now[1]) != 0) | (np.diff(now[2]) != 0)) + 1
                 head = kept[-1] if kept else None
                 if head is not None and any(head[c][-1] != now[c][0] for c in range(3)):
-                    yield tuple(np.concatenate(x) for x in zip(*kept))
-                    kept = []
+                    yield joined(kept)
+                    kept, held = [], 0
                 if len(change):
-                    yield tuple(np.concatenate(x) for x in zip(*kept, tuple(x[: change[-1]] for x in now)))
-                    kept = [tuple(x[change[-1] :] for x in now)]
+                    yield joined([*kept, tuple(x[: change[-1]] for x in now)])
+                    kept, held = [tuple(x[change[-1] :] for x in now)], len(now[0]) - change[-1]
                 else:
                     kept.append(now)
+                    held += len(now[0])
+                if held > hold and not kept[-1][3][-1]:
+                    full = joined(kept)  # filed rows come first, so these are all of the place
+                    yield full
+                    kept = [tuple(x[full[3]] for x in full)]
+                    held = len(kept[0][0])
             if kept:
-                yield tuple(np.concatenate(x) for x in zip(*kept))
+                yield joined(kept)
 
-        for part, value, block, signed, filed in whole():
-            fp = signed.view(np.uint64)
-            cuts = np.concatenate([[0], np.flatnonzero((np.diff(part) != 0) | (np.diff(value) != 0) | (np.diff(block) != 0)) + 1, [len(fp)]])
+        for part, value, block, filed, *prints in whole():
+            node = np.stack([x.view(np.uint64) for x in prints], axis=1)
+            cuts = np.concatenate([[0], np.flatnonzero((np.diff(part) != 0) | (np.diff(value) != 0) | (np.diff(block) != 0)) + 1, [len(node)]])
             size = np.diff(cuts)
             few = np.repeat(size <= 8, size)
             place_of = np.repeat(np.arange(len(size)), size)
             a, b = [], []
-            for d in range(1, min(8, len(fp))):
+            for d in range(1, min(8, len(node))):
                 i = np.flatnonzero(few[:-d] & (place_of[:-d] == place_of[d:]) & (filed[:-d] | filed[d:]))
-                x = fp[i] ^ fp[i + d]
-                ok = (np.bitwise_count(x) <= radius) & (x != 0)
-                a.append(fp[i][ok])
-                b.append(fp[i + d][ok])
+                i = i[_near(node, i, i + d, radius, allow)]
+                a.append(i)
+                b.append(i + d)
             for g in np.flatnonzero(size > 8):
                 s = slice(cuts[g], cuts[g + 1])
-                if filed[s].any() and (found := _forest(fp[s], filed[s], radius)):
-                    x, y = zip(*found)
-                    a.append(np.array(x, dtype=np.uint64))
-                    b.append(np.array(y, dtype=np.uint64))
-            if a:
-                a_, b_ = np.concatenate(a), np.concatenate(b)
-                pairs = np.unique(np.stack([np.minimum(a_, b_), np.maximum(a_, b_)], axis=1), axis=0) if len(a_) else np.zeros((0, 2), np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy().view(np.int64)), pa.array(pairs[:, 1].copy().view(np.int64))], names=["a", "b"])
-
-    dealt = rows.repartition("part", "value", "block").sortWithinPartitions("part", "value", "block", "fp")
-    return dealt.mapInArrow(verify, "a bigint, b bigint").distinct()
+                if filed[s].any():
+                    x, y = _forest(node[s], filed[s], radius, allow)
+                    a.append(x + cuts[g])
+                    b.append(y + cuts[g])
+            i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+            if len(i):
+                # the lesser node first, by the first print that differs
+                swap = np.zeros(len(i), dtype=bool)
+                for c in range(node.shape[1] - 1, -1, -1):
+                    x, y = node[i, c], node[j, c]
+                    swap = np.where(x == y, swap, x > y)
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                yield pa.RecordBatch.from_arrays([pa.array(node[k, c].view(np.int64)) for k in (i, j) for c in range(node.shape[1])], names=ends)
+
+    dealt = rows.repartition("part", "value", "block").sortWithinPartitions("part", "value", "block", F.desc("filed"), *names)
+    found = dealt.mapInArrow(verify, ", ".join(f"{e} bigint" for e in ends)).distinct()
+    if len(names) == 1:
+        return found.toDF("a", "b")
+    return found.select(*[F.struct(*[F.col(f"{e}_{c}").alias(c) for c in names]).alias(e) for e in "ab"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -268,27 +308,107 @@ def components(edges: DataFrame) -> DataFrame:
         state = state.select("node", "comp")
 
 
+def _grouped(prints: DataFrame, names: list[str], radius: int, allow: int = 0) -> DataFrame:
+    """A table of nodes: ``node``, the least ``_id`` in reach as ``component_id``, and whether over a thousandth of the rows have the node.
+
+    ``prints``: columns ``names`` (fingerprint and check prints) and ``_id``."""
+    node = F.col(names[0]) if len(names) == 1 else F.struct(*names)
+    nodes = cut(prints.groupBy(*names).agg(F.min("_id").alias("_least"), F.count("*").alias("_rows")).withColumn("node", node), "simhash-nodes")
+    n, rows = nodes.agg(F.count("*"), F.coalesce(F.sum("_rows"), F.lit(0))).first()
+    heavy = (F.col("_rows") * HOT_SHARE > rows).alias("heavy")
+    alone = nodes.select("node", F.col("_least").alias("component_id"), heavy)
+    if n < 2:
+        return cut(alone, "simhash-groups")
+    groups, thresholds = plan(nodes, n, radius)
+    edges = cut(links(nodes.select(*names), groups, thresholds, radius, allow=allow), "simhash-links")
+    if not edges.limit(1).count():
+        return cut(alone, "simhash-groups")
+    label = cut(components(edges).join(nodes.select("node", "_least"), "node"), "simhash-labels")
+    least = cut(label.groupBy("comp").agg(F.min("_least").alias("component_id"), F.count("*").alias("_c")), "simhash-least")
+    named = hot_join(label.select("node", "comp"), least, "comp", F.col("_c") * HOT_SHARE > label.count()).select("node", F.col("component_id").alias("_far"))
+    return cut(nodes.join(named, "node", "left").select("node", F.coalesce("_far", "_least").alias("component_id"), heavy), "simhash-groups")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """One row a document: fingerprint in hex and the least id of its component."""
-    prints = cut(fingerprints(docs, text, key), "simhash")
-    nodes = cut(prints.groupBy("fp").agg(F.min(key).alias("_least")), "simhash-nodes")
-    n = nodes.count()
-    found = nodes.select("fp", F.col("fp").alias("comp"), "_least")
-    if n > 1:
-        groups, thresholds = plan(nodes, n, radius)
-        edges = cut(links(nodes, groups, thresholds, radius), "simhash-links")
-        if edges.limit(1).count():
-            label = components(edges)
-            found = nodes.join(label, nodes["fp"] == label["node"], "left").select("fp", F.coalesce("comp", "fp").alias("comp"), "_least")
-    least = found.groupBy("comp").agg(F.min("_least").alias("component_id"))
-    named = found.join(least, "comp").select("fp", "component_id")
-    return prints.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component: the one of least id (one of equal rows)."""
-    own = docs.withColumn("_th", F.xxhash64(text))
-    marked = own.select(F.struct(F.coalesce(F.col(key), F.lit(2**63 - 1)).alias("id"), "_th").alias("_id"), F.col(text).alias("_text"))
-    groups = near_duplicates(marked, "_text", "_id", radius)
-    chosen = groups.select("component_id").distinct().select("component_id.*")
-    return own.withColumn("_kid", F.coalesce(F.col(key), F.lit(2**63 - 1))).join(chosen.select(F.col("id").alias("_kid"), F.col("_th")), ["_kid", "_th"], "left_semi").dropDuplicates(["_kid", "_th"]).drop("_kid", "_th")
+    prints = cut(fingerprints(docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("_text")), "_text", "_id"), "simhash")
+    found = _grouped(prints, ["fp"], radius)
+    named = hot_join(prints.select("_id", F.col("fp").alias("node")), found, "node", F.col("heavy"))
+    return named.select(F.col("_id").alias(key), F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+class _Hashes(dict):
+    """Hash of each word seen; long words aren't kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        made = xxhash.xxh64_intdigest(word, seed=42)
+        if len(word) <= 64:
+            self[word] = made
+        return made
+
+
+_HASHES = _Hashes()
+
+
+def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit finaliser (splitmix64)."""
+    z = x + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & (2**64 - 1))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def _shingles(h: np.ndarray, k: int) -> np.ndarray:
+    """One value for each ``k`` words in a row; for all of them where there are fewer."""
+    k = min(k, len(h))
+    out = np.zeros(max(0, len(h) - k + 1) if k else 0, dtype=np.uint64)
+    for j in range(k):
+        out = out * np.uint64(0x100000001B3) + h[j : j + len(out)]
+    return out
+
+
+def _majority(parts: list[np.ndarray]) -> int:
+    """Bits set in more than half of the hashes of all parts."""
+    votes, n = np.zeros(64, dtype=np.int64), 0
+    for h in parts:
+        n += len(h)
+        for a in range(0, len(h), 100_000):
+            some = np.ascontiguousarray(h[a : a + 100_000])
+            votes += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > n, bitorder="little").view(np.int64)[0])
+
+
+def sketch(text: str) -> tuple[int, int, int]:
+    """Fingerprint over words (once) and word pairs (twice), and two check prints over 5-word shingles, as signed longs."""
+    w = text.encode("utf-8", "surrogatepass").lower().split()
+    if len(_HASHES) > 500_000:
+        _HASHES.clear()
+    h = np.array([_HASHES[x] for x in w], dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        pairs, fives = _mixed(_shingles(h, 2), 1), _shingles(h, CHECK_SHINGLE)
+        return _majority([h, pairs, pairs]), _majority([_mixed(fives, 2)]), _majority([_mixed(fives, 3)])
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = COPY_RADIUS, allow: int = CHECK_BITS) -> DataFrame:
+    """``docs`` with one document of each group of near copies: the one of least id (of equal rows one; null ids last).
+
+    Near copies share at least about 0.8 of their 5-word shingles.  Such a pair's fingerprints over single shingles differ by
+    ten bits and more of 64, which no pigeonhole reaches at a bearable cost; so candidates come from a fingerprint over
+    words and word pairs, which a changed word alters less (``radius`` bits), and are verified by 128 bits over 5-word
+    shingles: at most ``allow`` of them differ (at a similarity of 0.8, 19 are expected, with a deviation of 4).
+    Groups are chains of such links.  All columns stay, whatever their names; null, empty and blank texts are copies of
+    each other; no documents give no rows."""
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{key}`").isNull().alias("_null"), F.col(f"`{key}`").alias("_key"), F.xxhash64(f"`{text}`").alias("_th"), F.col(f"`{text}`").alias("_text"))
+
+    def work(texts):
+        made = [sketch(t) for t in texts]
+        return {"fp": [m[0] for m in made], "c1": [m[1] for m in made], "c2": [m[2] for m in made]}
+
+    prints = map_texts(own, "_text", ["_null", "_key", "_th"], "fp long, c1 long, c2 long", work)
+    prints = cut(prints.select("fp", "c1", "c2", F.struct("_null", "_key", "_th").alias("_id")), "simhash")
+    chosen = _grouped(prints, ["fp", "c1", "c2"], radius, allow).select("component_id").distinct().select("component_id.*")
+    chosen = chosen.select(F.col("_key").alias("_ck"), F.col("_th").alias("_ct"))
+    kept = own.join(chosen, F.col("_key").eqNullSafe(F.col("_ck")) & (F.col("_th") == F.col("_ct")), "left_semi")
+    return kept.groupBy("_key", "_th").agg(F.first("_row").alias("_row")).select("_row.*")
