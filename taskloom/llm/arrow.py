@@ -47,12 +47,15 @@ def map_texts(docs: DataFrame, text: str, keep: list[str], fields: str, work: Ca
     names = [f.name for f in made.fields]
 
     types = list(arrow_schema(fields).types)
+    body = "_text"
+    while body in keep:
+        body += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch, "_text"):
+            for part, texts in slices(batch, body):
                 got = work(texts)
                 arrays = [part.column(c) for c in keep] + [pa.array(got[n], type=t) for n, t in zip(names, types)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *names])
 
-    return docs.selectExpr(*[f"`{c}`" for c in keep], f"`{text}` as _text").mapInArrow(run, out)
+    return docs.selectExpr(*[f"`{c}`" for c in keep], f"`{text}` as {body}").mapInArrow(run, out)

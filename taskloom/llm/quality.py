@@ -13,7 +13,8 @@ Trusted labels: the ``MOST_LABELS`` labelled ids of smallest hash at most, so th
 broadcast.  With no trusted label or no document, all weights are 0 and only the rules decide.
 
 Defined results: null text has no words and fails the rules; repeated rows are judged each; contradicting
-labels of one id: any good, non-toxic one counts; extra columns are ignored.
+labels of one id: any good, non-toxic one counts; an empty or null text has no n-grams and scores 0; no documents
+give no rows; extra columns of any name are ignored.  One document's words are held by one task.
 """
 
 from __future__ import annotations
@@ -52,8 +53,9 @@ def gram_weights(docs: DataFrame, labels: DataFrame, text: str = "text", key: st
     """One row: ``weights``, an array of ``buckets`` log-likelihood ratios."""
     good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & F.col(key).isNotNull()).select(F.col(key).alias("_good")).distinct()
     good = good.orderBy(F.xxhash64("_good"), "_good").limit(most_labels)
-    marked = docs.join(F.broadcast(good), F.col(key) == F.col("_good"), "left").withColumn("_target", F.col("_good").isNotNull().cast("long"))
-    each = _with_grams(marked, text, ["_target"], buckets).select("_rid", "_target", F.explode_outer("_g").alias("bucket")).where(F.col("bucket").isNotNull() & (F.col("_rid") >= 0))
+    own = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
+    marked = own.join(F.broadcast(good), F.col("_key") == F.col("_good"), "left").withColumn("_target", F.col("_good").isNotNull().cast("long"))
+    each = _with_grams(marked, "_text", ["_target"], buckets).select("_rid", "_target", F.explode_outer("_g").alias("bucket")).where(F.col("bucket").isNotNull() & (F.col("_rid") >= 0))
     counts = cut(each.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("_target").alias("target")), "gram-counts")
     raw, target = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first()
     if not target:
@@ -68,10 +70,11 @@ def gram_weights(docs: DataFrame, labels: DataFrame, text: str = "text", key: st
 
 def quality_digest(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", keep: list[str] | None = None, buckets: int = BUCKETS, threshold: float = THRESHOLD, with_row: bool = False) -> DataFrame:
     """One row a document: counts, the rules' verdict, score and whether it is kept."""
-    keep = keep or [key]
+    # key columns in one: no name of the user's can clash
+    docs_ = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or [key]]).alias("_id"), F.col(f"`{text}`").alias("_text"))
     # one value, fixed in size, held by the plan itself: no join, and no copy of it in each row
     weights = gram_weights(docs, labels, text, key, buckets).scalar()
-    base = _with_grams(docs, text, keep, buckets).withColumn("_h", gram_hashes("_w", REPEAT_WINDOW)).withColumn("_h", F.expr(f"slice(_h, 1, greatest(size(_h) - {REPEAT_WINDOW - 1}, 0))"))
+    base = _with_grams(docs_, "_text", ["_id"], buckets).withColumn("_h", gram_hashes("_w", REPEAT_WINDOW)).withColumn("_h", F.expr(f"slice(_h, 1, greatest(size(_h) - {REPEAT_WINDOW - 1}, 0))"))
     base = base.withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     repeated = F.expr(
         f"""CASE WHEN size(array_distinct(_h)) = size(_h) THEN 0L ELSE aggregate(
@@ -82,7 +85,7 @@ def quality_digest(docs: DataFrame, labels: DataFrame, text: str = "text", key:
               acc -> acc.n) END"""
     )
     counted = base.select(
-        *keep,
+        "_id",
         "_rid",
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
@@ -95,7 +98,7 @@ def quality_digest(docs: DataFrame, labels: DataFrame, text: str = "text", key:
     total = F.expr("aggregate(_g, 0D, (acc, b) -> acc + get(_weights, CAST(b AS INT)))")
     scored = counted.withColumn("score", F.when(F.size("_g") > 0, F.round(total / F.size("_g"), 9)).otherwise(0.0))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return scored.select(*keep, *(["_rid"] if with_row else []), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("score") >= threshold)).alias("kept"), "score")
+    return scored.select("_id.*", *(["_rid"] if with_row else []), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("score") >= threshold)).alias("kept"), "score")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:

@@ -32,6 +32,9 @@ from .scratch import cut, fresh_path
 SHARDS = 24
 HOT_SHARE = 1000
 SALTS = 256
+#: Hash parts of each size class that places are ranked by: totals are this many rows a class (64 classes at most), in
+#: one task for each shard, at any number of documents.
+PARTS = 4096
 
 
 def _ranked(df: DataFrame, by: list[str], bucket: str, order: list, weight: str, out: str) -> DataFrame:
@@ -58,7 +61,6 @@ def shard_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", n_
     n = base.count()
     hot = F.broadcast(groups.where(F.col("_all") * HOT_SHARE > n).select(*group, F.lit(SALTS).alias("_salts")))
     room = n // n_shards
-    parts = max(8, n // 200_000)
 
     quota = [room + (j < n % n_shards) for j in range(n_shards)]
     spread = F.pmod(F.xxhash64("_key", "_h"), F.lit(n_shards)).cast("int")
@@ -85,7 +87,7 @@ def shard_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", n_
         near = F.array_max(F.filter("_m", lambda m: fits(m["shard"])))["shard"]
         others = F.filter(F.array(*[F.lit(j) for j in range(n_shards)]), fits)
         other = F.when(F.size(others) > 0, F.element_at(others, (F.pmod(F.xxhash64(*group, F.lit(done)), F.size(others)) + 1).cast("int")))
-        asks = todo.withColumn("to", F.coalesce(near, other)).withColumn("_b", _bucket("_all", *group, parts=parts))
+        asks = todo.withColumn("to", F.coalesce(near, other)).withColumn("_b", _bucket("_all", *group, parts=PARTS))
         told = _ranked(asks.where(F.col("to").isNotNull()), ["to"], "_b", group, "_all", "_before")
         told = told.select(*group, "_all", "_m", "to", (F.col("_before") + F.col("_all") <= F.element_at(left, F.col("to") + 1)).alias("ok"))
         told = told.unionByName(asks.where(F.col("to").isNull()).select(*group, "_all", "_m", "to", F.lit(False).alias("ok")))
@@ -104,7 +106,7 @@ def shard_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", n_
     lacks = {j: free[j] for j in order}
     ends = {j: sum(free[i] for i in order[: k + 1]) for k, j in enumerate(order)}
     pool = rounds.where("to IS NULL").select(*group, F.col("_all").alias("c")).unionByName(groups.where("_all = 1").select(*group, F.col("_all").alias("c")))
-    pool = pool.withColumn("_one", F.lit(1)).withColumn("_b", _bucket("c", *group, parts=parts * n_shards))
+    pool = pool.withColumn("_one", F.lit(1)).withColumn("_b", _bucket("c", *group, parts=PARTS))
     pool = _ranked(pool, ["_one"], "_b", group, "c", "_before")
     bounds = F.array(*[F.struct(F.lit(j).alias("shard"), F.lit(ends[j] - lacks[j]).cast("long").alias("a"), F.lit(ends[j]).cast("long").alias("b")) for j in range(n_shards)])
     piece = lambda s: F.struct(s["shard"].alias("shard"), (F.least(s["b"], F.col("_before") + F.col("c")) - F.greatest(s["a"], F.col("_before"))).alias("c"))
@@ -123,6 +125,6 @@ def shard_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", n_
     ranked = dealt.withColumn("_r", F.row_number().over(inside) - 1).join(table, [*group, "_salt"]).withColumn("_r", F.col("_r") + F.col("_ahead"))
     walk = F.expr("aggregate(_p, named_struct('left', CAST(_r AS BIGINT), 'shard', -1), (acc, s) -> IF(acc.shard >= 0, acc, IF(acc.left < s.c, named_struct('left', acc.left, 'shard', s.shard), named_struct('left', acc.left - s.c, 'shard', -1))), acc -> acc.shard)")
     placed = ranked.select("_key", "size", "crc", "_h", walk.alias("shard"), F.lit(1).cast("long").alias("_one"))
-    placed = cut(placed.withColumn("_b", F.pmod(F.xxhash64("_key", "_h"), F.lit(max(16, n // n_shards // 100_000))).cast("int")), "shard-placed")
+    placed = cut(placed.withColumn("_b", F.pmod(F.xxhash64("_key", "_h"), F.lit(PARTS)).cast("int")), "shard-placed")
     slotted = _ranked(placed, ["shard"], "_b", ["_key", "_h"], "_one", "slot")
     return slotted.select(F.col("_key").alias(key), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

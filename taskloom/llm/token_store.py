@@ -9,8 +9,10 @@ fingerprint of the key, so that absent keys are turned away.  A lookup reads a f
 Blocks are rows of a Parquet container (``payload``, ``index``, ``keys`` columns), so that Spark's commit
 protocol keeps them whole if executors are lost, on any store that Spark writes to.
 
-Defined results: null text is empty and has the end id alone; null ids come first; repeated ids keep one
-entry each, told apart by their occurrence within the shard; ties go by text hash; extra columns are ignored.
+Defined results: null text is empty and has the end id alone; ids are integers (any other type is a TypeError); null
+ids come first; repeated ids keep one entry each, told apart by their occurrence within the shard; ties go by text hash;
+no documents give no blocks and no rows; extra columns are ignored.  One block, or one longer document, is held by
+one task.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ HOLD = 16_000_000
 LEVELS = 48
 #: Block starts are broadcast up to so many blocks.
 MOST_BLOCKS = 200_000
-BLOCKS = "shard int, block int, first_key bigint, last_key bigint, n_docs bigint, n_ids bigint, width int, payload binary, index binary, keys binary, nulls binary"
+BLOCKS = "shard int, block int, first_key bigint, last_key bigint, first_seen bigint, n_docs bigint, n_ids bigint, width int, payload binary, index binary, keys binary, nulls binary"
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -117,12 +119,16 @@ def unpack_index(data: bytes) -> tuple[PerfectHash, np.ndarray]:
     bits = np.unpackbits(np.frombuffer(data, np.uint8, (total + 7) // 8, at))[:total]
     at += (total + 7) // 8
     prints = np.frombuffer(data, np.uint32, n, at)
-    return PerfectHash(sizes, bits, prints), np.frombuffer(data, np.int64, 2 * n, at + 4 * int(n)).reshape(2, n)
+    return PerfectHash(sizes, bits, prints), np.frombuffer(data, np.int64, 2 * int(n), at + 4 * int(n)).reshape(2, int(n))
 
 
 def write_blocks(docs: DataFrame, vocabulary: str, path: str, text: str = "text", key: str = "doc_id", end: int = END, n_shards: int | None = None) -> None:
     """Encodes ``docs`` in ascending order of ``key`` and writes blocks to ``path``."""
+    from pyspark.sql.types import IntegralType
+
     spark = docs.sparkSession
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"ids are integers, {key} isn't")
     n = n_shards or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     own = docs.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     ordered = own.withColumn("_th", F.xxhash64("_text")).repartitionByRange(n, "_key", "_th").sortWithinPartitions("_key", "_th").select("_key", "_text")
@@ -142,7 +148,7 @@ def write_blocks(docs: DataFrame, vocabulary: str, path: str, text: str = "text"
             k, z, o = np.array(keys, dtype=np.int64), np.array(null, dtype=bool), np.array(seen, dtype=np.int64)
             index = pack_index(hashed_keys(k, z, o), offsets, lengths)
             payload = np.concatenate(ids).astype("<u2" if width == 2 else "<u4").tobytes()
-            row = [shard, block, None if z[0] else int(k[0]), None if z[-1] else int(k[-1]), len(k), int(lengths.sum()), width, payload, index, np.stack([k, o]).tobytes(), z.tobytes()]
+            row = [shard, block, None if z[0] else int(k[0]), None if z[-1] else int(k[-1]), int(o[0]), len(k), int(lengths.sum()), width, payload, index, np.stack([k, o]).tobytes(), z.tobytes()]
             return pa.RecordBatch.from_pylist([dict(zip(schema.names, row))], schema=schema)
 
         for batch in batches:
@@ -193,20 +199,49 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BLOCKS).parquet(path).select("shard", "block", "width", "payload", "index", "keys", "nulls").mapInArrow(run, fields)
 
 
-def get(spark: SparkSession, path: str, ids: list[int]) -> dict[int, list[int]]:
-    """Ids of a few documents by key: only blocks whose key range can hold them are read (pushed to the scan)."""
-    out: dict[int, list[int]] = {}
-    near = F.lit(False)
-    for k in ids:
-        near = near | ((F.coalesce("first_key", F.lit(-(2**63))) <= k) & (F.col("last_key") >= k))
-    for row in spark.read.schema(BLOCKS).parquet(path).where(near).select("width", "payload", "index").toLocalIterator():
-        h, table = unpack_index(bytes(row["index"]))
-        want = np.array(ids, dtype=np.int64)
-        slot = h.lookup(hashed_keys(want, np.zeros(len(want), bool), np.zeros(len(want), np.int64)))
-        data = np.frombuffer(bytes(row["payload"]), "<u2" if row["width"] == 2 else "<u4")
-        for k, s in zip(ids, slot):
-            if s >= 0:
-                out[k] = data[table[0, s] : table[0, s] + table[1, s]].tolist()
+def lookup(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
+    """(doc_id, shard, block, occurrence, ids) of a stated list of ids, every occurrence of each; absent ids give no rows.
+
+    Blocks are skipped by their key range where they are read; in a block that is left an id costs one probe of its
+    index for each occurrence and one more, whatever the block's size, and only found documents leave it."""
+    want = np.array(sorted({int(k) for k in ids}), dtype=np.int64)
+    fields = "doc_id bigint, shard int, block int, occurrence bigint, ids array<int>"
+    schema = arrow_schema(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (head,) = batch.slice(i, 1).select(["shard", "block", "first_key", "last_key", "first_seen", "width"]).to_pylist()
+                first, last = head["first_key"], head["last_key"]
+                if last is None:
+                    continue
+                near = want[(want >= (np.iinfo(np.int64).min if first is None else first)) & (want <= last)]
+                if not len(near):
+                    continue
+                view = lambda c: memoryview(batch.column(c)[i].as_buffer())  # noqa: B023, E731
+                h, table = unpack_index(view("index"))
+                data = np.frombuffer(view("payload"), "<u2" if head["width"] == 2 else "<u4")
+                seen = np.where(near == first, head["first_seen"], 0) if first is not None else np.zeros(len(near), np.int64)
+                out: list[dict] = []
+                while len(near):
+                    slot = h.lookup(hashed_keys(near, np.zeros(len(near), bool), seen))
+                    hit = slot >= 0
+                    near, seen, slot = near[hit], seen[hit], slot[hit]
+                    out += [dict(zip(schema.names, (int(k), head["shard"], head["block"], int(o), data[table[0, s] : table[0, s] + table[1, s]].tolist()))) for k, o, s in zip(near, seen, slot)]
+                    seen = seen + 1
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    if not len(want):
+        return spark.createDataFrame([], fields)
+    near = ((F.coalesce("first_key", F.lit(-(2**63))) <= int(want[-1])) & (F.col("last_key") >= int(want[0])))
+    return spark.read.schema(BLOCKS).parquet(path).where(near).select("shard", "block", "first_key", "last_key", "first_seen", "width", "payload", "index").mapInArrow(run, fields)
+
+
+def get(spark: SparkSession, path: str, ids: list[int]) -> dict[int, list[list[int]]]:
+    """Token ids of a few documents by id: a list for every occurrence, in the store's order."""
+    out: dict[int, list[list[int]]] = {}
+    for r in lookup(spark, path, ids).orderBy("doc_id", "shard", "block", "occurrence").toLocalIterator():
+        out.setdefault(r["doc_id"], []).append(r["ids"])
     return out
 
 
