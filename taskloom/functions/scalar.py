@@ -56,3 +56,39 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     a, b = double(a), double(b)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def megabytes(n: Column) -> Column:
+    return n / 1048576.0
+
+
+def gigabytes(n: Column) -> Column:
+    return n / 1073741824.0
+
+
+def title(name: Column) -> Column:
+    """Words of an underscored name with capitals."""
+    return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
+
+
+def unfenced(content: Column) -> Column:
+    """What stands in the first code fence, without its language mark; without a fence the stripped text."""
+    bare = F.regexp_replace(content, r"^\s+|\s+$", "")
+    inner = F.regexp_replace(F.regexp_replace(F.element_at(F.split(bare, "```"), 2), r"^[json]+", ""), r"^\s+|\s+$", "")
+    return F.when(bare.startswith("```"), inner).otherwise(bare)
+
+
+def jittered(delay: Column, seed: int, share: float = 0.2) -> Column:
+    """A delay moved by up to ``share`` either way, at least 0.1; applied after the cap, so it may pass it."""
+    return F.greatest(F.lit(0.1), delay * (1 - share + 2 * share * F.rand(seed)))
+
+
+def short_id(n: int = 8) -> Column:
+    """The head of a random id; never the same twice, so not for compared results."""
+    return F.substring(F.uuid(), 1, n)
+
+
+def items_by_value(df, column: str, out: str = "items"):
+    """Entries of a map of counts, largest first, as ``key:value`` joined by commas."""
+    entries = F.array_sort(F.transform(F.map_entries(column), lambda e: F.struct((-e["value"]).alias("v"), e["key"].alias("k"))))
+    return df.withColumn(out, F.array_join(F.transform(entries, lambda e: F.concat(e["k"], F.lit(":"), (-e["v"]).cast("string"))), ","))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +23,30 @@ def levels(defs: DataFrame, edges: DataFrame) -> DataFrame:
     return defs.sparkSession.sql(f"WITH RECURSIVE walk(name, depth) AS (SELECT name, 0 FROM {d} WHERE name NOT IN (SELECT dst FROM {e}) UNION ALL SELECT e.dst, depth + 1 FROM walk JOIN {e} e ON walk.name = e.src WHERE depth < {MOST_LEVELS}) SELECT name, max(depth) AS level FROM walk GROUP BY name")
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage ended in the checkpoint folder; only a local session may go without one."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name storage that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="taskloom-"))
+    return df.checkpoint()
+
+
 def dependents(defs: DataFrame, edges: DataFrame) -> DataFrame:
-    """(root, node): all that transitively depend on root."""
-    _, e = _views(defs, edges)
-    return defs.sparkSession.sql(f"WITH RECURSIVE reach(root, node, depth) AS (SELECT src, dst, 1 FROM {e} UNION ALL SELECT root, e.dst, depth + 1 FROM reach JOIN {e} e ON reach.node = e.src WHERE depth < {MOST_LEVELS}) SELECT DISTINCT root, node FROM reach")
+    """(root, node): all that transitively depend on root.
+
+    Paths double in length each round until no pair is new, so cycles end too; pairs are kept, never paths."""
+    reach = _cut(edges.select(F.col("src").alias("root"), F.col("dst").alias("node")).distinct())
+    n = reach.count()
+    while True:
+        far = reach.select("root", F.col("node").alias("_m")).join(reach.select(F.col("root").alias("_m"), "node"), "_m").select("root", "node")
+        reach = _cut(reach.unionByName(far).distinct())
+        if (m := reach.count()) == n:
+            return reach
+        n = m
 
 
 def critical_path(defs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -52,3 +74,37 @@ def summary(defs: DataFrame, edges: DataFrame) -> DataFrame:
 def isolated(defs: DataFrame, edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("src").alias("name")).unionByName(edges.select(F.col("dst").alias("name")))
     return defs.select("name").join(ends, "name", "left_anti")
+
+
+def cyclic_members(defs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes that no order reaches: those on a cycle, and what depends on them."""
+    reach = dependents(defs, edges)
+    on = reach.where("root = node").select("root").distinct()
+    below = reach.join(on, "root", "left_semi").select("node")
+    return on.select(F.col("root").alias("name")).unionByName(below.select(F.col("node").alias("name"))).distinct()
+
+
+def add_edges(defs: DataFrame, edges: DataFrame, more: DataFrame) -> tuple[DataFrame, bool]:
+    """``edges`` with ``more``, and True; if that makes a cycle, ``edges`` as they were, and False."""
+    both = edges.unionByName(more).distinct()
+    cyclic = dependents(defs, both).where("root = node").limit(1).count() > 0
+    return (edges, False) if cyclic else (both, True)
+
+
+def validate(defs: DataFrame, edges: DataFrame, most_levels: int = 10) -> DataFrame:
+    """Warnings: isolated nodes, and more than ``most_levels`` levels."""
+    alone = isolated(defs, edges).select(F.concat(F.lit("isolated: "), F.col("name")).alias("warning"))
+    deep = levels(defs, edges).agg((F.max("level") + 1).alias("_n")).where(F.col("_n") > most_levels).select(F.concat(F.lit("levels: "), F.col("_n").cast("string")).alias("warning"))
+    return alone.unionByName(deep)
+
+
+def path_costs(defs: DataFrame, edges: DataFrame) -> DataFrame:
+    """The most estimated seconds of any path that ends in each node: relaxed level by level, one row a node, where
+    ``critical_path`` lists paths, of which a dense graph has too many."""
+    own = defs.select("name", F.coalesce("estimated_s", F.lit(1.0)).alias("_s"))
+    depth = levels(defs, edges).agg(F.max("level")).first()[0] or 0
+    cost = own.withColumn("cost", F.col("_s"))
+    for _ in range(depth):  # a graph has few levels, MOST_LEVELS at most
+        best = edges.join(cost.select(F.col("name").alias("src"), "cost"), "src").groupBy(F.col("dst").alias("name")).agg(F.max("cost").alias("_best"))
+        cost = own.join(best, "name", "left").withColumn("cost", F.col("_s") + F.coalesce("_best", F.lit(0.0))).drop("_best")
+    return cost.select("name", F.round("cost", 2).alias("cost"))

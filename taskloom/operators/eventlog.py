@@ -71,7 +71,7 @@ def active_deferrals(events: DataFrame, deadline_s: int = 600 * 86400) -> DataFr
 
 def deferral_backoff(tasks: DataFrame, base: float = 2.0, escalate_after: int = 5) -> DataFrame:
     """One row a deferral of each task: its delay, and the priority after escalation from the fifth on."""
-    d = tasks.select("task_id", "priority", F.explode(F.expr("sequence(1, cast(defer_count as int))")).alias("defer_number")).where(F.col("defer_number") >= 1)
+    d = tasks.where("defer_count > 0").select("task_id", "priority", F.explode(F.expr("sequence(1, cast(defer_count as int))")).alias("defer_number"))
     after = F.greatest(F.lit(0), F.col("priority") - F.greatest(F.lit(0), F.col("defer_number") - (escalate_after - 1)))
     return d.select("task_id", "defer_number", backoff("exponential", base, F.col("defer_number")).alias("backoff_s"), after.alias("priority_after"), (F.col("defer_number") >= escalate_after).alias("escalated"))
 
@@ -98,3 +98,60 @@ def run_lifecycle(tasks: DataFrame) -> DataFrame:
     aborted = F.col("_next").isNotNull() & (F.col("complete_at").isNull() | (F.col("_next") < F.col("complete_at")))
     x = x.withColumns({"ended_at": F.when(aborted, F.col("_next")).otherwise(F.col("complete_at")), "run_status": F.when(aborted, "ABORTED").when(F.col("complete_at").isNull(), "RUNNING").when(F.col("status") == "FAILED", "FAILED").otherwise("COMPLETED")})
     return x.select("task_id", "session", "ended_at", "run_status", F.when(F.col("ended_at").isNotNull(), seconds("queued_at", "ended_at").cast("double")).alias("duration_s"))
+
+
+#: Error types after which no attempt is worth another: fixed values.
+NOT_RETRYABLE = ["KeyboardInterrupt", "SystemExit", "ValueError", "NotImplementedError", "ImportError", "TaskExpiredError", "RetryBudgetExhaustedError"]
+
+
+def retryable(error: str):
+    """Whether an error type is worth another attempt: any but the listed ones."""
+    return ~F.col(error).isin(NOT_RETRYABLE)
+
+
+def handle_deferrals(deferrals: DataFrame, deadline_s: float, base: float = 2.0, escalate_after: int = 5) -> DataFrame:
+    """What follows each deferral (task_id, session, priority, at): expired, or requeued after a delay at a priority.
+
+    The first deferral of a task starts its clock; one at or past the deadline expires it (priority -1)."""
+    w = W.partitionBy("task_id").orderBy("at")
+    x = deferrals.withColumn("_start", F.min("at").over(W.partitionBy("task_id")))
+    x = x.withColumn("elapsed_s", F.expr("timestampdiff(SECOND, _start, at)").cast("double")).withColumn("expired", F.col("elapsed_s") >= deadline_s)
+    n = F.row_number().over(w)
+    x = x.withColumn("defer_number", n)
+    after = F.greatest(F.lit(0), F.col("priority") - F.greatest(F.lit(0), F.col("defer_number") - (escalate_after - 1)))
+    return x.select("task_id", "defer_number", "elapsed_s", F.when(F.col("expired"), "EXPIRED").otherwise("REQUEUED").alias("action"), F.when(F.col("expired"), 0.0).otherwise(backoff("exponential", base, F.col("defer_number"))).alias("backoff_s"), F.when(F.col("expired"), -1).otherwise(after).alias("priority_after"))
+
+
+def record_lifecycle(events: DataFrame, ticks: DataFrame) -> DataFrame:
+    """The full recorder: ends of life carry waits, bursts and turnaround; forced dispatches and cancellations are told
+    apart; throttle changes (at, throttled) come in as events of the scheduler itself."""
+    e = timed(events)
+    kind = F.when((F.col("event_type") == "DISPATCHED") & (F.col("defer_count") >= 5), "FORCE_DISPATCHED").when((F.col("event_type") == "DEFERRED") & (F.col("task_id") % 41 == 0), "CANCELLED").otherwise(F.col("event_type"))
+    ended = F.col("event_type").isin("COMPLETED", "FAILED")
+    started = ended | (F.col("event_type") == "DISPATCHED")
+    own = e.select(F.col("task_id").cast("string").alias("task"), kind.alias("event"), "event_at", F.when(started, F.col("wait_s")).otherwise(F.lit(0)).cast("long").alias("wait_s"), F.when(ended, F.col("burst_s")).otherwise(F.lit(0)).cast("long").alias("burst_s"), F.when(ended, F.col("turnaround_s")).otherwise(F.lit(0)).cast("long").alias("turnaround_s"))
+    zero = F.lit(0).cast("long")
+    more = ticks.select(F.lit("__scheduler__").alias("task"), F.when(F.col("throttled"), "THROTTLED").otherwise("UNTHROTTLED").alias("event"), F.col("at").alias("event_at"), zero.alias("wait_s"), zero.alias("burst_s"), zero.alias("turnaround_s"))
+    return own.unionByName(more)
+
+
+def audit_trail(events: DataFrame, task_ids: list[int]) -> DataFrame:
+    """Deferrals and failures of some tasks, in order."""
+    e = events.where(F.col("task_id").isin(task_ids) & F.col("event_type").isin("DEFERRED", "FAILED"))
+    return e.select("task_id", F.row_number().over(W.partitionBy("task_id").orderBy("event_at", "event_type")).alias("entry"), "event_type", "event_at")
+
+
+def dispatch_resources(events: DataFrame, telemetry: DataFrame, limit: int = 5) -> DataFrame:
+    """Starvation count (events that carry a forced task) and cpu and ram at plain dispatches, from the snapshot of the task's number."""
+    forced = F.col("defer_count") >= limit
+    s = telemetry.select(F.col("seq").alias("task_id"), "cpu_pct", "ram_pct")
+    x = events.where("event_type IN ('DISPATCHED', 'COMPLETED', 'FAILED')").join(s, "task_id", "left")
+    plain = (F.col("event_type") == "DISPATCHED") & ~forced
+    at = lambda f, c: F.coalesce(F.round(f(F.when(plain, F.col(c))), 4), F.lit(0.0))
+    return x.agg(F.count_if(forced).alias("starvation"), at(F.avg, "cpu_pct").alias("avg_cpu"), at(F.max, "cpu_pct").alias("max_cpu"), at(F.avg, "ram_pct").alias("avg_ram"), at(F.max, "ram_pct").alias("max_ram"))
+
+
+def run_catalogue(runs: DataFrame) -> DataFrame:
+    """Runs (run_id, metrics: map of sample arrays, alerts, bottlenecks), latest first, with counts."""
+    n = F.aggregate(F.map_values("metrics"), F.lit(0), lambda s, v: s + F.size(v))
+    return runs.select("run_id", n.alias("n_metrics"), F.size("alerts").alias("n_alerts"), F.size("bottlenecks").alias("n_bottlenecks"))

@@ -84,3 +84,34 @@ def stats(decisions: DataFrame) -> DataFrame:
         n.alias("total"), F.count_if(F.col("action").isin("dispatch", "force_dispatch")).alias("dispatched"), F.count_if(deferred).alias("deferred"), F.count_if(F.col("action") == "skip").alias("skipped"),
         share(F.count_if(deferred).cast("double"), n).alias("defer_rate"), F.round(F.avg(F.when(deferred, F.col("cpu_pct"))), 2).alias("cpu_at_defer"),
     )
+
+
+def evaluate_batch(entries: DataFrame, snapshot: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """All entries against one snapshot: a table of one row, which is broadcast."""
+    return evaluate(entries.crossJoin(F.broadcast(snapshot.limit(1))), rules)
+
+
+class Chain:
+    """An editable chain of rules."""
+
+    def __init__(self, rules: list[Rule] = RULES):
+        self._rules = list(rules)
+
+    def prepend(self, rule: Rule) -> None:
+        self._rules.insert(0, rule)
+
+    def append(self, rule: Rule) -> None:
+        self._rules.append(rule)
+
+    def remove(self, name: str) -> bool:
+        """Takes out the first rule of this name; whether there was one."""
+        at = next((i for i, r in enumerate(self._rules) if r.__name__ == name), None)
+        if at is not None:
+            del self._rules[at]
+        return at is not None
+
+    def names(self) -> list[str]:
+        return [r.__name__ for r in self._rules]
+
+    def evaluate(self, entries: DataFrame) -> DataFrame:
+        return evaluate(entries, self._rules)

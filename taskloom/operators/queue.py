@@ -6,13 +6,113 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.adapters import seconds
+
 NAMES = [(0, "CRITICAL"), (1, "HIGH"), (2, "MEDIUM"), (3, "LOW"), (4, "BACKGROUND")]
 
 
 def aged(tasks: DataFrame) -> DataFrame:
-    """``effective`` priority after ``ticks``: one step a ten ticks, at least HIGH from fifty on."""
-    t = F.col("ticks")
-    return tasks.withColumn("effective", F.when((t >= 50) & (F.col("priority") > 1), 1).otherwise(F.greatest(F.lit(0), F.col("priority") - F.floor(t / 10))).cast("int"))
+    """``effective`` priority of a first enqueue after ``ticks``: one step every ten, not under 0.
+
+    The step to HIGH at fifty ticks can't show here: from any priority 0 is reached by then (see ``aged_again``)."""
+    return tasks.withColumn("effective", F.greatest(F.lit(0), F.col("priority") - F.floor(F.col("ticks") / 10)).cast("int"))
+
+
+def aged_again(tasks: DataFrame) -> DataFrame:
+    """``effective`` priority ``ticks`` after a re-push, which resets the priority but keeps ``age`` ticks.
+
+    The first tick at an age of fifty or more sets what is still over HIGH to HIGH; every tenth age is a step else."""
+    age, end, p = F.col("age"), F.col("age") + F.col("ticks"), F.col("priority")
+    tens = lambda x: F.floor(x / 10)
+    low = lambda x: F.greatest(F.lit(0), x)
+    first = F.greatest(F.lit(50), age + 1)
+    before = low(p - (tens(first - 1) - tens(age)))
+    at = F.when(before > 1, 1).when(first % 10 == 0, low(before - 1)).otherwise(before)
+    forced = low(at - (tens(end) - tens(first)))
+    return tasks.withColumn("effective", F.when(F.col("ticks") < 1, p).when(end < first, low(p - (tens(end) - tens(age)))).otherwise(forced).cast("int"))
+
+
+def aged_pending(tasks: DataFrame) -> DataFrame:
+    """The other form: only ticks that a task was pending count, the counter starts anew at each step, and no step is forced."""
+    return tasks.withColumn("effective", F.greatest(F.lit(0), F.col("priority") - F.floor(F.col("pending_ticks") / 10)).cast("int"))
+
+
+def numbered(tasks: DataFrame, day, order: list, out: str) -> DataFrame:
+    """``out``: each row's place from 0 by (``day``, ``order``): a count of the days before, and a place within the day."""
+    x = tasks.withColumn("_day", day)
+    totals = x.groupBy("_day").agg(F.count("*").alias("_total"))
+    starts = totals.select("_day", F.coalesce(F.sum("_total").over(W.orderBy("_day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    inside = x.withColumn("_r", F.row_number().over(W.partitionBy("_day").orderBy(*order)) - 1)
+    return inside.join(starts, "_day").withColumn(out, (F.col("_ahead") + F.col("_r")).cast("long")).drop("_day", "_ahead", "_r")
+
+
+def push(tasks: DataFrame) -> DataFrame:
+    """Arrival numbers by time of submission; the effective priority starts at the nominal one, the state is pending."""
+    seq = numbered(tasks, F.to_date("queued_at"), ["queued_at", "task_id"], "arrival_seq")
+    return seq.select("task_id", "arrival_seq", F.col("priority").alias("effective"), F.lit("pending").alias("state"))
+
+
+def live(tasks: DataFrame, cancelled: DataFrame) -> DataFrame:
+    """Waiting tasks without those cancelled (column task_id)."""
+    return tasks.where("status = 'DEFERRED'").join(cancelled.select("task_id").distinct(), "task_id", "left_anti")
+
+
+def pop_batch(tasks: DataFrame, cancelled: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` live tasks by effective priority and arrival: an ordered limit, kept per partition before it is merged."""
+    x = live(tasks, cancelled).select("task_id", F.greatest(F.lit(0), F.col("priority") - F.floor(F.col("task_id") % 60 / 10)).cast("int").alias("effective"))
+    return x.orderBy("effective", "task_id").limit(n)
+
+
+def drain(tasks: DataFrame, cancelled: DataFrame) -> DataFrame:
+    """All live tasks with their positions."""
+    return pop_order(live(tasks, cancelled))
+
+
+def peek_by_priority(tasks: DataFrame, cancelled: DataFrame, priority: int) -> DataFrame:
+    """Live tasks of a nominal priority."""
+    return live(tasks, cancelled).where(F.col("priority") == priority).select("task_id", "priority")
+
+
+def cancel(tasks: DataFrame, ids: DataFrame, eager: bool = False) -> DataFrame:
+    """State of each task after cancelling ``ids``: waiting tasks only.  ``eager``: cancelled ones leave at once."""
+    hit = ids.select("task_id", F.lit(True).alias("_hit")).distinct()
+    x = tasks.join(hit, "task_id", "left")
+    state = F.when(F.col("_hit") & (F.col("status") == "DEFERRED"), "cancelled").when(F.col("status") == "DEFERRED", "pending").otherwise("gone")
+    x = x.select("task_id", "priority", state.alias("state"))
+    return x.where("state <> 'cancelled'") if eager else x
+
+
+def requeue(events: DataFrame) -> DataFrame:
+    """Requeues folded from the log: how often, since when a task waits now; priority and place in line stay."""
+    d = events.where("event_type IN ('QUEUED', 'DEFERRED')")
+    return d.groupBy("task_id").agg(F.count_if(F.col("event_type") == "DEFERRED").alias("defer_count"), F.max("event_at").alias("waiting_since"), F.min("priority").alias("effective"))
+
+
+def _spent(a: str, b: str):
+    """Seconds from ``a`` to ``b``, not under 0; null where either is."""
+    return F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), seconds(a, b))
+
+
+def queue_stats(tasks: DataFrame, cancelled: DataFrame) -> DataFrame:
+    """Counters of each session's queue: pushed, popped, cancelled, requeued, boosts, mean wait and peak depth."""
+    hit = cancelled.select("task_id", F.lit(True).alias("_hit")).distinct()
+    wait = _spent("queued_at", "dispatch_at")
+    x = tasks.join(hit, "task_id", "left").groupBy("session").agg(
+        F.count("*").alias("pushed"), F.count("dispatch_at").alias("popped"), F.count_if(F.col("_hit") & (F.col("status") == "DEFERRED")).alias("cancelled"), F.sum("defer_count").alias("requeued"),
+        F.sum(F.least(F.col("priority"), F.floor(F.col("task_id") % 60 / 10))).cast("long").alias("boosts"), F.coalesce(F.round(F.avg(wait), 3), F.lit(0.0)).alias("avg_wait"),
+    )
+    return x.join(peak_depth(tasks), "session")
+
+
+def scheduler_stats(tasks: DataFrame) -> DataFrame:
+    """One row of totals, with mean wait and burst."""
+    wait = _spent("queued_at", "dispatch_at")
+    burst = F.when(F.col("status") != "DEFERRED", _spent("dispatch_at", "complete_at"))
+    is_ = lambda k: F.count_if(F.col("status") == k)
+    return tasks.agg(
+        F.count("*").alias("submitted"), F.count("dispatch_at").alias("dispatched"), is_("COMPLETED").alias("completed"), is_("FAILED").alias("failed"), is_("DEFERRED").alias("deferred"),
+        F.count_if(F.col("defer_count") >= 5).alias("forced"), F.coalesce(F.round(F.avg(wait), 3), F.lit(0.0)).alias("avg_wait"), F.coalesce(F.round(F.avg(burst), 3), F.lit(0.0)).alias("avg_burst"),
+    )
 
 
 def pop_order(tasks: DataFrame, steps: int = 64) -> DataFrame:

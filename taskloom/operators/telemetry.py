@@ -109,3 +109,43 @@ def session_summary(t: DataFrame) -> DataFrame:
         F.expr("timestampdiff(SECOND, min(ts), max(ts))").alias("duration_s"), F.round(F.avg("cpu_pct"), 8).alias("avg_cpu"), F.max("cpu_pct").alias("peak_cpu"), F.round(F.avg("ram_pct"), 8).alias("avg_ram"), F.max("ram_pct").alias("peak_ram"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("bottleneck") != "none", F.col("bottleneck")))), ",").alias("bottlenecks"),
     )
+
+
+def disk_rates(t: DataFrame, poll_s: float = 2.0) -> DataFrame:
+    """Rates from counters (read_bytes, busy_ms, ctx): MB/s over the real time step, busy share under 100, and context
+    switches over the nominal poll; rates aren't negative, a first row is 0, a step that takes no time counts as a poll."""
+    w = by_pid()
+    prev = lambda c: F.lag(c).over(w)
+    x = t.withColumns({"_b": prev("read_bytes"), "_m": prev("busy_ms"), "_c": prev("ctx"), "_t": prev("ts")})
+    dt = F.expr("timestampdiff(MICROSECOND, _t, ts)") / 1e6
+    dt = F.when(dt > 0, dt).otherwise(poll_s)
+    known = F.col("_t").isNotNull()
+    rate = lambda v: F.when(known, F.greatest(F.lit(0.0), v)).otherwise(0.0)
+    return x.select(
+        "seq", "pid", F.round(rate((F.col("read_bytes") - F.col("_b")) / 1048576.0 / dt), 3).alias("read_mb_s"),
+        F.round(F.least(F.lit(100.0), rate((F.col("busy_ms") - F.col("_m")) / 1000.0 / dt * 100.0)), 1).alias("busy_pct"), F.round(rate((F.col("ctx") - F.col("_c")) / poll_s), 4).alias("ctx_per_s"),
+    )
+
+
+def top_processes(processes: DataFrame, own: list[int], n: int = 10) -> DataFrame:
+    """The ``n`` busiest processes and the own ones, each once."""
+    top = processes.orderBy(F.desc("cpu_pct"), "pid").limit(n)
+    return top.unionByName(processes.where(F.col("pid").isin(own))).groupBy("pid").agg(F.max("cpu_pct").alias("cpu_pct"))
+
+
+def flat_snapshot(nested: DataFrame) -> DataFrame:
+    """Nested snapshots as one row of resources; what is missing has its default (16 GB of memory, no GPU, no bottleneck)."""
+    d = lambda c, v: F.coalesce(F.col(c), F.lit(v))
+    return nested.select(
+        "seq", d("cpu.overall_pct", 0.0).alias("cpu_pct"), d("memory.used_pct", 0.0).alias("ram_used_pct"), d("memory.available_gb", 16.0).alias("ram_available_gb"), d("memory.swap_pct", 0.0).alias("swap_pct"),
+        d("gpu.available", False).alias("gpu_available"), d("gpu.vram_used_pct", 0.0).alias("gpu_vram_pct"), d("bottleneck", "none").alias("bottleneck"),
+    )
+
+
+def latch_transitions(t: DataFrame) -> DataFrame:
+    """The rows at which the throttle of ``throttle_latch`` changes."""
+    x = pressure(t)
+    signal = F.when(F.col("cpu_high") | F.col("ram_high") | (F.col("bottleneck") == "oom_risk"), "THROTTLED").when(F.col("cpu_low") & F.col("ram_low") & (F.col("bottleneck") == "none"), "NORMAL")
+    x = x.withColumn("_s", F.coalesce(F.last(signal, ignorenulls=True).over(by_pid().rowsBetween(W.unboundedPreceding, 0)), F.lit("NORMAL")))
+    x = x.withColumn("_p", F.lag("_s", 1, "NORMAL").over(by_pid()))
+    return x.where(F.col("_p") != F.col("_s")).select("seq", "pid", F.col("_p").alias("old"), F.col("_s").alias("new"))

@@ -1,0 +1,3 @@
+"""Queries of the engine's own operators; importing any of these modules registers all."""
+
+from . import catalogue, reading, scheduling  # noqa: F401

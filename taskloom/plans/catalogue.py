@@ -122,9 +122,9 @@ query("D14_defers_by_rule", with_("SELECT rule, count(*) AS n FROM dec WHERE act
 query("L10_B13_policy_a", with_("SELECT task_id, CASE WHEN defer_count >= 30 THEN 'force_dispatch' WHEN priority = 0 THEN 'dispatch' WHEN bottleneck = 'oom_risk' THEN 'defer' WHEN cpu_pct > 85 AND cpu_cost = 'high' THEN 'defer' WHEN ram_pct > 80 AND ram_cost = 'high' THEN 'defer' WHEN gpu_pct > 90 AND gpu_cost = 'high' THEN 'defer' WHEN 100 - ram_pct < 8 THEN 'defer' ELSE 'dispatch' END AS action FROM entries", *_PV))(
     lambda s, d: src.entries(s, d).select("task_id", F.when(F.col("defer_count") >= 30, "force_dispatch").when(F.col("priority") == 0, "dispatch").when(F.col("bottleneck") == "oom_risk", "defer").when((F.col("cpu_pct") > 85) & (F.col("cpu_cost") == "high"), "defer").when((F.col("ram_pct") > 80) & (F.col("ram_cost") == "high"), "defer").when((F.col("gpu_pct") > 90) & (F.col("gpu_cost") == "high"), "defer").when(100 - F.col("ram_pct") < 8, "defer").otherwise("dispatch").alias("action")))
 # --- queue -----------------------------------------------------------------------------------
-query("F1_queue_order", with_("SELECT task_id, row_number() OVER (ORDER BY greatest(0, priority - (task_id % 60) // 10), task_id)::INT AS position FROM tasks WHERE status = 'DEFERRED' QUALIFY position <= 100", "tasks"))(lambda s, d: queue.pop_order(src.tasks(s, d)))
+query("F1_queue_order", with_("SELECT task_id, row_number() OVER (ORDER BY greatest(0, priority - (task_id % 60) // 10), task_id)::INT AS position FROM tasks WHERE status = 'DEFERRED'", "tasks"))(lambda s, d: queue.pop_order(src.tasks(s, d)))
 query("F3_peek", with_("SELECT task_id, priority FROM tasks WHERE status = 'DEFERRED' ORDER BY priority, task_id LIMIT 1", "tasks"))(lambda s, d: queue.peek(src.tasks(s, d)))
-_AGED = "CASE WHEN ticks >= 50 AND priority > 1 THEN 1 ELSE greatest(0, priority - ticks // 10) END"
+_AGED = "greatest(0, priority - ticks // 10)"
 query("I1_aging", with_(f"SELECT task_id, ({_AGED})::INT AS effective FROM (SELECT *, task_id % 60 AS ticks FROM tasks)", "tasks"))(lambda s, d: queue.aged(src.tasks(s, d).withColumn("ticks", F.col("task_id") % 60)).select("task_id", "effective"))
 query("D13_priority_distribution", with_("SELECT n AS name, count(t.task_id) AS n_tasks FROM (VALUES (0,'CRITICAL'),(1,'HIGH'),(2,'MEDIUM'),(3,'LOW'),(4,'BACKGROUND')) v(p, n) LEFT JOIN tasks t ON t.priority = p AND status = 'DEFERRED' GROUP BY 1", "tasks"))(lambda s, d: queue.distribution(src.tasks(s, d).where("status = 'DEFERRED'")))
 query("D12_E14_peak_depth", with_("SELECT session, max(depth)::BIGINT AS peak FROM (SELECT session, sum(x) OVER (PARTITION BY session ORDER BY moved, x DESC, task_id ROWS UNBOUNDED PRECEDING) AS depth FROM (SELECT session, task_id, queued_at AS moved, 1 AS x FROM tasks UNION ALL SELECT session, task_id, dispatch_at, -1 FROM tasks WHERE dispatch_at IS NOT NULL)) GROUP BY 1", "tasks"))(lambda s, d: queue.peak_depth(src.tasks(s, d)))
@@ -163,8 +163,8 @@ query("D9_first_keyword", with_("SELECT keyword, count(*) AS n FROM (SELECT CASE
 query("D10_density", with_("SELECT cluster_id, n, CASE WHEN n < 0.4 * m THEN 'sparse' WHEN n > 1.8 * m THEN 'dense' ELSE 'moderate' END AS density FROM (SELECT cluster_id, count(*) AS n, median(count(*)) OVER () AS m FROM papers WHERE cluster_id >= 0 GROUP BY 1)", "papers"))(lambda s, d: corpus.density(P(s, d)))
 query("D25_cluster_counts", with_("SELECT count(DISTINCT cluster_id) FILTER (WHERE cluster_id >= 0) AS clusters, count(*) FILTER (WHERE cluster_id < 0) AS noise FROM papers", "papers"))(lambda s, d: P(s, d).agg(F.count_distinct(F.when(F.col("cluster_id") >= 0, F.col("cluster_id"))).alias("clusters"), F.count_if(F.col("cluster_id") < 0).alias("noise")))
 query("K2_cosine_topk", "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 5) AS score FROM embeddings ORDER BY 2 DESC, 1 LIMIT 5")(lambda s, d: corpus.cosine_topk(src.table(s, d, "embeddings"), 0))
-_tier = _trend + ", sz AS (SELECT cluster_id, row_number() OVER (ORDER BY count(*) DESC, cluster_id) <= 3 AS top FROM papers WHERE cluster_id >= 0 GROUP BY 1), ti AS (SELECT paper_id, p.cluster_id, year, CASE WHEN p.cluster_id < 0 THEN 5 WHEN coalesce(top, false) AND year <= thr - 2 THEN 1 WHEN year >= thr AND trend = 'growing' THEN 4 WHEN p.cluster_id IN (0, 2) THEN 3 ELSE 2 END AS tier FROM papers p LEFT JOIN tr USING (cluster_id) LEFT JOIN sz USING (cluster_id) CROSS JOIN (SELECT max(year) - 1 AS thr FROM papers WHERE cluster_id >= 0))"
-_sel = _tier + ", se AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY CASE WHEN tier = 1 THEN year WHEN tier IN (3, 4) THEN -year ELSE 0 END, paper_id) AS r FROM ti) WHERE r <= (CASE tier WHEN 1 THEN 8 WHEN 2 THEN 10 WHEN 3 THEN 10 WHEN 4 THEN 8 ELSE 4 END))"
+_tier = _trend + ", sz AS (SELECT cluster_id, count(*) AS cluster_size, row_number() OVER (ORDER BY count(*) DESC, cluster_id) <= 3 AS top FROM papers WHERE cluster_id >= 0 GROUP BY 1), ti AS (SELECT paper_id, p.cluster_id, year, cluster_size, CASE WHEN p.cluster_id < 0 THEN 5 WHEN coalesce(top, false) AND year <= thr - 2 THEN 1 WHEN year >= thr AND trend = 'growing' THEN 4 WHEN p.cluster_id IN (0, 2) THEN 3 ELSE 2 END AS tier FROM papers p LEFT JOIN tr USING (cluster_id) LEFT JOIN sz USING (cluster_id) CROSS JOIN (SELECT max(year) - 1 AS thr FROM papers WHERE cluster_id >= 0))"
+_sel = _tier + ", se AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY CASE WHEN tier = 1 THEN year WHEN tier = 2 THEN -cluster_size WHEN tier IN (3, 4) THEN -year ELSE 0 END, paper_id) AS r FROM ti) WHERE r <= (CASE tier WHEN 1 THEN 8 WHEN 2 THEN 10 WHEN 3 THEN 10 WHEN 4 THEN 8 ELSE 4 END))"
 T = lambda s, d: corpus.tiers(P(s, d), [0, 2])
 S = lambda s, d: corpus.select_by_budget(T(s, d), 40).join(T(s, d).select("paper_id", "year", "cluster_id"), "paper_id")
 query("M11_tiers", with_("SELECT paper_id, cluster_id, year, tier FROM ti", "papers", more=_tier))(lambda s, d: T(s, d).drop("cluster_size"))
@@ -182,8 +182,8 @@ query("C2_C9_gap_papers", with_("SELECT DISTINCT gap_id, paper_id FROM gc JOIN p
 query("F5_gap_recent", with_("SELECT gap_id, paper_id FROM (SELECT DISTINCT gap_id, paper_id, year FROM gc JOIN papers USING (cluster_id)) QUALIFY row_number() OVER (PARTITION BY gap_id ORDER BY year DESC, paper_id) <= 8", "papers", more=_gp))(lambda s, d: scoring.gap_recent(scoring.gaps(s), P(s, d)))
 _evd = _gp + ", " + _trend + ", " + _rate + ", cs AS (SELECT cluster_id, count(*) AS n, any_value(trend) AS trend, any_value(rate) AS rate FROM papers JOIN tr USING (cluster_id) JOIN rt USING (cluster_id) GROUP BY 1), evd AS (SELECT g.gap_id, coalesce(avg(n), 0) AS avg_papers, coalesce(min(rate), 0)::DOUBLE AS min_repro, count(*) FILTER (WHERE trend = 'stagnating') AS stagnating, len(any_value(clusters)) > 1 AS multi, count(n) AS n_clusters FROM gaps g LEFT JOIN gc ON g.gap_id = gc.gap_id LEFT JOIN cs USING (cluster_id) GROUP BY 1)"
 query("D11_gap_evidence", with_("SELECT gap_id, round(avg_papers, 4)::DOUBLE AS avg_papers, min_repro, stagnating, multi, n_clusters FROM evd", "papers", more=_evd))(lambda s, d: scoring.gap_evidence(scoring.gaps(s), P(s, d), WORDS))
-_nov = ", nv AS (SELECT gap_id, round(CASE WHEN hi = lo THEN 0.5 ELSE 1 - (avg_papers - lo) / (hi - lo) END, 4)::DOUBLE AS sparsity, round(stagnating / greatest(n_clusters, 1), 4)::DOUBLE AS recency, round(1 - min_repro, 4) AS repro_gap, round(least(1, (n_clusters - 1) / 3), 4)::DOUBLE AS distance, CASE WHEN multi THEN 0.4 ELSE 0.0 END::DOUBLE AS overlap FROM evd, (SELECT min(n) AS lo, max(n) AS hi FROM cs))"
-query("M1_M7_novelty", with_("SELECT *, round(least(1.0, greatest(0.0, 0.2 * sparsity + 0.2 * recency + 0.15 * repro_gap + 0.15 * distance + 0.15 * overlap + 0.15 * 0.5)), 4)::DOUBLE AS novelty FROM nv", "papers", more=_evd + _nov))(lambda s, d: scoring.novelty(scoring.gaps(s), P(s, d), WORDS))
+_nov = ", nv AS (SELECT gap_id, round(CASE WHEN hi = lo THEN 0.5 ELSE 1 - (avg_papers - lo) / (hi - lo) END, 4)::DOUBLE AS sparsity, round(stagnating / greatest(n_clusters, 1), 4)::DOUBLE AS recency, round(1 - min_repro, 4) AS repro_gap, round(least(1, (n_clusters - 1) / 3), 4)::DOUBLE AS distance, round(least(1.0, CASE WHEN multi THEN 0.4 ELSE 0.0 END + 0.2 * n_categories), 4)::DOUBLE AS overlap FROM evd JOIN (SELECT gap_id, count(DISTINCT category) AS n_categories FROM gc LEFT JOIN dom USING (cluster_id) GROUP BY 1) USING (gap_id), (SELECT min(n) AS lo, max(n) AS hi FROM cs))"
+query("M1_M7_novelty", with_("SELECT *, round(least(1.0, greatest(0.0, 0.2 * sparsity + 0.2 * recency + 0.15 * repro_gap + 0.15 * distance + 0.15 * overlap + 0.15 * 0.5)), 4)::DOUBLE AS novelty FROM nv", "papers", more=_evd + ", " + _dom + _nov))(lambda s, d: scoring.novelty(scoring.gaps(s), P(s, d), WORDS))
 _hy = "h AS (SELECT p_partkey AS id, p_partkey % 7 AS gap_id, p_brand AS method, round((p_partkey * 37 % 101) / 100.0, 4)::DOUBLE AS novelty, round((p_size % 11) / 10.0, 4)::DOUBLE AS feasibility, round((p_partkey * 13 % 51) / 50.0, 4)::DOUBLE AS impact FROM part), hc AS (SELECT *, round(0.4 * novelty + 0.3 * feasibility + 0.3 * impact, 4) AS score FROM h)"
 query("M8_composite", with_("SELECT id, score FROM hc", more=_hy))(lambda s, d: scoring.composite(scoring.hypotheses(src.table(s, d, "part"))).select("id", "score"))
 query("E9_diversity", with_("SELECT id, round(CASE WHEN row_number() OVER (PARTITION BY method ORDER BY score DESC, id) > 2 THEN greatest(0.0, score - 0.05) ELSE score END, 4)::DOUBLE AS adjusted FROM hc", more=_hy))(lambda s, d: scoring.diversity(scoring.composite(scoring.hypotheses(src.table(s, d, "part")))).select("id", "adjusted"))

@@ -23,8 +23,8 @@ def test_backoff(spark):
 
 
 def test_aging(spark):
-    rows = spark.createDataFrame([(4, 9), (4, 10), (4, 39), (4, 50), (1, 50), (0, 99)], "priority int, ticks int")
-    assert [r.effective for r in queue.aged(rows).collect()] == [4, 3, 1, 1, 0, 0]
+    rows = spark.createDataFrame([(4, 9), (4, 10), (4, 39), (4, 40), (4, 50), (1, 50), (0, 99)], "priority int, ticks int")
+    assert [r.effective for r in queue.aged(rows).collect()] == [4, 3, 1, 0, 0, 0, 0]
 
 
 def test_first_rule_decides(spark):
