@@ -37,7 +37,12 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession, keep: tuple[str, ...] = ()) -> int:
+def made() -> set[str]:
+    """The folders made so far that aren't cleared."""
+    return set(_MADE)
+
+
+def clear(spark: SparkSession, keep: set[str] = frozenset()) -> int:
     """Deletes all folders made so far but ``keep``; for when no result that reads them is used any more.  Returns their number."""
     jvm = spark.sparkContext._jvm
     gone = [p for p in _MADE if p not in keep]
