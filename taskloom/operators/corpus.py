@@ -85,10 +85,13 @@ def tiers(papers: DataFrame, gap_clusters: list[int]) -> DataFrame:
 def select_by_budget(tiered: DataFrame, target: int, shares: dict[int, float] | None = None) -> DataFrame:
     """The first of each tier, in the tier's own order, up to its budget."""
     shares = shares or {1: 0.20, 2: 0.25, 3: 0.25, 4: 0.20, 5: 0.10}
-    budget = F.expr("CASE tier " + " ".join(f"WHEN {t} THEN {max(1, round(target * s))}" for t, s in shares.items()) + " END")
+    most = {t: max(1, round(target * s)) for t, s in shares.items()}
+    budget = F.expr("CASE tier " + " ".join(f"WHEN {t} THEN {n}" for t, n in most.items()) + " END")
     key = F.when(F.col("tier") == 1, F.col("year")).when(F.col("tier") == 2, -F.col("cluster_size")).when(F.col("tier").isin(3, 4), -F.col("year")).otherwise(0)
     r = F.row_number().over(W.partitionBy("tier").orderBy(key, "paper_id"))
-    return tiered.withColumn("_r", r).where(F.col("_r") <= budget).select("paper_id", "tier", F.col("_r").alias("rank"))
+    # the literal bound lets each partition keep its own first few before the shuffle: no tier is ranked whole
+    few = tiered.withColumn("_r", r).where(F.col("_r") <= max(most.values()))
+    return few.where(F.col("_r") <= budget).select("paper_id", "tier", F.col("_r").alias("rank"))
 
 
 def reading_order(selected: DataFrame) -> DataFrame:

@@ -13,17 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as tasks: dispatched at their first, completed at their last shipment after the order date."""
     o, line = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")
-    lines = o.select("o_orderkey", "o_orderdate").join(line, (F.col("o_orderkey") == F.col("l_orderkey")) & (F.col("l_shipdate") >= F.col("o_orderdate")))
-    spans = lines.groupBy("o_orderkey").agg(F.min("l_shipdate").alias("dispatch_at"), F.max("l_shipdate").alias("complete_at"), F.count("*").alias("_n"))
     status = F.when(F.col("o_orderstatus") == "F", "COMPLETED").when(F.col("o_orderstatus") == "P", "FAILED").otherwise("DEFERRED")
-    return o.join(spans, "o_orderkey", "left").select(
+    # one join and one aggregate on the join's own partitioning
+    lines = o.join(line, (F.col("o_orderkey") == F.col("l_orderkey")) & (F.col("l_shipdate") >= F.col("o_orderdate")), "left")
+    spans = lines.groupBy("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate", "o_orderstatus").agg(F.min("l_shipdate").alias("dispatch_at"), F.max("l_shipdate").alias("complete_at"), F.count("l_orderkey").alias("_n"))
+    return spans.select(
         F.col("o_orderkey").alias("task_id"),
         F.col("o_custkey").alias("session"),
         (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("priority"),
         F.col("o_orderdate").alias("queued_at"),
         "dispatch_at",
         "complete_at",
-        F.greatest(F.coalesce(F.col("_n"), F.lit(0)) - 1, F.lit(0)).cast("long").alias("defer_count"),
+        F.greatest(F.col("_n") - 1, F.lit(0)).cast("long").alias("defer_count"),
         status.alias("status"),
     )
 
