@@ -44,7 +44,7 @@ HOLD = 262_144
 #: A key with over one in so many rows is hot.
 HOT_SHARE = 1000
 #: Of the near copies that ``keep_one`` removes.
-COPY_RADIUS, CHECK_SHINGLE, CHECK_BITS = 6, 5, 26
+COPY_RADIUS, CHECK_SHINGLE, CHECK_BITS = 8, 5, 24
 #: What a probe costs, in comparisons.
 PROBE_COST = 200
 _LANES = (1 << 32) | 1
