@@ -106,7 +106,7 @@ def allocate(agree: list[float], widths: list[int], n: int, radius: int) -> tupl
                 if used + t not in step or here < step[used + t][0]:
                     step[used + t] = (here, [*chosen, t])
         best = step
-    return best[total]
+    return best.get(total, (float("inf"), []))  # too few partitions for thresholds of three at most
 
 
 def _packed(fp: np.ndarray, bits: list[int]) -> np.ndarray:
