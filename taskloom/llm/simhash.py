@@ -44,7 +44,11 @@ HOLD = 262_144
 #: A key with over one in so many rows is hot.
 HOT_SHARE = 1000
 #: Of the near copies that ``keep_one`` removes.
-COPY_RADIUS, CHECK_SHINGLE, CHECK_BITS = 8, 5, 24
+COPY_RADIUS, CHECK_SHINGLE = 8, 5
+#: Bits of its check prints, 64 a column.  One in ten differs at a similarity of 0.8 (half of the share that isn't common):
+#: 51, with a deviation of 7; the bound is one deviation more.
+CHECK_BITS, CHECK_ALLOW = 512, 58
+CHECKS = [f"c{k}" for k in range(1, CHECK_BITS // 64 + 1)]
 #: What a probe costs, in comparisons.
 PROBE_COST = 200
 _LANES = (1 << 32) | 1
@@ -380,35 +384,45 @@ def _majority(parts: list[np.ndarray]) -> int:
     return int(np.packbits(2 * votes > n, bitorder="little").view(np.int64)[0])
 
 
-def sketch(text: str) -> tuple[int, int, int]:
-    """Fingerprint over words (once) and word pairs (twice), and two check prints over 5-word shingles, as signed longs."""
+def _least(h: np.ndarray) -> list[int]:
+    """One bit of each of ``CHECK_BITS`` least values of the hashes, each in an order of its own, 64 a signed long."""
+    scale = _mixed(np.arange(CHECK_BITS, dtype=np.uint64), 3) | np.uint64(1)
+    low = np.full(CHECK_BITS, ~np.uint64(0))
+    for a in range(0, len(h), 2048):
+        np.minimum(low, (scale[:, None] * h[None, a : a + 2048]).min(axis=1), out=low)
+    return np.packbits((low >> np.uint64(20)).astype(np.uint8) & np.uint8(1), bitorder="little").view(np.int64).tolist()
+
+
+def sketch(text: str) -> tuple[int, ...]:
+    """Fingerprint over words (once) and word pairs (twice), and check prints over the set of 5-word shingles, as signed longs."""
     w = text.encode("utf-8", "surrogatepass").lower().split()
     if len(_HASHES) > 500_000:
         _HASHES.clear()
     h = np.array([_HASHES[x] for x in w], dtype=np.uint64)
     with np.errstate(over="ignore"):
-        pairs, fives = _mixed(_shingles(h, 2), 1), _shingles(h, CHECK_SHINGLE)
-        return _majority([h, pairs, pairs]), _majority([_mixed(fives, 2)]), _majority([_mixed(fives, 3)])
+        pairs = _mixed(_shingles(h, 2), 1)
+        return _majority([h, pairs, pairs]), *_least(_mixed(_shingles(h, CHECK_SHINGLE), 2))
 
 
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = COPY_RADIUS, allow: int = CHECK_BITS) -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = COPY_RADIUS, allow: int = CHECK_ALLOW) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one of least id (of equal rows one; null ids last).
 
     Near copies share at least about 0.8 of their 5-word shingles.  Such a pair's fingerprints over single shingles differ by
     ten bits and more of 64, which no pigeonhole reaches at a bearable cost; so candidates come from a fingerprint over
-    words and word pairs, which a changed word alters less (``radius`` bits), and are verified by 128 bits over 5-word
-    shingles: at most ``allow`` of them differ (at a similarity of 0.8, 19 are expected, with a deviation of 4).
+    words and word pairs, which a changed word alters less (``radius`` bits), and are verified by ``CHECK_BITS`` min-wise
+    bits of their sets of 5-word shingles: at most ``allow`` of them differ.
     Groups are chains of such links.  All columns stay, whatever their names; null, empty and blank texts are copies of
     each other; no documents give no rows."""
+    names = ["fp", *CHECKS]
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{key}`").isNull().alias("_null"), F.col(f"`{key}`").alias("_key"), F.xxhash64(f"`{text}`").alias("_th"), F.col(f"`{text}`").alias("_text"))
 
     def work(texts):
         made = [sketch(t) for t in texts]
-        return {"fp": [m[0] for m in made], "c1": [m[1] for m in made], "c2": [m[2] for m in made]}
+        return {c: [m[k] for m in made] for k, c in enumerate(names)}
 
-    prints = map_texts(own, "_text", ["_null", "_key", "_th"], "fp long, c1 long, c2 long", work)
-    prints = cut(prints.select("fp", "c1", "c2", F.struct("_null", "_key", "_th").alias("_id")), "simhash")
-    chosen = _grouped(prints, ["fp", "c1", "c2"], radius, allow).select("component_id").distinct().select("component_id.*")
+    prints = map_texts(own, "_text", ["_null", "_key", "_th"], ", ".join(f"{c} long" for c in names), work)
+    prints = cut(prints.select(*names, F.struct("_null", "_key", "_th").alias("_id")), "simhash")
+    chosen = _grouped(prints, names, radius, allow).select("component_id").distinct().select("component_id.*")
     chosen = chosen.select(F.col("_key").alias("_ck"), F.col("_th").alias("_ct"))
     kept = own.join(chosen, F.col("_key").eqNullSafe(F.col("_ck")) & (F.col("_th") == F.col("_ct")), "left_semi")
     return kept.groupBy("_key", "_th").agg(F.first("_row").alias("_row")).select("_row.*")

@@ -94,8 +94,9 @@ def prints(t):
         return out
 
     most = lambda hs: sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in hs) > len(hs))
-    pairs = [mixed(x, 1) for x in runs(2)]
-    return most(h + 2 * pairs), most([mixed(x, 2) for x in runs(5)]), most([mixed(x, 3) for x in runs(5)])
+    pairs, fives = [mixed(x, 1) for x in runs(2)], [mixed(x, 2) for x in runs(5)]
+    low = [min(((mixed(k, 3) | 1) * x & MASK64 for x in fives), default=MASK64) for k in range(512)]
+    return most(h + 2 * pairs), sum((x >> 20 & 1) << k for k, x in enumerate(low))
 
 
 def one_of_each(rows):
@@ -110,7 +111,7 @@ def one_of_each(rows):
     for i in range(len(rows)):
         for j in range(i):
             d = [(a ^ b).bit_count() for a, b in zip(p[i], p[j])]
-            if d[0] <= simhash.COPY_RADIUS and d[1] + d[2] <= simhash.CHECK_BITS:
+            if d[0] <= simhash.COPY_RADIUS and d[1] <= simhash.CHECK_ALLOW:
                 up[root(i)] = root(j)
     groups = {}
     for i, (k, t) in enumerate(rows):
