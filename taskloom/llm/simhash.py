@@ -41,6 +41,8 @@ RADIUS = 4
 PLACE = 4096
 #: Rows of one filing place that are held at once.
 HOLD = 262_144
+#: Candidate pairs that are verified at once.
+PAIRS = 262_144
 #: A key with over one in so many rows is hot.
 HOT_SHARE = 1000
 #: Of the near copies that ``keep_one`` removes.
@@ -182,11 +184,15 @@ def _forest(rows: np.ndarray, filed: np.ndarray, radius: int, allow: int = 0) ->
     for a in range(0, len(rows), 256):
         i, j = np.nonzero(np.bitwise_count(rows[a : a + 256, None, 0] ^ rows[None, data, 0]) <= radius)
         i, j = i + a, data[j]
-        ok = i != j
-        if rows.shape[1] > 1 and ok.any():
-            ok &= _near(rows, i, j, radius, allow)
-        if ok.any():
-            label = _joined(label, i[ok], j[ok])
+        for k in range(0, len(i), PAIRS):
+            x, y = i[k : k + PAIRS], j[k : k + PAIRS]
+            open_ = label[x] != label[y]  # what is in one tree needs no more links
+            x, y = x[open_], y[open_]
+            if rows.shape[1] > 1:
+                ok = _near(rows, x, y, radius, allow)
+                x, y = x[ok], y[ok]
+            if len(x):
+                label = _joined(label, x, y)
     out = np.flatnonzero(label != np.arange(len(rows)))
     return out, label[out]
 

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from taskloom.llm import simhash
 
 
@@ -36,3 +38,27 @@ def test_more_shingles_than_a_block(spark):
     rows = [(1, " ".join(words_)), (2, " ".join(words_[:8990])), (3, " ".join(words_[:5000]))]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()
     assert sorted(r.doc_id for r in kept) == [1, 3]
+
+
+def test_forest_in_small_steps(monkeypatch):
+    rng = np.random.default_rng(3)
+    seeds = rng.integers(0, 2**63, (12, 3)).astype(np.uint64)
+    rows = seeds[rng.integers(0, 12, 700)] ^ (np.uint64(1) << rng.integers(0, 64, (700, 3)).astype(np.uint64))
+    rows = np.unique(rows, axis=0)
+    filed = rng.random(len(rows)) < 0.7
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        d = np.bitwise_count(rows ^ rows[i]).astype(int)
+        for j in np.flatnonzero(filed & (d[:, 0] <= 2) & (d[:, 1:].sum(axis=1) <= 3)):
+            a, b = sorted((root(i), root(int(j))))
+            up[b] = a
+    for most in (7, 10**6):
+        monkeypatch.setattr(simhash, "PAIRS", most)
+        node, least = simhash._forest(rows, filed, 2, 3)
+        assert {int(a): int(b) for a, b in zip(node, least)} == {i: root(i) for i in range(len(rows)) if root(i) != i}
