@@ -23,7 +23,7 @@ one task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -48,8 +48,9 @@ HOT_SHARE = 1000
 #: Of the near copies that ``keep_one`` removes.
 COPY_RADIUS, CHECK_SHINGLE = 8, 5
 #: Bits of its check prints, 64 a column.  One in ten differs at a similarity of 0.8 (half of the share that isn't common):
-#: 51, with a deviation of 7; the bound is one deviation more.
-CHECK_BITS, CHECK_ALLOW = 512, 58
+#: 51, with a deviation of 7.  Up to ``CHECK_SURE`` (nearly three deviations less) is a link, from there to ``CHECK_ALLOW``
+#: (two more) the sets of shingles themselves decide.
+CHECK_BITS, CHECK_SURE, CHECK_ALLOW = 512, 32, 65
 CHECKS = [f"c{k}" for k in range(1, CHECK_BITS // 64 + 1)]
 #: What a probe costs, in comparisons.
 PROBE_COST = 200
@@ -169,18 +170,36 @@ def _joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
 
 
-def _near(rows: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int, allow: int) -> np.ndarray:
-    """Whether nodes ``i`` and ``j`` (rows: fingerprint, then check prints) are within both radii."""
-    ok = np.bitwise_count(rows[i, 0] ^ rows[j, 0]) <= radius
-    if rows.shape[1] > 1:
-        ok &= np.bitwise_count(rows[i, 1:] ^ rows[j, 1:]).sum(axis=1) <= allow
-    return ok
+def _apart(rows: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> np.ndarray:
+    """Differing bits of the check prints of nodes ``i`` and ``j`` (rows: fingerprint, then check prints); many beyond the radius."""
+    d = np.bitwise_count(rows[i, 1:] ^ rows[j, 1:]).sum(axis=1, dtype=np.int64)
+    return np.where(np.bitwise_count(rows[i, 0] ^ rows[j, 0]) <= radius, d, 1 << 40)
 
 
-def _forest(rows: np.ndarray, filed: np.ndarray, radius: int, allow: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, least linked one) of one place: a spanning forest of the verified ones.  Links are dropped as soon as they are in the forest."""
+def _least_forest(pairs: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Of ``pairs`` (rows: distance, node, node) a spanning forest of least distances between the trees of ``label``."""
+    pairs = pairs[:, label[pairs[1]] != label[pairs[2]]]
+    pairs = pairs[:, np.lexsort((pairs[2], pairs[1], pairs[0]))]
+    label, taken, left = label.copy(), [], np.arange(pairs.shape[1])
+    while len(left):
+        first = np.full(len(label), pairs.shape[1])
+        for end in (1, 2):  # the nearest pair of each tree
+            np.minimum.at(first, label[pairs[end, left]], left)
+        new = np.unique(first[first < pairs.shape[1]])
+        taken.append(new)
+        label = _joined(label, pairs[1, new], pairs[2, new])
+        left = left[label[pairs[1, left]] != label[pairs[2, left]]]
+    return pairs[:, np.concatenate(taken)] if taken else pairs
+
+
+def _forest(rows: np.ndarray, filed: np.ndarray, radius: int, sure: int = 0, allow: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (node, node, whether sure) of one place.
+
+    Sure ones: each node with the least one of its tree; links are dropped as soon as they are in the forest.  Others, of
+    over ``sure`` differing bits: pairs that join those trees, of least distances."""
     label = np.arange(len(rows))
     data = np.flatnonzero(filed)
+    doubt = np.zeros((3, 0), dtype=np.int64)
     for a in range(0, len(rows), 256):
         i, j = np.nonzero(np.bitwise_count(rows[a : a + 256, None, 0] ^ rows[None, data, 0]) <= radius)
         i, j = i + a, data[j]
@@ -188,20 +207,25 @@ def _forest(rows: np.ndarray, filed: np.ndarray, radius: int, allow: int = 0) ->
             x, y = i[k : k + PAIRS], j[k : k + PAIRS]
             open_ = label[x] != label[y]  # what is in one tree needs no more links
             x, y = x[open_], y[open_]
-            if rows.shape[1] > 1:
-                ok = _near(rows, x, y, radius, allow)
-                x, y = x[ok], y[ok]
-            if len(x):
-                label = _joined(label, x, y)
+            d = _apart(rows, x, y, radius)
+            ok, open_ = d <= sure, (d > sure) & (d <= allow)
+            if ok.any():
+                label = _joined(label, x[ok], y[ok])
+            if open_.any():
+                doubt = np.concatenate([doubt, np.stack([d[open_], x[open_], y[open_]])], axis=1)
+                if doubt.shape[1] > 2 * len(rows) + PAIRS:
+                    doubt = _least_forest(doubt, label)
+    doubt = _least_forest(doubt, label)
     out = np.flatnonzero(label != np.arange(len(rows)))
-    return out, label[out]
+    return np.concatenate([out, doubt[1]]), np.concatenate([label[out], doubt[2]]), np.arange(len(out) + doubt.shape[1]) < len(out)
 
 
-def links(nodes: DataFrame, groups: list[list[int]], thresholds: list[int], radius: int, place: int = PLACE, allow: int = 0, hold: int = HOLD) -> DataFrame:
+def links(nodes: DataFrame, groups: list[list[int]], thresholds: list[int], radius: int, place: int = PLACE, sure: int = 0, allow: int = 0, hold: int = HOLD) -> DataFrame:
     """Verified links (a, b) that connect all nodes within ``radius`` of each other.
 
-    ``nodes``: column ``fp`` and any number of check prints, 64 bits each; check prints of linked nodes differ by ``allow``
-    bits together at most.  A node is its ``fp``, or a struct of all columns where there are check prints."""
+    ``nodes``: column ``fp`` and any number of check prints, 64 bits each; check prints of linked nodes differ by ``sure``
+    bits together at most.  A node is its ``fp``, or a struct of all columns where there are check prints; then column ``sure``
+    is false for pairs that differ by more, ``allow`` at most, and would join further nodes."""
     names = list(nodes.columns)
     kinds = ", ".join(f"{c} bigint" for c in names)
 
@@ -274,19 +298,22 @@ def links(nodes: DataFrame, groups: list[list[int]], thresholds: list[int], radi
             size = np.diff(cuts)
             few = np.repeat(size <= 8, size)
             place_of = np.repeat(np.arange(len(size)), size)
-            a, b = [], []
+            a, b, c = [], [], []
             for d in range(1, min(8, len(node))):
                 i = np.flatnonzero(few[:-d] & (place_of[:-d] == place_of[d:]) & (filed[:-d] | filed[d:]))
-                i = i[_near(node, i, i + d, radius, allow)]
+                apart = _apart(node, i, i + d, radius)
+                i, apart = i[apart <= allow], apart[apart <= allow]
                 a.append(i)
                 b.append(i + d)
+                c.append(apart <= sure)
             for g in np.flatnonzero(size > 8):
                 s = slice(cuts[g], cuts[g + 1])
                 if filed[s].any():
-                    x, y = _forest(node[s], filed[s], radius, allow)
+                    x, y, z = _forest(node[s], filed[s], radius, sure, allow)
                     a.append(x + cuts[g])
                     b.append(y + cuts[g])
-            i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+                    c.append(z)
+            i, j, ok = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, c))
             if len(i):
                 # the lesser node first, by the first print that differs
                 swap = np.zeros(len(i), dtype=bool)
@@ -294,13 +321,13 @@ def links(nodes: DataFrame, groups: list[list[int]], thresholds: list[int], radi
                     x, y = node[i, c], node[j, c]
                     swap = np.where(x == y, swap, x > y)
                 i, j = np.where(swap, j, i), np.where(swap, i, j)
-                yield pa.RecordBatch.from_arrays([pa.array(node[k, c].view(np.int64)) for k in (i, j) for c in range(node.shape[1])], names=ends)
+                yield pa.RecordBatch.from_arrays([*[pa.array(node[k, c].view(np.int64)) for k in (i, j) for c in range(node.shape[1])], pa.array(ok)], names=[*ends, "sure"])
 
     dealt = rows.repartition("part", "value", "block").sortWithinPartitions("part", "value", "block", F.desc("filed"), *names)
-    found = dealt.mapInArrow(verify, ", ".join(f"{e} bigint" for e in ends)).distinct()
+    found = dealt.mapInArrow(verify, ", ".join(f"{e} bigint" for e in ends) + ", sure boolean").distinct()
     if len(names) == 1:
-        return found.toDF("a", "b")
-    return found.select(*[F.struct(*[F.col(f"{e}_{c}").alias(c) for c in names]).alias(e) for e in "ab"])
+        return found.drop("sure").toDF("a", "b")
+    return found.select(*[F.struct(*[F.col(f"{e}_{c}").alias(c) for c in names]).alias(e) for e in "ab"], "sure")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -318,10 +345,11 @@ def components(edges: DataFrame) -> DataFrame:
         state = state.select("node", "comp")
 
 
-def _grouped(prints: DataFrame, names: list[str], radius: int, allow: int = 0) -> DataFrame:
+def _grouped(prints: DataFrame, names: list[str], radius: int, sure: int = 0, allow: int = 0, decide: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """A table of nodes: ``node``, the least ``_id`` in reach as ``component_id``, and whether over a thousandth of the rows have the node.
 
-    ``prints``: columns ``names`` (fingerprint and check prints) and ``_id``."""
+    ``prints``: columns ``names`` (fingerprint and check prints) and ``_id``.  ``decide`` takes the links that aren't sure and
+    the nodes with their least ids, and returns the true ones."""
     node = F.col(names[0]) if len(names) == 1 else F.struct(*names)
     nodes = cut(prints.groupBy(*names).agg(F.min("_id").alias("_least"), F.count("*").alias("_rows")).withColumn("node", node), "simhash-nodes")
     n, rows = nodes.agg(F.count("*"), F.coalesce(F.sum("_rows"), F.lit(0))).first()
@@ -330,7 +358,10 @@ def _grouped(prints: DataFrame, names: list[str], radius: int, allow: int = 0) -
     if n < 2:
         return cut(alone, "simhash-groups")
     groups, thresholds = plan(nodes, n, radius)
-    edges = cut(links(nodes.select(*names), groups, thresholds, radius, allow=allow), "simhash-links")
+    edges = cut(links(nodes.select(*names), groups, thresholds, radius, sure=sure, allow=allow), "simhash-links")
+    if decide:
+        true = decide(edges.where("NOT sure").select("a", "b"), nodes.select("node", "_least"))
+        edges = cut(edges.where("sure").select("a", "b").unionByName(true), "simhash-true")
     if not edges.limit(1).count():
         return cut(alone, "simhash-groups")
     label = cut(components(edges).join(nodes.select("node", "_least"), "node"), "simhash-labels")
@@ -410,13 +441,33 @@ def sketch(text: str) -> tuple[int, ...]:
         return _majority([h, pairs, pairs]), *_least(_mixed(_shingles(h, CHECK_SHINGLE), 2))
 
 
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = COPY_RADIUS, allow: int = CHECK_ALLOW) -> DataFrame:
+def _alike(pairs: DataFrame, nodes: DataFrame, own: DataFrame) -> DataFrame:
+    """Those ``pairs`` (a, b) of nodes whose texts, of least id each, share 0.8 of their sets of 5-word shingles."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    ends = cut(ends.join(nodes, "node").select("node", F.col("_least._key").alias("_k"), F.col("_least._th").alias("_h")), "simhash-doubt")
+    if not ends.limit(1).count():
+        return pairs
+    more = "".join(f", get(_w, i + {j})" for j in range(1, CHECK_SHINGLE))
+    shingles = F.expr(
+        f"CASE WHEN size(_w) < {CHECK_SHINGLE} THEN array(xxhash64(array_join(_w, ' '))) ELSE "
+        f"array_distinct(slice(transform(_w, (x, i) -> xxhash64(concat_ws(' ', x{more}))), 1, size(_w) - {CHECK_SHINGLE - 1})) END"
+    )
+    found = own.select("_key", "_th", "_text").join(ends, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_th") == F.col("_h")))
+    found = found.groupBy("node").agg(F.first("_text").alias("_text")).select("node", words(ascii_lower(F.col("_text")), SPACED_WORDS).alias("_w"))
+    sets = cut(found.select("node", shingles.alias("_s")), "simhash-sets")
+    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("_s").alias("_x")), "a").join(sets.select(F.col("node").alias("b"), F.col("_s").alias("_y")), "b")
+    # the common ones are at least 4/5 of all of both
+    return met.where("9 * size(array_intersect(_x, _y)) >= 4 * (size(_x) + size(_y))").select("a", "b")
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = COPY_RADIUS, sure: int = CHECK_SURE, allow: int = CHECK_ALLOW) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one of least id (of equal rows one; null ids last).
 
-    Near copies share at least about 0.8 of their 5-word shingles.  Such a pair's fingerprints over single shingles differ by
+    Near copies share at least 0.8 of their sets of 5-word shingles.  Such a pair's fingerprints over single shingles differ by
     ten bits and more of 64, which no pigeonhole reaches at a bearable cost; so candidates come from a fingerprint over
     words and word pairs, which a changed word alters less (``radius`` bits), and are verified by ``CHECK_BITS`` min-wise
-    bits of their sets of 5-word shingles: at most ``allow`` of them differ.
+    bits of their sets of 5-word shingles: a link if ``sure`` of them differ or fewer; up to ``allow``, pairs of least
+    distance that would join two groups in a filing place are counted out over the sets themselves.
     Groups are chains of such links.  All columns stay, whatever their names; null, empty and blank texts are copies of
     each other; no documents give no rows."""
     names = ["fp", *CHECKS]
@@ -428,7 +479,7 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: i
 
     prints = map_texts(own, "_text", ["_null", "_key", "_th"], ", ".join(f"{c} long" for c in names), work)
     prints = cut(prints.select(*names, F.struct("_null", "_key", "_th").alias("_id")), "simhash")
-    chosen = _grouped(prints, names, radius, allow).select("component_id").distinct().select("component_id.*")
+    chosen = _grouped(prints, names, radius, sure, allow, lambda pairs, nodes: _alike(pairs, nodes, own)).select("component_id").distinct().select("component_id.*")
     chosen = chosen.select(F.col("_key").alias("_ck"), F.col("_th").alias("_ct"))
     kept = own.join(chosen, F.col("_key").eqNullSafe(F.col("_ck")) & (F.col("_th") == F.col("_ct")), "left_semi")
     return kept.groupBy("_key", "_th").agg(F.first("_row").alias("_row")).select("_row.*")

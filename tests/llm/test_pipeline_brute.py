@@ -99,6 +99,13 @@ def prints(t):
     return most(h + 2 * pairs), sum((x >> 20 & 1) << k for k, x in enumerate(low))
 
 
+def alike(*texts):
+    """Whether two texts share 0.8 of their 5-word shingles (of fewer words: of all)."""
+    w = [(t or "").encode().lower().split() for t in texts]
+    x, y = ({tuple(v[i : i + 5]) for i in range(max(1, len(v) - 4))} for v in w)
+    return 5 * len(x & y) >= 4 * len(x | y)
+
+
 def one_of_each(rows):
     p = [prints(t) for _, t in rows]
     up = list(range(len(rows)))
@@ -111,7 +118,7 @@ def one_of_each(rows):
     for i in range(len(rows)):
         for j in range(i):
             d = [(a ^ b).bit_count() for a, b in zip(p[i], p[j])]
-            if d[0] <= simhash.COPY_RADIUS and d[1] <= simhash.CHECK_ALLOW:
+            if d[0] <= simhash.COPY_RADIUS and (d[1] <= simhash.CHECK_SURE or d[1] <= simhash.CHECK_ALLOW and alike(rows[i][1], rows[j][1])):
                 up[root(i)] = root(j)
     groups = {}
     for i, (k, t) in enumerate(rows):
