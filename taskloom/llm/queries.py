@@ -1,11 +1,11 @@
-"""The ten queries over the driver's tables, and their oracle SQL where SQL can express them."""
+"""The queries of the numbered operators over the driver's tables, and their oracle SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, piece_codec, quality, secrets, sharding, simhash, token_counts, token_store
+from . import chat, decontaminate, licenses, merkle, piece_codec, quality, secrets, sharding, simhash, token_counts, token_store
 
 
 def vocabulary(name: str) -> str:
@@ -63,18 +63,62 @@ def op10_chat_format(spark, sf_dir):
     return chat.read_conversations(chat.pack_conversations(rows, words), words).drop("pack")
 
 
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.verified(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_sentencepiece, op4_token_store, op5_quality_rules, op6_sharding, op7_simhash, op8_token_counts, op9_secret_scan, op10_chat_format, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_sentencepiece, op4_token_store, op5_quality_rules, op6_sharding, op7_simhash, op8_token_counts, op9_secret_scan, op10_chat_format, op13_merkle_manifest, pipeline)}
 
 _W = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _merkle_sql(doc_levels: int = 8, group_levels: int = 4) -> str:
+    """Levels written out, each a grouping of eight: enough for 8**8 documents a language and 8**4 languages."""
+
+    def field(c):
+        return f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+
+    def leaf(text):
+        return "sha256(" + " || ".join(map(field, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+
+    def levels(name, n):
+        """name0 (g, r, h): level after level, with the siblings of each node; a lone node stays as it is."""
+        out = []
+        for k in range(n):
+            run = "PARTITION BY g, r // 8 ORDER BY r ROWS BETWEEN"
+            out.append(
+                f"{name}{k}s AS (SELECT *, count(*) OVER (PARTITION BY g) > 1 AS more, coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b, "
+                f"coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a FROM {name}{k})"
+            )
+            out.append(f"{name}{k + 1} AS (SELECT g, r // 8 AS r, CASE WHEN any_value(more) THEN sha256(string_agg(h, '' ORDER BY r)) ELSE any_value(h) END AS h FROM {name}{k}s GROUP BY 1, 2)")
+        return out
+
+    crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda s, c: list_reduce([xor(s, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        f"l AS (SELECT doc_id, lang, {leaf('text')} AS h, CASE WHEN {crc} % 3 = 0 THEN {leaf(low)} ELSE {leaf('text')} END AS t FROM documents)",
+        "own AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS r FROM l)",
+        "d0 AS (SELECT g, r, h FROM own)",
+        *levels("d", doc_levels),
+        f"t0 AS (SELECT 0 AS g, g AS r, h FROM d{doc_levels})",
+        *levels("t", group_levels),
+        f"f0 AS (SELECT o.doc_id, o.g, o.r, o.h AS leaf, s.h AS subroot, z.h AS root, o.t AS f, '' AS p FROM own o JOIN d{doc_levels} s USING (g), t{group_levels} z)",
+    ]
+    steps = [(f"d{k}s", "f.g = s.g AND f.r // {} = s.r".format(8**k)) for k in range(doc_levels)] + [(f"t{k}s", "f.g // {} = s.r".format(8**k)) for k in range(group_levels)]
+    for i, (table, on) in enumerate(steps):
+        parts.append(f"f{i + 1} AS (SELECT f.doc_id, f.g, f.r, leaf, subroot, root, CASE WHEN more THEN sha256(s.b || f || s.a) ELSE f END AS f, CASE WHEN more THEN p || s.b || s.a ELSE p END AS p FROM f{i} f JOIN {table} s ON {on})")
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, root, sha256(p) AS proof_sha256, f AS folded_root, f = root AS verified FROM f{len(steps)}"
+
+
 ORACLE_SQL = {
+    "op13_merkle_manifest": _merkle_sql(),
     "op2_decontamination": f"""
 WITH d AS (SELECT doc_id, {_W.format(_LOWER)} AS w FROM documents),
 b AS (SELECT item_id, {_W.format(_LOWER)} AS w FROM benchmark),
