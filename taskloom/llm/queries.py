@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, chat, decontaminate, licenses, merkle, piece_codec, quality, secrets, sharding, simhash, token_counts, token_store
+from . import align, chat, decontaminate, html_text, licenses, merkle, piece_codec, quality, secrets, sharding, simhash, token_counts, token_store
 
 
 def vocabulary(name: str) -> str:
@@ -67,6 +67,10 @@ def op11_alignment(spark, sf_dir):
     return align.align_digest(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
+def op12_html_text(spark, sf_dir):
+    return html_text.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op13_merkle_manifest(spark, sf_dir):
     return merkle.verified(_table(spark, sf_dir, "documents"))
 
@@ -77,7 +81,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_sentencepiece, op4_token_store, op5_quality_rules, op6_sharding, op7_simhash, op8_token_counts, op9_secret_scan, op10_chat_format, op11_alignment, op13_merkle_manifest, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_sentencepiece, op4_token_store, op5_quality_rules, op6_sharding, op7_simhash, op8_token_counts, op9_secret_scan, op10_chat_format, op11_alignment, op12_html_text, op13_merkle_manifest, pipeline)}
 
 _W = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
