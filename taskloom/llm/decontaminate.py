@@ -6,7 +6,8 @@ places go on to the full n-gram hash; hits are compared as words, not only as ha
 
 The set is dealt by hash over blocks of about ``BLOCK_BYTES``, by its measured size, and each block is broadcast
 to a scan of its own: one block, so one scan, for any benchmark of usual size, and a scan more for each further
-block.  There is no other way at any size: documents are never shuffled by their words.  What leaves a scan is a
+block.  Ahead of several scans rows are numbered and stored once (one write of the texts), so that hits of all scans
+meet whatever order the source has.  Documents are never shuffled by their words at any size.  What leaves a scan is a
 row of length 0 for each document (from the first scan) and the verified hits, both without the words.
 
 Defined results: null or empty text has no words, no hits and is clean; items without words have no
@@ -53,7 +54,11 @@ def contamination_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     size = F.octet_length("window") + F.aggregate("items", F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x)) + _ROW
     bytes_, single = found.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(F.col("len") == 1), F.lit(False))).first()
     blocks = max(1, -(-bytes_ // block_bytes))
-    base = docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct(*[F.col(f"`{c}`") for c in key or ["doc_id"]]).alias("_id"), words(ascii_lower(F.col(text)), LETTER_WORDS).alias("_w"))
+    base = docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct(*[F.col(f"`{c}`") for c in key or ["doc_id"]]).alias("_id"), F.col(f"`{text}`").alias("_body"))
+    if blocks > 1:
+        # a row's number is its place in a scan, which another scan may not repeat: numbers are stored before the scans
+        base = cut(base, "numbered")
+    base = base.select("_rid", "_id", words(ascii_lower(F.col("_body")), LETTER_WORDS).alias("_w"))
     kinds = [gram_hashes("_w", 2)] + ([gram_hashes("_w", 1)] if single else [])
     hits = None
     for b in range(blocks):

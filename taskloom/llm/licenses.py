@@ -6,7 +6,8 @@ Votes are gathered by diagonal, neighbouring diagonals of the same template are
 added word shifts the diagonal), and a merged span counts if its grams, which were compared as words and
 not only as hashes, cover enough of the template.
 
-Templates are broadcast ``BLOCK_GRAMS`` places at a time, each block to a scan of its own: one for any usual list.
+Templates are broadcast ``BLOCK_GRAMS`` places at a time, each block to a scan of its own: one for any usual list; ahead
+of several, rows are numbered and stored once, so that votes of all scans meet whatever order the source has.
 Only rows whose hash is in the table leave a scan; one extra row a document, which takes no part in the join, carries
 its word count from the first scan, so that documents without hits stay in the result.
 
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scratch import cut
 from .text import LETTER_WORDS, ascii_lower, gram_hashes, joined, words
 
 #: Exact phrases and their labels: fixed values.
@@ -78,7 +80,11 @@ def _table(spark: SparkSession, flat: list[tuple], lengths: list[int]) -> DataFr
 def _hits(docs: DataFrame, text: str, key: list[str], phrases, notices, gram: int, block: int) -> DataFrame:
     """Verified votes, and one row of template -1 a document (from the first scan)."""
     flat, lengths = template_grams(phrases, notices, gram)
-    base = docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct(*[F.col(f"`{c}`") for c in key]).alias("_id"), words(ascii_lower(F.col(text)), LETTER_WORDS).alias("_w"))
+    base = docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct(*[F.col(f"`{c}`") for c in key]).alias("_id"), F.col(f"`{text}`").alias("_body"))
+    if len(flat) > block:
+        # a row's number is its place in a scan, which another scan may not repeat: numbers are stored before the scans
+        base = cut(base, "numbered")
+    base = base.select("_rid", "_id", words(ascii_lower(F.col("_body")), LETTER_WORDS).alias("_w"))
     out = None
     for b in range(0, max(1, len(flat)), block):
         table = F.broadcast(_table(docs.sparkSession, flat[b : b + block], lengths))

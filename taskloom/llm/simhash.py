@@ -154,6 +154,8 @@ def plan(nodes: DataFrame, n: int, radius: int) -> tuple[list[list[int]], list[i
         at += len(groups)
         if best is None or cost < best[0]:
             best = (cost, groups, chosen)
+    if best[0] == float("inf"):
+        raise ValueError(f"no partition of 64 bits has thresholds that find all pairs within {radius} bits")
     return best[1], best[2]
 
 
