@@ -18,7 +18,11 @@ ignored.  One document of any length is linear work of one task, which holds som
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,49 +32,93 @@ from pyspark.sql import functions as F
 
 from .arrow import slices
 from .scratch import cut
-from .tokenizers_public import SPACE, byte_model, piece_model
+from .tokenizers_public import SPACE, SPLIT, ByteModel
 
 TOKENS = "a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
 #: Bytes of text whose tokens are held at once.
-HOLD = 2_000_000
+HOLD = 1_000_000
+#: White space for which tiktoken's pattern may run out of stack.
+LONG_RUN = re.compile(r"\s{2000}")
 #: Ids of B in a pair code: code = a * SHIFT + b.
 SHIFT = 1 << 31
 
 
-class _Spans:
+class Bytes:
+    """A byte-level vocabulary in the tokenizers library's file format, encoded by tiktoken with the file's own ranks.
+
+    Ids ascend with the merges there, so that a token's rank is its id; a file for which that isn't so is a ValueError.  Texts
+    with runs of white space too long for tiktoken's pattern go through the tokenizers library."""
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab, special = spec["model"]["vocab"], {x["content"] for x in spec.get("added_tokens", [])}
+        made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+        if any(x >= y for x, y in zip(made, made[1:])):
+            raise ValueError("ids don't ascend with the merges")
+        shown = ByteModel._alphabet()
+        self.entries = [b""] * (max(vocab.values()) + 1)
+        for t, i in vocab.items():
+            self.entries[i] = t.encode() if t in special else "".join(map(shown.__getitem__, t)).encode("latin-1")
+        self.fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks={self.entries[i]: i for t, i in vocab.items() if t not in special}, special_tokens={})
+        self.path = path
+
+    @cached_property
+    def lib(self):
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.path)
+        made.no_truncation()
+        made.no_padding()
+        made.encode_special_tokens = True
+        return made
+
+    def encode(self, text: str) -> list[int]:
+        if LONG_RUN.search(text):
+            return self.lib.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
+
+
+class Pieces:
+    """A sentencepiece model by the library."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.lib = lib = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.entries = [bytes([int(lib.id_to_piece(i)[3:-1], 16)]) if lib.is_byte(i) else lib.id_to_piece(i).replace(SPACE, " ").encode() for i in range(lib.vocab_size())]
+
+    def encode(self, text: str) -> list[int]:
+        return self.lib.encode(text)
+
+
+class Spans:
     """What each id of a vocabulary stands for, end to end."""
 
     def __init__(self, shown: list[bytes]):
-        self.size = np.array([len(x) for x in shown], dtype=np.int64)
-        self.first = np.cumsum(self.size) - self.size
+        self.size = np.array([len(x) for x in shown], dtype=np.int32)
+        self.first = (np.cumsum(self.size) - self.size).astype(np.int32)
         self.data = np.frombuffer(b"".join(shown), dtype=np.uint8)
 
     def joined(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of all ids, one after the other."""
         size = self.size[ids]
-        ends = np.cumsum(size)
-        return self.data[np.repeat(self.first[ids] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-
-
-_SPANS: dict[str, _Spans] = {}
-
+        ends = np.cumsum(size, dtype=np.int32)
+        return self.data[np.repeat(self.first[ids] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
 
-def entries(vocabulary: str) -> list[bytes]:
-    """The bytes of each id: byte-level entries decoded; pieces in UTF-8 with U+2581 as a space and <0xHH> as that byte."""
-    if vocabulary.endswith(".json"):
-        return byte_model(vocabulary, False).bytes_of
-    lib = piece_model(vocabulary).lib
-    return [bytes([int(lib.id_to_piece(i)[3:-1], 16)]) if lib.is_byte(i) else lib.id_to_piece(i).replace(SPACE, " ").encode() for i in range(lib.vocab_size())]
 
-
-def spans(vocabulary: str) -> _Spans:
-    if vocabulary not in _SPANS:
-        _SPANS[vocabulary] = _Spans(entries(vocabulary))
-    return _SPANS[vocabulary]
+@lru_cache(maxsize=4)
+def tokenizer(path: str) -> tuple[Bytes | Pieces, Spans]:
+    """The tokenizer of a vocabulary file (.json: byte-level, else a piece model), and its entries' bytes."""
+    made = Bytes(path) if path.endswith(".json") else Pieces(path)
+    return made, Spans(made.entries)
 
 
 def most_pairs(a: str, b: str) -> int:
     """Id pairs that can end together: of each entry, the suffixes (itself included) that are entries of the other."""
-    one, two = entries(a), entries(b)
+    one, two = tokenizer(a)[0].entries, tokenizer(b)[0].entries
 
     def count(xs: list[bytes], ys: list[bytes], own: bool) -> int:
         by: dict[bytes, int] = {}
@@ -89,75 +137,79 @@ def tokens(docs: DataFrame, a: str, b: str, text: str = "text", key: str = "doc_
     body = own.columns[1]
     schema = StructType([own.schema[0], *StructType.fromDDL(TOKENS).fields])
 
-    def lists(ids: np.ndarray, ends: np.ndarray, at: np.ndarray) -> list[pa.Array]:
-        where = pa.array(at.astype(np.int32))
-        return [pa.ListArray.from_arrays(where, pa.array(x.astype(np.int32))) for x in (ids, ends)]
+    def side(tool: Bytes | Pieces, spans: Spans, texts: list[str], want: list[bytes]):
+        """Ids, the index of each text's first, each token's end within its text, and whether a text's bytes come back."""
+        made = [tool.encode(t) if t else [] for t in texts]
+        n = np.fromiter(map(len, made), np.int64, len(made))
+        ids = np.fromiter(chain.from_iterable(made), np.int32, int(n.sum()))
+        at = np.concatenate([[0], np.cumsum(n)])
+        ends = np.concatenate([[0], np.cumsum(spans.size[ids], dtype=np.int64)])
+        data = spans.joined(ids).tobytes()
+        cuts = ends[at].tolist()
+        good = np.array([len(w) > 0 and data[x:y] == w for x, y, w in zip(cuts, cuts[1:], want)], dtype=bool)
+        return ids, at, (ends[1:] - np.repeat(ends[at[:-1]], n)).astype(np.int32), good
 
-    def flat(ids: np.ndarray, at: np.ndarray, size: np.ndarray, good: np.ndarray) -> list[pa.Array]:
-        """Ids of good texts, with each token's end within its text."""
+    def lists(ids: np.ndarray, at: np.ndarray, ends: np.ndarray, good: np.ndarray) -> list[pa.Array]:
         n = np.diff(at)
         keep = np.repeat(good, n)
-        ids, n = ids[keep], np.where(good, n, 0)
-        ends = np.cumsum(size[ids])
-        at = np.concatenate([[0], np.cumsum(n)])
-        before = np.concatenate([[0], ends])[at[:-1]]
-        return lists(ids, ends - np.repeat(before, n), at)
+        where = pa.array(np.concatenate([[0], np.cumsum(np.where(good, n, 0))]).astype(np.int32))
+        return [pa.ListArray.from_arrays(where, pa.array(x[keep])) for x in (ids, ends)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two, first, second = byte_model(a, False), piece_model(b), spans(a), spans(b)
         for batch in batches:
             for part, texts in slices(batch, body, HOLD):
-                shown = pa.array([" " + t if t else "" for t in texts], pa.large_string())
-                a_ids, a_at = one.encode(shown)
-                made = two.encode(texts)
-                b_at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in made])]).astype(np.int64)
-                b_ids = np.frombuffer(b"".join(made), dtype="<u4")
-                want = [np.frombuffer((" " + t if t else "").encode(), np.uint8) for t in texts]
-                good = np.array([len(w) > 0 for w in want])
-                for s, ids, at in ((first, a_ids, a_at), (second, b_ids, b_at)):
-                    data, ends = s.joined(ids), np.concatenate([[0], np.cumsum(s.size[ids])])[at]
-                    good &= [np.array_equal(data[x:y], w) for x, y, w in zip(ends[:-1], ends[1:], want)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *flat(a_ids, a_at, first.size, good), *flat(b_ids, b_at, second.size, good)], names=[f.name for f in schema])
+                spaced = [" " + t if t else "" for t in texts]
+                want = [t.encode() for t in spaced]
+                *one, good = side(*tokenizer(a), spaced, want)
+                *two, also = side(*tokenizer(b), texts, want)
+                good &= also
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists(*one, good), *lists(*two, good)], names=schema.names)
 
     return own.mapInArrow(run, schema)
 
 
 def aligned(coded: DataFrame) -> DataFrame:
-    """``coded`` (see ``tokens``) with ``cuts`` (byte ends that both have) and ``a_of``, ``b_of`` (index of the token that holds each byte)."""
+    """``coded`` (see ``tokens``) with ``cuts`` (byte ends that both have), ``starts`` (where the groups begin) and ``a_of``, ``b_of`` (index of the token that holds each byte)."""
     owner = "flatten(transform({0}, (e, i) -> array_repeat(i, e - if(i = 0, 0, {0}[i - 1]))))"
-    return coded.withColumns({"cuts": F.array_intersect("a_ends", "b_ends"), "a_of": F.expr(owner.format("a_ends")), "b_of": F.expr(owner.format("b_ends"))})
+    made = coded.withColumns({"cuts": F.array_intersect("a_ends", "b_ends"), "a_of": F.expr(owner.format("a_ends")), "b_of": F.expr(owner.format("b_ends"))})
+    return made.withColumn("starts", F.expr("concat(array(0), cuts)"))
+
+
+def _guarded(made: str, kind: str) -> Column:
+    """``made``, nothing where there is no group.  Naming each array outside the lambda too keeps the optimizer from putting its formula inside, where it would be worked out again for every element."""
+    return F.expr(f"if(size(cuts) + size(starts) + size(a_of) + size(b_of) <= 1, cast(array() as {kind}), {made})")
 
 
-def _ahead(k: str = "k") -> str:
-    return f"if({k} = 0, 0, cuts[{k} - 1])"
+#: Ids of one side from a group's first token to its last; a slice would copy the whole array for each group.
+_OWN = "transform(sequence({0}_of[starts[k]], {0}_of[e - 1]), i -> {1})"
 
 
 def groups() -> Column:
     """array<struct<a: array<int>, b: array<int>>>: the ids of each group, over ``aligned`` columns."""
-    side = "slice({0}_ids, {0}_of[{1}] + 1, {0}_of[e - 1] - {0}_of[{1}] + 1)"
-    return F.expr(f"transform(cuts, (e, k) -> named_struct('a', {side.format('a', _ahead())}, 'b', {side.format('b', _ahead())}))")
+    return _guarded(f"transform(cuts, (e, k) -> named_struct('a', {_OWN.format('a', 'a_ids[i]')}, 'b', {_OWN.format('b', 'b_ids[i]')}))", "array<struct<a:array<int>,b:array<int>>>")
 
 
 def links() -> Column:
     """array<bigint>: the code of each pair of tokens that end together, in order of place."""
-    return F.expr(f"transform(cuts, e -> a_ids[a_of[e - 1]] * {SHIFT}L + b_ids[b_of[e - 1]])")
+    return _guarded(f"transform(cuts, e -> a_ids[a_of[e - 1]] * {SHIFT}L + b_ids[b_of[e - 1]])", "array<bigint>")
 
 
 def shown_groups() -> Column:
-    """``a1,a2|b1;a3|b2,b3`` over ``aligned`` columns and the ids as strings, ``a_s`` and ``b_s``."""
-    side = "if({0}_of[{1}] = {0}_of[e - 1], {0}_s[{0}_of[e - 1]], array_join(slice({0}_s, {0}_of[{1}] + 1, {0}_of[e - 1] - {0}_of[{1}] + 1), ','))"
-    return F.expr(f"array_join(transform(cuts, (e, k) -> concat({side.format('a', _ahead())}, '|', {side.format('b', _ahead())})), ';')")
+    """``a1,a2|b1;a3|b2,b3`` over ``aligned`` columns."""
+    side = lambda x: f"if({x}_of[starts[k]] = {x}_of[e - 1], string({x}_ids[{x}_of[e - 1]]), array_join({_OWN.format(x, f'string({x}_ids[i])')}, ','))"
+    return F.array_join(_guarded(f"transform(cuts, (e, k) -> concat({side('a')}, '|', {side('b')}))", "array<string>"), ";")
 
 
 def pair_counts(linked: DataFrame) -> DataFrame:
     """(code, n, best) of every linked id pair of a table with ``links``; ``best`` if no other A id is linked more often to the B id."""
-    n = linked.select(F.explode("links").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    # the outer form, as the optimizer would work out ``links`` once more to drop rows without any
+    n = linked.select(F.explode_outer("links").alias("code")).where(F.col("code").isNotNull()).groupBy("code").agg(F.count("*").alias("n"))
     return n.withColumn("best", F.col("n") == F.max("n").over(W.partitionBy(F.col("code") % SHIFT)))
 
 
 def align_digest(docs: DataFrame, a: str, b: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row a document: tokens, groups, links, links whose pair is the B id's most frequent, the pairs' counts summed, and the groups' digest."""
-    made = aligned(tokens(docs, a, b, text, key)).withColumns({"a_s": F.col("a_ids").cast("array<string>"), "b_s": F.col("b_ids").cast("array<string>")})
+    made = aligned(tokens(docs, a, b, text, key))
     n = F.size("cuts").cast("long")
     own = made.select(
         F.monotonically_increasing_id().alias("_rid"), F.col(f"`{key}`").alias("_key"), F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), n.alias("n_groups"), n.alias("n_links"),

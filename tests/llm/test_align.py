@@ -13,7 +13,7 @@ from taskloom.llm.queries import vocabulary
 A, B = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
 ODD = [
     (1, None), (2, ""), (3, " "), (4, "a▁b"), (5, "  two   spaces <|endoftext|> <s> </s> <0x41>\n\n\tx"), (5, "x\x00y é́ \U0001F600 日本語"),
-    (None, "hello hello"), (6, "　  z\x1cq"), (7, " " * 300), (8, "a" * 5000), (None, None), (9, "It's the end, isn't it? " * 40),
+    (None, "hello hello"), (6, "　  z\x1cq"), (7, " " * 300), (7, "x" + "\n " * 3_000 + "y"), (8, "a" * 5000), (None, None), (9, "It's the end, isn't it? " * 40),
 ]
 
 
