@@ -3,8 +3,8 @@
 Pages are cut into leaf blocks (``blocks``), every block of the whole page is classified by a bidirectional LSTM
 (``labeller``), and the blocks that are the article's are joined by line ends.
 
-The labeller is fitted on a bounded sample of the pages at hand: the ``SAMPLE`` pages of least hash among those of
-``SAMPLE_BYTES`` or fewer.  Its labels come from marks that say what a part is (elements and class words, below); blocks
+The labeller is fitted on a bounded sample of the pages at hand: the ``SAMPLE`` different pages of least hash among those
+of ``SAMPLE_BYTES`` or fewer.  Its labels come from marks that say what a part is (elements and class words, below); blocks
 without such marks count for nothing.  As such marks are often missing or odd, each sampled page's text is also laid
 out anew ``REDRAWN`` times, in drawn templates of known labels with menus, notices, adverts, sidebars, forms, comments and
 footers around and inside the article.  Only fitting is bounded; every block of every page is classified.
@@ -200,9 +200,13 @@ def training(htmls: list[str], redrawn: int = REDRAWN, seed: int = SEED) -> tupl
 
 
 def sample(pages: DataFrame, html: str = "html", most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> list[str]:
-    """At most ``most`` pages of ``most_bytes`` or fewer: those of least hash, whatever the order of the table."""
-    own = pages.select(F.col(f"`{html}`").alias("page")).where(F.octet_length("page") <= most_bytes)
-    return sorted(r.page for r in own.orderBy(F.xxhash64("page"), "page").limit(most).collect())
+    """At most ``most`` different pages of ``most_bytes`` or fewer: those of least hash, whatever the order of the table."""
+    own = pages.select(F.col(f"`{html}`").alias("page")).where(F.octet_length("page") <= most_bytes).withColumn("_h", F.xxhash64("page"))
+    # first the hashes alone: no more than ``most`` pages leave the executors, but for equal ones
+    hashes = [r[0] for r in own.select("_h").distinct().orderBy("_h").limit(most).collect()]
+    if not hashes:
+        return []
+    return sorted(r.page for r in own.where(F.col("_h") <= hashes[-1]).dropDuplicates(["_h"]).select("page").collect())
 
 
 def fit(pages: DataFrame, html: str = "html", epochs: int = EPOCHS, seed: int = SEED) -> Labeller:
