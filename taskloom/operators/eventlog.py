@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import backoff, share
 from ..sources.adapters import seconds
+from .segments import Segments
 
 
 def timed(events: DataFrame) -> DataFrame:
@@ -63,12 +64,6 @@ def last_n(events: DataFrame, n: int, kind: str | None = None) -> DataFrame:
     return e.orderBy(F.desc("event_at"), F.desc("task_id"), F.desc("event_type")).limit(n).select("task_id", "event_type", "event_at")
 
 
-def active_deferrals(events: DataFrame, deadline_s: int = 600 * 86400) -> DataFrame:
-    """Tasks still deferred: count, last time and share of the deadline."""
-    d = events.where(F.col("event_type") == "DEFERRED")
-    return d.groupBy("task_id").agg(F.max("defer_count").alias("deferrals"), F.max("event_at").alias("last_at"), F.max_by("priority", "event_at").alias("priority")).withColumn("pct_of_deadline", F.round(F.col("deferrals") * 86400.0 * 100 / deadline_s, 4))
-
-
 def deferral_backoff(tasks: DataFrame, base: float = 2.0, escalate_after: int = 5) -> DataFrame:
     """One row a deferral of each task: its delay, and the priority after escalation from the fifth on."""
     d = tasks.where("defer_count > 0").select("task_id", "priority", F.explode(F.expr("sequence(1, cast(defer_count as int))")).alias("defer_number"))
@@ -76,25 +71,9 @@ def deferral_backoff(tasks: DataFrame, base: float = 2.0, escalate_after: int =
     return d.select("task_id", "defer_number", backoff("exponential", base, F.col("defer_number")).alias("backoff_s"), after.alias("priority_after"), (F.col("defer_number") >= escalate_after).alias("escalated"))
 
 
-def retry_outcome(failures: DataFrame, max_retries: int = 2) -> DataFrame:
-    """Numbers each task's failures and says what follows; columns task_id, at, retryable."""
-    w = W.partitionBy("task_id").orderBy("at", "tie")
-    n = F.row_number().over(w)
-    f = failures.withColumn("attempt", n)
-    return f.select("task_id", "attempt", F.when(~F.col("retryable"), "SKIPPED").when(F.col("attempt") > max_retries, "EXHAUSTED").otherwise("RETRYING").alias("outcome"), F.when(F.col("retryable") & (F.col("attempt") <= max_retries), backoff("exponential", 2.0, F.col("attempt"))).alias("delay_s"))
-
-
-def backpressure(events: DataFrame, most: int = 5) -> DataFrame:
-    """Per session, in order of deferral: how many tasks have been deferred so far, and the signal."""
-    d = events.where(F.col("event_type") == "DEFERRED").withColumn("_first", (F.row_number().over(W.partitionBy("session", "task_id").orderBy("event_at")) == 1).cast("int"))
-    run = F.sum("_first").over(W.partitionBy("session").orderBy("event_at", "task_id"))
-    d = d.withColumn("active", run)
-    return d.select("session", "task_id", "active", F.when(F.col("defer_count") >= 10, "task_backpressure").when(F.col("active") >= most, "system_overload").otherwise("none").alias("signal"))
-
-
 def run_lifecycle(tasks: DataFrame) -> DataFrame:
     """Tasks of a session as runs: a new one aborts the one still running."""
-    x = tasks.withColumn("_next", F.lead("queued_at").over(W.partitionBy("session").orderBy("queued_at", "task_id")))
+    x = Segments(tasks, ["session"], ["queued_at", "task_id"]).windowed(1, lambda w: {"_next": F.lag("queued_at").over(w)}, backwards=True).done()
     aborted = F.col("_next").isNotNull() & (F.col("complete_at").isNull() | (F.col("_next") < F.col("complete_at")))
     x = x.withColumns({"ended_at": F.when(aborted, F.col("_next")).otherwise(F.col("complete_at")), "run_status": F.when(aborted, "ABORTED").when(F.col("complete_at").isNull(), "RUNNING").when(F.col("status") == "FAILED", "FAILED").otherwise("COMPLETED")})
     return x.select("task_id", "session", "ended_at", "run_status", F.when(F.col("ended_at").isNotNull(), seconds("queued_at", "ended_at").cast("double")).alias("duration_s"))
@@ -109,19 +88,6 @@ def retryable(error: str):
     return ~F.col(error).isin(NOT_RETRYABLE)
 
 
-def handle_deferrals(deferrals: DataFrame, deadline_s: float, base: float = 2.0, escalate_after: int = 5) -> DataFrame:
-    """What follows each deferral (task_id, session, priority, at): expired, or requeued after a delay at a priority.
-
-    The first deferral of a task starts its clock; one at or past the deadline expires it (priority -1)."""
-    w = W.partitionBy("task_id").orderBy("at")
-    x = deferrals.withColumn("_start", F.min("at").over(W.partitionBy("task_id")))
-    x = x.withColumn("elapsed_s", F.expr("timestampdiff(SECOND, _start, at)").cast("double")).withColumn("expired", F.col("elapsed_s") >= deadline_s)
-    n = F.row_number().over(w)
-    x = x.withColumn("defer_number", n)
-    after = F.greatest(F.lit(0), F.col("priority") - F.greatest(F.lit(0), F.col("defer_number") - (escalate_after - 1)))
-    return x.select("task_id", "defer_number", "elapsed_s", F.when(F.col("expired"), "EXPIRED").otherwise("REQUEUED").alias("action"), F.when(F.col("expired"), 0.0).otherwise(backoff("exponential", base, F.col("defer_number"))).alias("backoff_s"), F.when(F.col("expired"), -1).otherwise(after).alias("priority_after"))
-
-
 def record_lifecycle(events: DataFrame, ticks: DataFrame) -> DataFrame:
     """The full recorder: ends of life carry waits, bursts and turnaround; forced dispatches and cancellations are told
     apart; throttle changes (at, throttled) come in as events of the scheduler itself."""

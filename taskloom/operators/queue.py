@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.adapters import seconds
+from .segments import Segments
 
 NAMES = [(0, "CRITICAL"), (1, "HIGH"), (2, "MEDIUM"), (3, "LOW"), (4, "BACKGROUND")]
 
@@ -37,18 +38,15 @@ def aged_pending(tasks: DataFrame) -> DataFrame:
     return tasks.withColumn("effective", F.greatest(F.lit(0), F.col("priority") - F.floor(F.col("pending_ticks") / 10)).cast("int"))
 
 
-def numbered(tasks: DataFrame, day, order: list, out: str) -> DataFrame:
-    """``out``: each row's place from 0 by (``day``, ``order``): a count of the days before, and a place within the day."""
-    x = tasks.withColumn("_day", day)
-    totals = x.groupBy("_day").agg(F.count("*").alias("_total"))
-    starts = totals.select("_day", F.coalesce(F.sum("_total").over(W.orderBy("_day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
-    inside = x.withColumn("_r", F.row_number().over(W.partitionBy("_day").orderBy(*order)) - 1)
-    return inside.join(starts, "_day").withColumn(out, (F.col("_ahead") + F.col("_r")).cast("long")).drop("_day", "_ahead", "_r")
+def numbered(rows: DataFrame, order: list[str], out: str) -> DataFrame:
+    """``out``: each row's place from 0 along ``order`` (a time first): a running count over chunks of time."""
+    one = Segments(rows.withColumn("_all", F.lit(1)), ["_all"], order)
+    return one.running({out: ("count", F.lit(1))}, upto=-1).done().withColumn(out, F.col(out).cast("long")).drop("_all")
 
 
 def push(tasks: DataFrame) -> DataFrame:
     """Arrival numbers by time of submission; the effective priority starts at the nominal one, the state is pending."""
-    seq = numbered(tasks, F.to_date("queued_at"), ["queued_at", "task_id"], "arrival_seq")
+    seq = numbered(tasks, ["queued_at", "task_id"], "arrival_seq")
     return seq.select("task_id", "arrival_seq", F.col("priority").alias("effective"), F.lit("pending").alias("state"))
 
 
@@ -140,8 +138,18 @@ def distribution(tasks: DataFrame) -> DataFrame:
     return names.join(tasks.groupBy("priority").agg(F.count("*").alias("c")), "priority", "left").select("name", F.coalesce("c", F.lit(0)).cast("long").alias("n_tasks"))
 
 
+def depths(tasks: DataFrame, by: list[str]) -> DataFrame:
+    """``depth`` after each arrival and dispatch, along time: of each queue of ``by``, or of all as one queue."""
+    moves = tasks.select(*by, "task_id", F.inline(F.array_compact(F.array(F.struct(F.col("queued_at").alias("at"), F.lit(-1).alias("_less")), F.when(F.col("dispatch_at").isNotNull(), F.struct(F.col("dispatch_at").alias("at"), F.lit(1).alias("_less")))))))
+    own = moves if by else moves.withColumn("_all", F.lit(1))
+    return Segments(own, by or ["_all"], ["at", "_less", "task_id"]).running({"depth": ("sum", -F.col("_less"))}).done().drop("_all", "_less")
+
+
 def peak_depth(tasks: DataFrame) -> DataFrame:
-    """Largest number of waiting tasks of each session: a running sum of arrivals and dispatches."""
-    moves = tasks.select("session", "task_id", F.inline(F.array_compact(F.array(F.struct(F.col("queued_at").alias("at"), F.lit(1).alias("x")), F.when(F.col("dispatch_at").isNotNull(), F.struct(F.col("dispatch_at").alias("at"), F.lit(-1).alias("x")))))))
-    w = W.partitionBy("session").orderBy("at", F.desc("x"), "task_id").rowsBetween(W.unboundedPreceding, 0)
-    return moves.withColumn("_d", F.sum("x").over(w)).groupBy("session").agg(F.max("_d").alias("peak"))
+    """Largest number of waiting tasks of each session."""
+    return depths(tasks, ["session"]).groupBy("session").agg(F.max("depth").alias("peak"))
+
+
+def peak_depth_whole(tasks: DataFrame) -> DataFrame:
+    """One row: the largest number of tasks that wait at once, and when that is first so."""
+    return depths(tasks, []).agg(F.max(F.struct("depth", F.expr("-timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', at)").alias("_when"), "at")).alias("_m")).select(F.col("_m.depth").alias("peak"), F.col("_m.at").alias("peak_at"))

@@ -31,8 +31,14 @@ def ev(s, d):
     return src.task_events(s, d)
 
 
+def tels(s, d):
+    """Telemetry with streaks and bottlenecks, cut for further scans."""
+    t = tm.streaks(src.telemetry(s, d))
+    return t.over(t.rows.withColumn("bottleneck", tm.bottleneck_a(F.col("streak"))))
+
+
 def tel(s, d):
-    return tm.streak(src.telemetry(s, d)).withColumn("bottleneck", tm.bottleneck_a(F.col("streak")))
+    return tels(s, d).done()
 
 
 TE = ("tasks", "task_events")
@@ -62,13 +68,7 @@ query("N1_gantt_rows", with_("""SELECT task_id, 'bar' AS kind, dispatch_at AS st
  UNION ALL SELECT task_id, 'marker', event_at, event_at, 'orange' FROM task_events WHERE event_type = 'DEFERRED'""", *TE))(lambda s, d: eventlog.gantt_rows(ev(s, d)))
 query("B1_events_last_n", with_("SELECT task_id, event_type, event_at FROM task_events ORDER BY event_at DESC, task_id DESC, event_type DESC LIMIT 50", *TE))(lambda s, d: eventlog.last_n(ev(s, d), 50))
 query("B2_completed_only", with_("SELECT task_id, complete_at FROM task_events WHERE event_type = 'COMPLETED'", *TE))(lambda s, d: ev(s, d).where("event_type = 'COMPLETED'").select("task_id", "complete_at"))
-query("D22_active_deferrals", with_("SELECT task_id, max(defer_count) AS deferrals, max(event_at) AS last_at, arg_max(priority, event_at) AS priority, round(max(defer_count) * 86400.0::DOUBLE * 100 / 51840000, 4) AS pct_of_deadline FROM task_events WHERE event_type = 'DEFERRED' GROUP BY 1", *TE))(lambda s, d: eventlog.active_deferrals(ev(s, d)))
 query("I10_deferral_backoff", with_("SELECT task_id, k::INT AS defer_number, round(least(60.0, 2.0 * pow(2.0, k - 1)), 3)::DOUBLE AS backoff_s, greatest(0, priority - greatest(0, k - 4))::INT AS priority_after, k >= 5 AS escalated FROM tasks, unnest(range(1, defer_count + 1)) AS u(k)", "tasks"))(lambda s, d: eventlog.deferral_backoff(src.tasks(s, d).where("defer_count > 0")))
-query("I11_retry_outcome", """WITH f AS (SELECT l_suppkey AS task_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey * 10 + l_linenumber)::INT AS attempt, l_linenumber < 6 AS retryable FROM lineitem WHERE l_returnflag = 'R')
-SELECT task_id, attempt, CASE WHEN NOT retryable THEN 'SKIPPED' WHEN attempt > 2 THEN 'EXHAUSTED' ELSE 'RETRYING' END AS outcome, CASE WHEN retryable AND attempt <= 2 THEN round(least(60.0, 2.0 * pow(2.0, attempt - 1)), 3)::DOUBLE END AS delay_s FROM f""")(
-    lambda s, d: eventlog.retry_outcome(src.table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("task_id"), F.col("l_shipdate").alias("at"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("tie"), (F.col("l_linenumber") < 6).alias("retryable"))))
-query("I13_backpressure", with_("""SELECT session, task_id, sum(1) OVER (PARTITION BY session ORDER BY event_at, task_id)::BIGINT AS active,
- CASE WHEN defer_count >= 10 THEN 'task_backpressure' WHEN sum(1) OVER (PARTITION BY session ORDER BY event_at, task_id) >= 5 THEN 'system_overload' ELSE 'none' END AS signal FROM task_events WHERE event_type = 'DEFERRED'""", *TE))(lambda s, d: eventlog.backpressure(ev(s, d)))
 _fib = ", ".join(str(float(x)) for x in fx.fibonacci(30))
 query("I12_backoff_table", f"SELECT k::INT AS attempt, round(least(60.0, 1.5 * pow(2.0, k - 1)), 3)::DOUBLE AS exponential, round(least(60.0, 1.5 * k), 3)::DOUBLE AS linear, 1.5::DOUBLE AS constant, round(least(60.0, 1.5 * ([{_fib}])[k]), 3)::DOUBLE AS fibonacci FROM range(1, 13) t(k)")(
     lambda s, d: s.range(1, 13).select(F.col("id").cast("int").alias("attempt"), *[fx.backoff(k, 1.5, F.col("id")).alias(k) for k in ("exponential", "linear", "constant", "fibonacci")]))
@@ -79,8 +79,8 @@ query("E3_cpu_streak", with_("SELECT seq, pid, streak::BIGINT AS streak, streak
 query("E4_sustained_pressure", with_("SELECT seq, pid, n >= 5 AND lo > 80 AS cpu_high, n >= 5 AND hi < 60 AS cpu_low FROM x", "telemetry", more="x AS (SELECT *, count(*) OVER w AS n, min(cpu_pct) OVER w AS lo, max(cpu_pct) OVER w AS hi FROM telemetry WINDOW w AS (PARTITION BY pid ORDER BY ts, seq ROWS 4 PRECEDING))"))(lambda s, d: tm.pressure(src.telemetry(s, d)).select("seq", "pid", "cpu_high", "cpu_low"))
 query("E5_rolling_10", with_("SELECT seq, pid, round(avg(cpu_pct) OVER w, 5) AS mean, max(cpu_pct) OVER w AS max FROM telemetry WINDOW w AS (PARTITION BY pid ORDER BY ts, seq ROWS 9 PRECEDING)", "telemetry"))(lambda s, d: tm.rolling(src.telemetry(s, d)))
 _ctr = "c AS (SELECT *, sum(floor(cpu_pct)) OVER (PARTITION BY pid ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS counter, coalesce(ts <= max(ts) OVER (PARTITION BY pid ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stale FROM telemetry), p AS (SELECT *, lag(counter) OVER w AS pv, lag(ts) OVER w AS pt FROM c WINDOW w AS (PARTITION BY pid, stale ORDER BY ts, seq))"
-query("E6_counter_rate", with_("SELECT seq, pid, round(CASE WHEN stale OR pt IS NULL THEN 0.0 ELSE greatest(0.0, counter - pv) / (date_diff('microsecond', pt, ts) / 1e6) END, 6)::DOUBLE AS rate FROM p", "telemetry", more=_ctr))(lambda s, d: tm.counter_rate(src.telemetry(s, d).withColumn("counter", F.sum(F.floor("cpu_pct").cast("double")).over(tm.by_pid().rowsBetween(W.unboundedPreceding, 0)))))
-query("E8_bottleneck_transitions", with_("SELECT seq, pid, old, bottleneck AS new, CASE WHEN bottleneck <> 'none' THEN 'DETECTED' ELSE 'CLEARED' END AS event FROM (SELECT *, lag(bottleneck, 1, 'none') OVER (PARTITION BY pid ORDER BY ts, seq) AS old FROM t) WHERE old <> bottleneck", "telemetry", more=GRP))(lambda s, d: tm.transitions(tel(s, d)))
+query("E6_counter_rate", with_("SELECT seq, pid, round(CASE WHEN stale OR pt IS NULL THEN 0.0 ELSE greatest(0.0, counter - pv) / (date_diff('microsecond', pt, ts) / 1e6) END, 6)::DOUBLE AS rate FROM p", "telemetry", more=_ctr))(lambda s, d: tm.counter_rate(tm.by_pid(src.telemetry(s, d)).running({"counter": ("sum", F.floor("cpu_pct").cast("double"))})))
+query("E8_bottleneck_transitions", with_("SELECT seq, pid, old, bottleneck AS new, CASE WHEN bottleneck <> 'none' THEN 'DETECTED' ELSE 'CLEARED' END AS event FROM (SELECT *, lag(bottleneck, 1, 'none') OVER (PARTITION BY pid ORDER BY ts, seq) AS old FROM t) WHERE old <> bottleneck", "telemetry", more=GRP))(lambda s, d: tm.transitions(tels(s, d)))
 query("L13_bottleneck_a", with_("SELECT bottleneck, count(*) AS n FROM t GROUP BY 1", "telemetry", more=GRP))(lambda s, d: tel(s, d).groupBy("bottleneck").agg(F.count("*").alias("n")))
 query("L14_bottleneck_s", with_("SELECT CASE WHEN ram_pct >= 92 OR swap_pct >= 40 THEN 'oom_risk' WHEN cpu_pct >= 90 THEN 'cpu_bound' WHEN disk_pct >= 70 AND cpu_pct < 50 THEN 'io_bound' WHEN ram_pct >= 80 AND cpu_pct < 60 THEN 'memory_bound' ELSE 'none' END AS bottleneck, count(*) AS n FROM telemetry GROUP BY 1", "telemetry"))(lambda s, d: src.telemetry(s, d).groupBy(tm.bottleneck_s().alias("bottleneck")).agg(F.count("*").alias("n")))
 _al = """a AS (SELECT seq, pid, bottleneck, 'cpu' AS metric, CASE WHEN cpu_pct > 95 THEN 'CRITICAL' WHEN cpu_pct > 85 AND streak >= 3 THEN 'WARNING' END AS level FROM t
@@ -90,9 +90,9 @@ _al = """a AS (SELECT seq, pid, bottleneck, 'cpu' AS metric, CASE WHEN cpu_pct >
 query("L15_L16_alerts", with_("SELECT * FROM al", "telemetry", more=GRP + ", " + _al))(lambda s, d: tm.alerts(tel(s, d)))
 query("D18_alert_counts", with_("SELECT s AS severity, count(al.seq) AS n FROM (VALUES ('critical'), ('high'), ('medium'), ('low')) v(s) LEFT JOIN al ON al.severity = s GROUP BY 1", "telemetry", more=GRP + ", " + _al))(
     lambda s, d: s.createDataFrame([("critical",), ("high",), ("medium",), ("low",)], "severity string").join(tm.alerts(tel(s, d)).groupBy("severity").agg(F.count("*").alias("c")), "severity", "left").select("severity", F.coalesce("c", F.lit(0)).cast("long").alias("n")))
-query("I8_throttle_instant", with_("SELECT seq, pid, cap FROM (SELECT *, lag(cap, 1, 3) OVER (PARTITION BY pid ORDER BY ts, seq) AS p FROM (SELECT *, CASE WHEN cpu_pct > 85 OR bottleneck IN ('oom_risk','cpu_bound') THEN 1 ELSE 3 END AS cap FROM t)) WHERE p <> cap", "telemetry", more=GRP))(lambda s, d: tm.throttle_instant(tel(s, d)))
+query("I8_throttle_instant", with_("SELECT seq, pid, cap FROM (SELECT *, lag(cap, 1, 3) OVER (PARTITION BY pid ORDER BY ts, seq) AS p FROM (SELECT *, CASE WHEN cpu_pct > 85 OR bottleneck IN ('oom_risk','cpu_bound') THEN 1 ELSE 3 END AS cap FROM t)) WHERE p <> cap", "telemetry", more=GRP))(lambda s, d: tm.throttle_instant(tels(s, d)))
 query("I9_throttle_latch", with_("SELECT state, count(*) AS n FROM (SELECT coalesce(last_value(sig IGNORE NULLS) OVER (PARTITION BY pid ORDER BY ts, seq ROWS UNBOUNDED PRECEDING), 'NORMAL') AS state FROM y) GROUP BY 1", "telemetry", more=GRP + """, x AS (SELECT *, count(*) OVER w AS n, min(cpu_pct) OVER w AS cl, max(cpu_pct) OVER w AS ch, min(ram_pct) OVER w AS rl, max(ram_pct) OVER w AS rh FROM t WINDOW w AS (PARTITION BY pid ORDER BY ts, seq ROWS 4 PRECEDING)),
- y AS (SELECT *, CASE WHEN (n >= 5 AND (cl > 80 OR rl > 80)) OR bottleneck = 'oom_risk' THEN 'THROTTLED' WHEN n >= 5 AND ch < 60 AND rh < 60 AND bottleneck = 'none' THEN 'NORMAL' END AS sig FROM x)"""))(lambda s, d: tm.throttle_latch(tel(s, d)))
+ y AS (SELECT *, CASE WHEN (n >= 5 AND (cl > 80 OR rl > 80)) OR bottleneck = 'oom_risk' THEN 'THROTTLED' WHEN n >= 5 AND ch < 60 AND rh < 60 AND bottleneck = 'none' THEN 'NORMAL' END AS sig FROM x)"""))(lambda s, d: tm.throttle_latch(tels(s, d)))
 query("D24_rolling_averages", with_("SELECT pid, round(avg(cpu_pct), 5) AS avg_cpu, max(cpu_pct) AS max_cpu, round(avg(ram_pct), 5) AS avg_ram, max(ram_pct) AS max_ram, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY ts DESC, seq DESC) AS r FROM telemetry) WHERE r <= 10 GROUP BY 1", "telemetry"))(lambda s, d: tm.last_averages(src.telemetry(s, d)))
 query("D16_session_summary", with_("SELECT pid, date_sub('second', min(ts), max(ts)) AS duration_s, round(avg(cpu_pct), 8) AS avg_cpu, max(cpu_pct) AS peak_cpu, round(avg(ram_pct), 8) AS avg_ram, max(ram_pct) AS peak_ram, coalesce(array_to_string(list_sort(list(DISTINCT bottleneck) FILTER (WHERE bottleneck <> 'none')), ','), '') AS bottlenecks FROM t GROUP BY 1", "telemetry", more=GRP))(lambda s, d: tm.session_summary(tel(s, d)))
 query("D17_run_metrics", "SELECT user_id AS run_id, event_type AS metric, min(value) AS lo, max(value) AS hi, arg_max(value, event_id) AS last, count(*) AS n FROM events GROUP BY 1, 2")(lambda s, d: src.table(s, d, "events").groupBy(F.col("user_id").alias("run_id"), F.col("event_type").alias("metric")).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.max_by("value", "event_id").alias("last"), F.count("*").alias("n")))

@@ -10,7 +10,7 @@ from ..operators import dag, eventlog, policy, queue
 from ..operators import telemetry as tm
 from ..sources import adapters as src
 from ..sources.adapters import sql
-from .catalogue import _DV, _PV, _dec, _reach, _walk, GRP, ev, g, query, tel, with_
+from .catalogue import _DV, _PV, _dec, _reach, _walk, GRP, ev, g, query, tel, tels, with_
 
 TK = lambda s, d: src.tasks(s, d)
 #: Cancelled tasks: orders with a returned line.
@@ -68,22 +68,8 @@ query("L12_edited_chain", with_("SELECT CASE WHEN defer_count % 10 = 9 THEN 'ten
 # --- logs ------------------------------------------------------------------------------------
 query("B12_retryable", with_("SELECT name, name NOT IN ('KeyboardInterrupt','SystemExit','ValueError','NotImplementedError','ImportError','TaskExpiredError','RetryBudgetExhaustedError') AS retryable FROM (SELECT DISTINCT (['ValueError','TimeoutError','ImportError','RateLimitError','SystemExit','Odd'])[1 + task_id % 6] AS name FROM tasks)", "tasks"))(
     lambda s, d: TK(s, d).select(F.element_at(F.array(*[F.lit(x) for x in ("ValueError", "TimeoutError", "ImportError", "RateLimitError", "SystemExit", "Odd")]), (F.col("task_id") % 6 + 1).cast("int")).alias("name")).distinct().withColumn("retryable", eventlog.retryable("name")))
-_defer = "df AS (SELECT l_orderkey AS task_id, o_custkey AS session, CAST(substr(o_orderpriority, 1, 1) AS INT) - 1 AS priority, l_shipdate AS moved FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= o_orderdate QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_shipdate ORDER BY l_linenumber) = 1)"
-
-
-def _deferrals(s, d):
-    o = src.table(s, d, "orders").select(F.col("o_orderkey").alias("task_id"), F.col("o_custkey").alias("session"), (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("priority"), "o_orderdate")
-    line = src.table(s, d, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_shipdate").alias("at")).distinct()
-    return eventlog.handle_deferrals(o.join(line, "task_id").where("at >= o_orderdate").drop("o_orderdate"), 60 * 86400.0)
-
-
-query("I10_handle_deferrals", with_("""SELECT task_id, defer_number::INT AS defer_number, elapsed::DOUBLE AS elapsed_s, CASE WHEN elapsed >= 5184000 THEN 'EXPIRED' ELSE 'REQUEUED' END AS action,
- CASE WHEN elapsed >= 5184000 THEN 0.0 ELSE round(least(60.0, 2.0 * pow(2, defer_number - 1)), 3) END::DOUBLE AS backoff_s, CASE WHEN elapsed < 5184000 THEN greatest(0, priority - greatest(0, defer_number - 4)) ELSE -1 END::INT AS priority_after
- FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY moved) AS defer_number, date_diff('second', min(moved) OVER (PARTITION BY task_id), moved) AS elapsed FROM df)""", more=_defer))(_deferrals)
-
-
 def _recorded(s, d):
-    t = tm.throttle_instant(tel(s, d)).join(src.telemetry(s, d).select("seq", "ts"), "seq").select(F.col("ts").alias("at"), (F.col("cap") == 1).alias("throttled"))
+    t = tm.throttle_instant(tels(s, d)).join(src.telemetry(s, d).select("seq", "ts"), "seq").select(F.col("ts").alias("at"), (F.col("cap") == 1).alias("throttled"))
     return eventlog.record_lifecycle(ev(s, d), t).groupBy("event").agg(F.count("*").alias("n"), F.sum("wait_s").alias("wait_s"), F.sum("burst_s").alias("burst_s"), F.sum("turnaround_s").alias("turnaround_s"), F.min("event_at").alias("first_at"))
 
 
@@ -112,12 +98,13 @@ query("N2_status", with_("SELECT session, string_agg(status || '=' || n, ' ' ORD
     lambda s, d: TK(s, d).groupBy("session", "status").agg(F.count("*").alias("n")).groupBy("session").agg(F.array_join(F.array_sort(F.collect_list(F.concat("status", F.lit("="), F.col("n").cast("string")))), " ").alias("status")))
 
 # --- telemetry -------------------------------------------------------------------------------
-_run_ = lambda c: F.sum(c).over(tm.by_pid().rowsBetween(W.unboundedPreceding, 0))
 query("E6_E7_disk_rates", with_("""SELECT seq, pid, CASE WHEN t0 IS NULL THEN 0.0 ELSE round(greatest(0.0, (read_bytes - b) / 1048576.0 / dt), 3) END::DOUBLE AS read_mb_s,
  CASE WHEN t0 IS NULL THEN 0.0 ELSE round(least(100.0, greatest(0.0, (busy_ms - m) / 1000.0 / dt * 100.0)), 1) END::DOUBLE AS busy_pct, CASE WHEN t0 IS NULL THEN 0.0 ELSE round(greatest(0.0, (ctx - c) / 2.0), 4) END::DOUBLE AS ctx_per_s FROM (
  SELECT *, CASE WHEN date_diff('microsecond', t0, ts) > 0 THEN date_diff('microsecond', t0, ts) / 1e6 ELSE 2.0 END AS dt FROM (SELECT *, lag(read_bytes) OVER w AS b, lag(busy_ms) OVER w AS m, lag(ctx) OVER w AS c, lag(ts) OVER w AS t0 FROM cn WINDOW w AS (PARTITION BY pid ORDER BY ts, seq)))""", "telemetry",
     more="cn AS (SELECT seq, pid, ts, sum((seq % 1000) * 1048576) OVER v AS read_bytes, sum(seq % 700000) OVER v AS busy_ms, sum(seq % 313) OVER v AS ctx FROM telemetry WINDOW v AS (PARTITION BY pid ORDER BY ts, seq ROWS UNBOUNDED PRECEDING))"))(
-    lambda s, d: tm.disk_rates(src.telemetry(s, d).withColumns({"read_bytes": _run_((F.col("seq") % 1000) * 1048576), "busy_ms": _run_(F.col("seq") % 700000), "ctx": _run_(F.col("seq") % 313)})))
+    lambda s, d: tm.disk_rates(tm.by_pid(src.telemetry(s, d)).running({"read_bytes": ("sum", (F.col("seq") % 1000) * 1048576), "busy_ms": ("sum", F.col("seq") % 700000), "ctx": ("sum", F.col("seq") % 313)})))
+query("D15_peak_depth_whole", with_("""SELECT d AS peak, min(moved) AS peak_at FROM dd WHERE d = (SELECT max(d) FROM dd) GROUP BY 1""", "tasks", more="""mv AS (SELECT task_id, queued_at AS moved, 1 AS x FROM tasks UNION ALL SELECT task_id, dispatch_at, -1 FROM tasks WHERE dispatch_at IS NOT NULL),
+ dd AS (SELECT moved, sum(x) OVER (ORDER BY moved, x DESC, task_id ROWS UNBOUNDED PRECEDING)::BIGINT AS d FROM mv)"""))(lambda s, d: queue.peak_depth_whole(TK(s, d)))
 query("F4_top_processes", with_("SELECT pid, cpu_pct FROM (SELECT * FROM (SELECT * FROM pr ORDER BY cpu_pct DESC, pid LIMIT 10) UNION SELECT * FROM pr WHERE pid IN (1, 2, 3))", "telemetry", more="pr AS (SELECT pid, arg_max(cpu_pct, seq) AS cpu_pct FROM telemetry GROUP BY 1)"))(lambda s, d: tm.top_processes(src.telemetry(s, d).groupBy("pid").agg(F.max_by("cpu_pct", "seq").alias("cpu_pct")), [1, 2, 3]))
 
 
@@ -134,7 +121,7 @@ _sig = "CASE WHEN n >= 5 AND (min(cpu_pct) OVER w > 80 OR min(ram_pct) OVER w >
 _bt = "bt AS (SELECT *, CASE WHEN ram_pct > 92 OR swap_pct > 40 THEN 'oom_risk' WHEN gpu_pct > 90 THEN 'gpu_bound' WHEN ram_pct > 80 AND cpu_pct < 60 THEN 'memory_bound' WHEN disk_pct > 70 AND cpu_pct < 50 THEN 'io_bound' WHEN streak >= 3 OR cpu_pct > 95 THEN 'cpu_bound' ELSE 'none' END AS bottleneck2 FROM tl), b2 AS (SELECT seq, pid, ts, cpu_pct, ram_pct, bottleneck2 AS bottleneck FROM bt)"
 query("I9_latch_transitions", with_(f"""SELECT seq, pid, p AS old, st AS new FROM (SELECT *, lag(st, 1, 'NORMAL') OVER (PARTITION BY pid ORDER BY ts, seq) AS p FROM (
  SELECT *, coalesce(last_value(sig IGNORE NULLS) OVER (PARTITION BY pid ORDER BY ts, seq ROWS UNBOUNDED PRECEDING), 'NORMAL') AS st FROM (
- SELECT *, {_sig} AS sig FROM (SELECT *, count(*) OVER (PARTITION BY pid ORDER BY ts, seq ROWS 4 PRECEDING) AS n FROM b2) WINDOW w AS (PARTITION BY pid ORDER BY ts, seq ROWS 4 PRECEDING)))) WHERE p <> st""", "telemetry", more=GRP + ", " + _bt))(lambda s, d: tm.latch_transitions(tel(s, d)))
+ SELECT *, {_sig} AS sig FROM (SELECT *, count(*) OVER (PARTITION BY pid ORDER BY ts, seq ROWS 4 PRECEDING) AS n FROM b2) WINDOW w AS (PARTITION BY pid ORDER BY ts, seq ROWS 4 PRECEDING)))) WHERE p <> st""", "telemetry", more=GRP + ", " + _bt))(lambda s, d: tm.latch_transitions(tels(s, d)))
 
 # --- graph -----------------------------------------------------------------------------------
 _back = lambda s: src.task_edges(s).unionByName(s.createDataFrame([("report_generation", "abstract_embedding")], "src string, dst string"))
