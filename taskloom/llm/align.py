@@ -22,7 +22,6 @@ import json
 import re
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +31,15 @@ from pyspark.sql import functions as F
 
 from .arrow import slices
 from .scratch import cut
-from .tokenizers_public import SPACE, SPLIT, ByteModel
+from .tokenizers_public import SPACE, SPLIT, ByteModel, text_buffers
 
 TOKENS = "a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
 #: Bytes of text whose tokens are held at once.
-HOLD = 1_000_000
+HOLD = 2_000_000
+#: Bytes of different parts that are encoded together.
+TOGETHER = 20_000
+#: Texts that aren't cut at spaces: runs of white space in which a word of either pattern could reach across, and U+2581.
+ODD = re.compile(r"^ | $|  |\s \s|\s\s |" + SPACE)
 #: White space for which tiktoken's pattern may run out of stack.
 LONG_RUN = re.compile(r"\s{2000}")
 #: Ids of B in a pair code: code = a * SHIFT + b.
@@ -75,10 +78,11 @@ class Bytes:
         made.encode_special_tokens = True
         return made
 
-    def encode(self, text: str) -> list[int]:
-        if LONG_RUN.search(text):
-            return self.lib.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
+    def encode(self, spaced: str) -> list[int]:
+        """Ids of a space and a text."""
+        if LONG_RUN.search(spaced):
+            return self.lib.encode(spaced, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(spaced)
 
 
 class Pieces:
@@ -90,8 +94,9 @@ class Pieces:
         self.lib = lib = sentencepiece.SentencePieceProcessor(model_file=path)
         self.entries = [bytes([int(lib.id_to_piece(i)[3:-1], 16)]) if lib.is_byte(i) else lib.id_to_piece(i).replace(SPACE, " ").encode() for i in range(lib.vocab_size())]
 
-    def encode(self, text: str) -> list[int]:
-        return self.lib.encode(text)
+    def encode(self, spaced: str) -> list[int]:
+        """Ids of a space and a text; the library puts the space itself."""
+        return self.lib.encode(spaced[1:])
 
 
 class Spans:
@@ -129,6 +134,72 @@ def most_pairs(a: str, b: str) -> int:
     return count(one, two, True) + count(two, one, False)
 
 
+def _parts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """A space and each text, cut before every space, where no token of either kind reaches across; odd texts stay whole.
+
+    Gives where each text's parts begin, which part stands there, the different parts, and whether they were cut."""
+    odd = np.array([bool(ODD.search(t)) for t in texts], dtype=bool)
+    where, data = text_buffers(pa.array([" " + t if t else "" for t in texts], pa.large_string()))
+    begins = data == 32
+    begins[np.repeat(odd, np.diff(where))] = False
+    begins[where[:-1][np.diff(where) > 0]] = True
+    starts = np.append(np.flatnonzero(begins), len(data))
+    made = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
+    index = made.indices.to_numpy()
+    at = np.searchsorted(starts, where)
+    plain = np.ones(len(made.dictionary), dtype=bool)
+    plain[index[np.repeat(odd, np.diff(at))]] = False
+    return at, index, made.dictionary, plain
+
+
+class _Pool:
+    """The ids of different parts, end to end; plain parts are encoded together, as nothing reaches across them."""
+
+    def __init__(self, tool: Bytes | Pieces, spans: Spans, known: pa.Array, plain: np.ndarray):
+        self.size, self.good = np.zeros(len(known), dtype=np.int64), np.ones(len(known), dtype=bool)
+        self.begin, self.spans, self.held, self.flat = np.zeros(len(known), dtype=np.int64), spans, 0, []
+        where, data = text_buffers(known.filter(pa.array(plain)))
+        own, at = np.flatnonzero(plain), 0
+        while at < len(own):
+            to = min(len(own), max(at + 1, int(np.searchsorted(where, where[at] + TOGETHER))))
+            self._together(tool, data[where[at] : where[to]].tobytes(), own[at:to], where[at + 1 : to + 1] - where[at])
+            at = to
+        for k in np.flatnonzero(~plain).tolist():
+            self._alone(tool, known[k].as_py(), k)
+        self.ids = np.concatenate(self.flat) if self.flat else np.zeros(0, np.int32)
+
+    def _put(self, k, ids: np.ndarray, size, begin) -> None:
+        self.size[k], self.begin[k] = size, self.held + begin
+        self.flat.append(ids)
+        self.held += len(ids)
+
+    def _together(self, tool: Bytes | Pieces, want: bytes, own: np.ndarray, cuts: np.ndarray) -> None:
+        """Parts ``own``, put together as ``want`` and ending at ``cuts``."""
+        ids = np.array(tool.encode(want.decode()), dtype=np.int32)
+        ends = np.cumsum(self.spans.size[ids], dtype=np.int64)
+        upto = np.searchsorted(ends, cuts)
+        if len(ids) and upto[-1] < len(ends) and (ends[upto] == cuts).all() and self.spans.joined(ids).tobytes() == want:
+            self._put(own, ids, np.diff(upto + 1, prepend=0), np.concatenate([[0], upto[:-1] + 1]))
+        else:
+            for k, x, y in zip(own.tolist(), [0, *cuts.tolist()], cuts.tolist()):
+                self._alone(tool, want[x:y], k)
+
+    def _alone(self, tool: Bytes | Pieces, part: bytes, k: int) -> None:
+        ids = np.array(tool.encode(part.decode()), dtype=np.int32)
+        self.good[k] = self.spans.joined(ids).tobytes() == part
+        self._put(k, ids, len(ids), 0)
+
+    def lists(self, index: np.ndarray, where: np.ndarray) -> list[pa.Array]:
+        """Ids and byte ends of each text, which has the parts of ``index`` between two places of ``where``."""
+        size = self.size[index]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(self.begin[index] - ends[:-1], size) + np.arange(ends[-1])]
+        at = ends[where]
+        upto = np.concatenate([[0], np.cumsum(self.spans.size[ids], dtype=np.int64)])
+        offsets = pa.array(at.astype(np.int32))
+        return [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ids, (upto[1:] - np.repeat(upto[at[:-1]], np.diff(at))).astype(np.int32))]
+
+
 def tokens(docs: DataFrame, a: str, b: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key`` and both tokenizers' ids and byte ends for every whole text."""
     from pyspark.sql.types import StructType
@@ -137,33 +208,16 @@ def tokens(docs: DataFrame, a: str, b: str, text: str = "text", key: str = "doc_
     body = own.columns[1]
     schema = StructType([own.schema[0], *StructType.fromDDL(TOKENS).fields])
 
-    def side(tool: Bytes | Pieces, spans: Spans, texts: list[str], want: list[bytes]):
-        """Ids, the index of each text's first, each token's end within its text, and whether a text's bytes come back."""
-        made = [tool.encode(t) if t else [] for t in texts]
-        n = np.fromiter(map(len, made), np.int64, len(made))
-        ids = np.fromiter(chain.from_iterable(made), np.int32, int(n.sum()))
-        at = np.concatenate([[0], np.cumsum(n)])
-        ends = np.concatenate([[0], np.cumsum(spans.size[ids], dtype=np.int64)])
-        data = spans.joined(ids).tobytes()
-        cuts = ends[at].tolist()
-        good = np.array([len(w) > 0 and data[x:y] == w for x, y, w in zip(cuts, cuts[1:], want)], dtype=bool)
-        return ids, at, (ends[1:] - np.repeat(ends[at[:-1]], n)).astype(np.int32), good
-
-    def lists(ids: np.ndarray, at: np.ndarray, ends: np.ndarray, good: np.ndarray) -> list[pa.Array]:
-        n = np.diff(at)
-        keep = np.repeat(good, n)
-        where = pa.array(np.concatenate([[0], np.cumsum(np.where(good, n, 0))]).astype(np.int32))
-        return [pa.ListArray.from_arrays(where, pa.array(x[keep])) for x in (ids, ends)]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, body, HOLD):
-                spaced = [" " + t if t else "" for t in texts]
-                want = [t.encode() for t in spaced]
-                *one, good = side(*tokenizer(a), spaced, want)
-                *two, also = side(*tokenizer(b), texts, want)
-                good &= also
-                yield pa.RecordBatch.from_arrays([part.column(0), *lists(*one, good), *lists(*two, good)], names=schema.names)
+                where, index, known, plain = _parts(texts)
+                one, two = (_Pool(*tokenizer(v), known, plain) for v in (a, b))
+                # a text counts if all its parts come back from both
+                bad = np.concatenate([[0], np.cumsum(~(one.good & two.good)[index])])
+                good = (np.diff(where) > 0) & (bad[where[1:]] == bad[where[:-1]])
+                index, where = index[np.repeat(good, np.diff(where))], np.concatenate([[0], np.cumsum(np.where(good, np.diff(where), 0))])
+                yield pa.RecordBatch.from_arrays([part.column(0), *one.lists(index, where), *two.lists(index, where)], names=schema.names)
 
     return own.mapInArrow(run, schema)
 
