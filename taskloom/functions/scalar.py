@@ -8,16 +8,53 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def at_most(x: Column, high: float) -> Column:
+    """``x``, no more than ``high``; null stays null (``least`` would give the bound)."""
+    return F.when(x > high, F.lit(float(high))).otherwise(x)
+
+
+def at_least(x: Column, low: float) -> Column:
+    """``x``, no less than ``low``; null stays null."""
+    return F.when(x < low, F.lit(float(low))).otherwise(x)
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), x))
+    return at_most(at_least(x, low), high)
 
 
 def headroom(pct: Column) -> Column:
-    return F.greatest(F.lit(0.0), 100.0 - pct)
+    return at_least(100.0 - pct, 0.0)
 
 
 def pressure_index(used: Column, swap: Column) -> Column:
-    return F.least(F.lit(100.0), 0.7 * used + 0.3 * swap)
+    return at_most(0.7 * used + 0.3 * swap, 100.0)
+
+
+#: Splits a double into halves of 26 bits whose products are exact.
+_HALVES = 134217729.0
+
+
+def _halves(x: Column) -> tuple[Column, Column]:
+    t = x * _HALVES
+    high = t - (t - x)
+    return high, x - high
+
+
+def round_exact(x: Column, digits: int) -> Column:
+    """``x`` rounded to ``digits`` places by its exact binary value, exact ties to even, as Python's ``round`` does.
+
+    The product with a power of ten is carried as a double and its exact error, so a value just under a tie (2.675) isn't
+    taken for one.  Null, NaN and values without a fraction at that scale stay as they are."""
+    x = x.cast("double")
+    a, scale = F.abs(x), float(10**digits)
+    p = a * scale
+    (ah, al), (sh, sl) = _halves(a), _halves(F.lit(scale))
+    error = ((ah * sh - p) + ah * sl + al * sh) + al * sl
+    k = F.floor(p).cast("double")
+    over = (p - k - 0.5) + error  # above, at or under the tie between k and k + 1
+    up = F.when(over > 0, 1.0).when(over < 0, 0.0).otherwise(k % 2)
+    # an error that takes the product under a whole number leaves that number as the nearest
+    return F.when(p < float(1 << 52), F.signum(x) * (k + up) / scale).otherwise(x)
 
 
 def share(part: Column, whole: Column, digits: int = 4) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalar import backoff, share
+from ..functions.scalar import at_most, backoff, round_exact
 from ..sources.adapters import seconds
 from .segments import Segments
 
@@ -17,31 +17,35 @@ def timed(events: DataFrame) -> DataFrame:
 
 
 def scheduling_metrics(events: DataFrame) -> DataFrame:
-    """One row: waits, bursts, turnaround, utilisation, throughput, overhead and counts, in one aggregation."""
+    """One row: waits, bursts, turnaround, utilisation, throughput, overhead and counts, in one aggregation.
+
+    All figures are 0 while nothing has ended; shares of a time that is 0 are 0."""
     e = timed(events)
     kind = F.col("event_type")
     done, ended = kind == "COMPLETED", kind.isin("COMPLETED", "FAILED")
     mean = lambda c, when: F.avg(F.when(when & (F.col(c) > 0), F.col(c)))
+    total = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0)).cast("double")
     a = e.agg(
         mean("wait_s", ended).alias("awt"), mean("burst_s", done).alias("abt"), mean("turnaround_s", ended).alias("att"),
-        F.expr("timestampdiff(SECOND, min(event_at), max(event_at))").alias("wall"),
-        F.sum(F.when(done, F.col("burst_s"))).alias("burst"), F.sum(F.when(ended, F.col("wait_s"))).alias("wait"),
+        F.coalesce(F.expr("timestampdiff(SECOND, min(event_at), max(event_at))"), F.lit(0)).cast("double").alias("wall"),
+        total("burst_s", done).alias("burst"), total("wait_s", ended).alias("wait"),
         F.count_if(done).alias("completed"), F.count_if(kind == "FAILED").alias("failed"), F.count_if(kind == "DEFERRED").alias("deferred"), F.count_if(kind == "DISPATCHED").alias("dispatched"),
         F.count_distinct("task_id").alias("tasks"),
     )
-    zero = F.lit(0.0)
+    any_ = F.col("completed") + F.col("failed") > 0
+    of = lambda part, whole: F.when(any_ & (F.col(whole) > 0), part / F.col(whole)).otherwise(0.0)
+    a = a.withColumn("spent", F.col("wait") + F.col("burst"))
     return a.select(
-        *[F.round(F.coalesce(F.col(c), zero), 4).alias(c) for c in ("awt", "abt", "att")],
-        F.coalesce(F.round(F.least(F.lit(100.0), F.try_divide(F.col("burst") * 100.0, F.col("wall"))), 4), zero).alias("cpu_util"),
-        share(F.col("completed") * 60.0, F.col("wall"), 8).alias("throughput_min"),
-        F.coalesce(F.round(F.least(F.lit(100.0), F.try_divide(F.col("wait") * 100.0, F.col("wait") + F.col("burst"))), 4), zero).alias("overhead"),
-        "completed", "failed", "deferred", "dispatched", "tasks",
+        *[round_exact(F.coalesce(F.col(c), F.lit(0.0)), 3).alias(c) for c in ("awt", "abt", "att")],
+        round_exact(at_most(of(F.col("burst") * 100.0, "wall"), 100.0), 2).alias("cpu_util"), round_exact(of(F.col("completed") * 60.0, "wall"), 3).alias("throughput_min"), round_exact(at_most(of(F.col("wait") * 100.0, "spent"), 100.0), 2).alias("overhead"),
+        *[F.when(any_, F.col(c)).otherwise(0).alias(c) for c in ("completed", "failed", "deferred", "dispatched", "tasks")],
     )
 
 
 def wait_by_priority(events: DataFrame) -> DataFrame:
+    """Mean wait (zeros too) and completed tasks by effective priority (column ``effective``)."""
     e = timed(events).where(F.col("event_type").isin("COMPLETED", "FAILED"))
-    return e.groupBy("priority").agg(F.round(F.avg("wait_s"), 4).alias("mean_wait"), F.count_if(F.col("event_type") == "COMPLETED").alias("completed"))
+    return e.groupBy("effective").agg(round_exact(F.avg("wait_s"), 3).alias("mean_wait"), F.count_if(F.col("event_type") == "COMPLETED").alias("completed"))
 
 
 def lifecycle_fill(events: DataFrame) -> DataFrame:

@@ -129,13 +129,17 @@ def pop_order(tasks: DataFrame, steps: int = 64) -> DataFrame:
     return inside.join(starts, ["_e", "_b"]).select("task_id", (F.col("_ahead") + F.col("_r")).cast("int").alias("position"))
 
 
-def peek(tasks: DataFrame) -> DataFrame:
-    return tasks.where("status = 'DEFERRED'").agg(F.min(F.struct("priority", "task_id")).alias("_m")).select("_m.task_id", "_m.priority")
+def peek(tasks: DataFrame, cancelled: DataFrame) -> DataFrame:
+    """The live task that would be popped next: least effective priority (column ``effective``), then arrival.  No row if none waits."""
+    first = live(tasks, cancelled).agg(F.min(F.struct("effective", "task_id")).alias("_m"))
+    return first.where("_m IS NOT NULL").select("_m.task_id", "_m.effective")
 
 
-def distribution(tasks: DataFrame) -> DataFrame:
-    names = tasks.sparkSession.createDataFrame(NAMES, "priority int, name string")
-    return names.join(tasks.groupBy("priority").agg(F.count("*").alias("c")), "priority", "left").select("name", F.coalesce("c", F.lit(0)).cast("long").alias("n_tasks"))
+def distribution(tasks: DataFrame, cancelled: DataFrame) -> DataFrame:
+    """Live tasks by the name of their effective priority, 0 for names that none has."""
+    names = tasks.sparkSession.createDataFrame(NAMES, "effective int, name string")
+    counts = live(tasks, cancelled).groupBy("effective").agg(F.count("*").alias("c"))
+    return names.join(counts, "effective", "left").select("name", F.coalesce("c", F.lit(0)).cast("long").alias("n_tasks"))
 
 
 def depths(tasks: DataFrame, by: list[str]) -> DataFrame:

@@ -52,16 +52,32 @@ def with_(body, *views, more=""):
 
 
 # --- lifecycle log ---------------------------------------------------------------------------
+#: printf rounds by the exact binary value, ties to even.
+PY = lambda x, n: f"CAST(printf('%.{n}f', ({x})::DOUBLE) AS DOUBLE)"
+#: Aging ticks of a task on these tables.
+AGED = "greatest(0, priority - task_id % 60 // 10)::INT"
+_ENDED = "event_type IN ('COMPLETED','FAILED')"
 query("D1_scheduling_metrics", with_(
-    """SELECT round(coalesce(avg(wait_s) FILTER (WHERE event_type IN ('COMPLETED','FAILED') AND wait_s > 0), 0.0), 4) AS awt,
- round(coalesce(avg(burst_s) FILTER (WHERE event_type = 'COMPLETED' AND burst_s > 0), 0.0), 4) AS abt,
- round(coalesce(avg(turnaround_s) FILTER (WHERE event_type IN ('COMPLETED','FAILED') AND turnaround_s > 0), 0.0), 4) AS att,
- round(least(100.0, sum(burst_s) FILTER (WHERE event_type = 'COMPLETED') * 100.0 / date_diff('second', min(event_at), max(event_at))), 4)::DOUBLE AS cpu_util,
- round(count(*) FILTER (WHERE event_type = 'COMPLETED') * 60.0::DOUBLE / date_diff('second', min(event_at), max(event_at)), 8) AS throughput_min,
- round(least(100.0, sum(wait_s) FILTER (WHERE event_type IN ('COMPLETED','FAILED')) * 100.0::DOUBLE / (sum(wait_s) FILTER (WHERE event_type IN ('COMPLETED','FAILED')) + sum(burst_s) FILTER (WHERE event_type = 'COMPLETED'))), 4)::DOUBLE AS overhead,
- count(*) FILTER (WHERE event_type = 'COMPLETED') AS completed, count(*) FILTER (WHERE event_type = 'FAILED') AS failed, count(*) FILTER (WHERE event_type = 'DEFERRED') AS deferred,
- count(*) FILTER (WHERE event_type = 'DISPATCHED') AS dispatched, count(DISTINCT task_id) AS tasks FROM e""", *TE, more=TIMED))(lambda s, d: eventlog.scheduling_metrics(ev(s, d)))
-query("D2_wait_by_priority", with_("SELECT priority, round(avg(wait_s), 4) AS mean_wait, count(*) FILTER (WHERE event_type = 'COMPLETED') AS completed FROM e WHERE event_type IN ('COMPLETED','FAILED') GROUP BY 1", *TE, more=TIMED))(lambda s, d: eventlog.wait_by_priority(ev(s, d)))
+    f"""SELECT {PY('awt', 3)} AS awt, {PY('abt', 3)} AS abt, {PY('att', 3)} AS att, {PY('CASE WHEN ended > 0 AND wall > 0 THEN least(100.0::DOUBLE, burst * 100.0::DOUBLE / wall) ELSE 0.0 END', 2)} AS cpu_util,
+ {PY('CASE WHEN ended > 0 AND wall > 0 THEN completed * 60.0::DOUBLE / wall ELSE 0.0 END', 3)} AS throughput_min, {PY('CASE WHEN ended > 0 AND wait + burst > 0 THEN least(100.0::DOUBLE, wait * 100.0::DOUBLE / (wait + burst)) ELSE 0.0 END', 2)} AS overhead,
+ CASE WHEN ended > 0 THEN completed ELSE 0 END AS completed, CASE WHEN ended > 0 THEN ended - completed ELSE 0 END AS failed, CASE WHEN ended > 0 THEN deferred ELSE 0 END AS deferred, CASE WHEN ended > 0 THEN dispatched ELSE 0 END AS dispatched, CASE WHEN ended > 0 THEN tasks ELSE 0 END AS tasks
+ FROM (SELECT coalesce(avg(wait_s) FILTER (WHERE {_ENDED} AND wait_s > 0), 0.0) AS awt, coalesce(avg(burst_s) FILTER (WHERE event_type = 'COMPLETED' AND burst_s > 0), 0.0) AS abt, coalesce(avg(turnaround_s) FILTER (WHERE {_ENDED} AND turnaround_s > 0), 0.0) AS att,
+  date_diff('second', min(event_at), max(event_at))::DOUBLE AS wall, coalesce(sum(burst_s) FILTER (WHERE event_type = 'COMPLETED'), 0)::DOUBLE AS burst, coalesce(sum(wait_s) FILTER (WHERE {_ENDED}), 0)::DOUBLE AS wait, count(*) FILTER (WHERE {_ENDED}) AS ended,
+  count(*) FILTER (WHERE event_type = 'COMPLETED') AS completed, count(*) FILTER (WHERE event_type = 'DEFERRED') AS deferred, count(*) FILTER (WHERE event_type = 'DISPATCHED') AS dispatched, count(DISTINCT task_id) AS tasks FROM e)""", *TE, more=TIMED))(lambda s, d: eventlog.scheduling_metrics(ev(s, d)))
+
+
+def aged(t):
+    """Tasks or events with their effective priority."""
+    return queue.aged(t.withColumn("ticks", F.col("task_id") % 60)).drop("ticks")
+
+
+def cancelled(s, d):
+    """Tasks that were cancelled: orders with a returned line."""
+    return src.table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("task_id"))
+
+
+_LIVE = f"live AS (SELECT *, {AGED} AS effective FROM tasks WHERE status = 'DEFERRED' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = task_id AND l_returnflag = 'R'))"
+query("D2_wait_by_priority", with_(f"SELECT {AGED} AS effective, {PY('avg(wait_s)', 3)} AS mean_wait, count(*) FILTER (WHERE event_type = 'COMPLETED') AS completed FROM e WHERE {_ENDED} GROUP BY 1", *TE, more=TIMED))(lambda s, d: eventlog.wait_by_priority(aged(ev(s, d))))
 query("C11_lifecycle_fill", with_("""SELECT task_id, event_type, event_at, last_value(CASE WHEN event_type = 'QUEUED' THEN event_at END IGNORE NULLS) OVER w AS seen_queued, last_value(CASE WHEN event_type = 'DISPATCHED' THEN event_at END IGNORE NULLS) OVER w AS seen_dispatch FROM task_events
  WINDOW w AS (PARTITION BY task_id ORDER BY event_at, CASE event_type WHEN 'QUEUED' THEN 0 WHEN 'DEFERRED' THEN 1 WHEN 'DISPATCHED' THEN 2 ELSE 3 END ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", *TE))(lambda s, d: eventlog.lifecycle_fill(ev(s, d)))
 query("N1_gantt_rows", with_("""SELECT task_id, 'bar' AS kind, dispatch_at AS start_at, complete_at AS end_at, CASE WHEN event_type = 'COMPLETED' THEN 'green' ELSE 'red' END AS colour FROM task_events WHERE event_type IN ('COMPLETED','FAILED') AND dispatch_at IS NOT NULL
@@ -123,10 +139,10 @@ query("L10_B13_policy_a", with_("SELECT task_id, CASE WHEN defer_count >= 30 THE
     lambda s, d: src.entries(s, d).select("task_id", F.when(F.col("defer_count") >= 30, "force_dispatch").when(F.col("priority") == 0, "dispatch").when(F.col("bottleneck") == "oom_risk", "defer").when((F.col("cpu_pct") > 85) & (F.col("cpu_cost") == "high"), "defer").when((F.col("ram_pct") > 80) & (F.col("ram_cost") == "high"), "defer").when((F.col("gpu_pct") > 90) & (F.col("gpu_cost") == "high"), "defer").when(100 - F.col("ram_pct") < 8, "defer").otherwise("dispatch").alias("action")))
 # --- queue -----------------------------------------------------------------------------------
 query("F1_queue_order", with_("SELECT task_id, row_number() OVER (ORDER BY greatest(0, priority - (task_id % 60) // 10), task_id)::INT AS position FROM tasks WHERE status = 'DEFERRED'", "tasks"))(lambda s, d: queue.pop_order(src.tasks(s, d)))
-query("F3_peek", with_("SELECT task_id, priority FROM tasks WHERE status = 'DEFERRED' ORDER BY priority, task_id LIMIT 1", "tasks"))(lambda s, d: queue.peek(src.tasks(s, d)))
+query("F3_peek", with_("SELECT task_id, effective FROM live ORDER BY effective, task_id LIMIT 1", "tasks", more=_LIVE))(lambda s, d: queue.peek(aged(src.tasks(s, d)), cancelled(s, d)))
 _AGED = "greatest(0, priority - ticks // 10)"
 query("I1_aging", with_(f"SELECT task_id, ({_AGED})::INT AS effective FROM (SELECT *, task_id % 60 AS ticks FROM tasks)", "tasks"))(lambda s, d: queue.aged(src.tasks(s, d).withColumn("ticks", F.col("task_id") % 60)).select("task_id", "effective"))
-query("D13_priority_distribution", with_("SELECT n AS name, count(t.task_id) AS n_tasks FROM (VALUES (0,'CRITICAL'),(1,'HIGH'),(2,'MEDIUM'),(3,'LOW'),(4,'BACKGROUND')) v(p, n) LEFT JOIN tasks t ON t.priority = p AND status = 'DEFERRED' GROUP BY 1", "tasks"))(lambda s, d: queue.distribution(src.tasks(s, d).where("status = 'DEFERRED'")))
+query("D13_priority_distribution", with_("SELECT n AS name, count(t.task_id) AS n_tasks FROM (VALUES (0,'CRITICAL'),(1,'HIGH'),(2,'MEDIUM'),(3,'LOW'),(4,'BACKGROUND')) v(p, n) LEFT JOIN live t ON t.effective = p GROUP BY 1", "tasks", more=_LIVE))(lambda s, d: queue.distribution(aged(src.tasks(s, d)), cancelled(s, d)))
 query("D12_E14_peak_depth", with_("SELECT session, max(depth)::BIGINT AS peak FROM (SELECT session, sum(x) OVER (PARTITION BY session ORDER BY moved, x DESC, task_id ROWS UNBOUNDED PRECEDING) AS depth FROM (SELECT session, task_id, queued_at AS moved, 1 AS x FROM tasks UNION ALL SELECT session, task_id, dispatch_at, -1 FROM tasks WHERE dispatch_at IS NOT NULL)) GROUP BY 1", "tasks"))(lambda s, d: queue.peak_depth(src.tasks(s, d)))
 query("C10_B5_pending", with_("SELECT task_id, priority FROM tasks WHERE status = 'DEFERRED' AND task_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')", "tasks"))(lambda s, d: src.tasks(s, d).where("status = 'DEFERRED'").join(src.table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("task_id")), "task_id", "left_anti").select("task_id", "priority"))
 query("B15_worst_case_time", with_("SELECT name, round(backoff_s * (pow(2, max_retries) - 1) + timeout_s * (max_retries + 1), 4)::DOUBLE AS worst_s FROM task_defs", "task_defs"))(lambda s, d: src.task_defs(s).select("name", F.round(F.col("backoff_s") * (F.pow(F.lit(2.0), "max_retries") - 1) + F.col("timeout_s") * (F.col("max_retries") + 1), 4).alias("worst_s")))

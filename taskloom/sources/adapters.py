@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import at_most
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -54,7 +56,7 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts",
         F.col("event_id").alias("seq"),
         F.col("user_id").alias("pid"),
-        F.least(F.col("value"), F.lit(100.0)).alias("cpu_pct"),
+        at_most(F.col("value"), 100.0).alias("cpu_pct"),
         F.coalesce(F.get_json_object("props", "$.k").cast("double"), F.lit(0.0)).alias("ram_pct"),
         (F.col("event_id") * 3 % 60).cast("double").alias("swap_pct"),
         (F.col("event_id") * 7 % 101).cast("double").alias("gpu_pct"),
@@ -128,7 +130,7 @@ SQL_VIEWS = {
  UNION ALL SELECT *, 'DEFERRED', queued_at FROM tasks WHERE status = 'DEFERRED'
  UNION ALL SELECT *, 'DISPATCHED', dispatch_at FROM tasks WHERE dispatch_at IS NOT NULL
  UNION ALL SELECT *, status, complete_at FROM tasks WHERE dispatch_at IS NOT NULL AND status <> 'DEFERRED')""",
-    "telemetry": """telemetry AS (SELECT ts, event_id AS seq, user_id AS pid, least(value, 100.0) AS cpu_pct, coalesce(CAST(json_extract_string(props, '$.k') AS DOUBLE), 0.0) AS ram_pct,
+    "telemetry": """telemetry AS (SELECT ts, event_id AS seq, user_id AS pid, CASE WHEN value > 100 THEN 100.0 ELSE value END AS cpu_pct, coalesce(CAST(json_extract_string(props, '$.k') AS DOUBLE), 0.0) AS ram_pct,
  (event_id * 3 % 60)::DOUBLE AS swap_pct, (event_id * 7 % 101)::DOUBLE AS gpu_pct, (event_id * 5 % 90)::DOUBLE AS disk_pct, event_type AS kind FROM events)""",
     "papers": """papers AS (SELECT doc_id AS paper_id, text, source AS category, lang, (2015 + n_chars % 10)::INT AS year, coalesce(label, -1) AS cluster_id
  FROM documents LEFT JOIN embeddings ON doc_id = vec_id)""",
