@@ -1,74 +1,180 @@
-"""Dependency graph operators, as recursive SQL over edges (src, dst)."""
+"""Dependency graphs of any size over tables: ``defs`` (name, estimated_s) and ``edges`` (src, dst: dst depends on src).
+
+Graphs are worked off by frontiers.  A wave takes the nodes whose dependencies are all done, hands what they carry along
+their edges, and counts down what the others wait for; each wave is a stored table, so lineage stays short and a lost
+executor loses nothing.  Once the edges that are left are few (``TAIL``, counted), one task finishes them: long thin tails
+cost no wave each, and the result is the same.  Paths are never listed; a node keeps its best predecessor only.
+
+Defined results: edges with an end outside ``defs`` and repeated edges are ignored; nodes on a cycle or behind one have no
+level; a missing time counts as 1; ties of cost go to the predecessor of least name; null names are no nodes.
+"""
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_LEVELS = 100
+from ..sources.scratch import cut
+from .segments import Segments
+
+#: Edges that one task finishes.
+TAIL = 200_000
+
+
+def inside(defs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Different edges between nodes of ``defs``."""
+    names = defs.select("name").distinct()
+    one = edges.select("src", "dst").distinct().join(names.withColumnRenamed("name", "src"), "src", "left_semi")
+    return one.join(names.withColumnRenamed("name", "dst"), "dst", "left_semi").select("src", "dst")
+
+
+def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rest of a graph in one task: rows of waiting and frontier nodes (dst null) and of their edges."""
+    rows = pd.concat(list(batches), ignore_index=True)
+    nodes = {r.name_: r for r in rows[rows.dst.isna()].itertuples(index=False)}
+    after: dict[str, list[str]] = {}
+    for s, d in rows.loc[rows.dst.notna(), ["name_", "dst"]].itertuples(index=False):
+        after.setdefault(s, []).append(d)
+    open_ = {n: int(r.open) for n, r in nodes.items() if pd.isna(r.level)}
+    best = {n: (r.less, r.pred) for n, r in nodes.items() if pd.isna(r.level) and r.less == r.less and r.less is not None}
+    own = {n: r.own for n, r in nodes.items()}
+    now = {n: r.cost for n, r in nodes.items() if not pd.isna(r.level)}
+    level = max((int(r.level) for r in nodes.values() if not pd.isna(r.level)), default=-1)
+    out = []
+    while now:
+        level += 1
+        for s, cost in now.items():
+            for d in after.get(s, ()):
+                open_[d] -= 1
+                if d not in best or (-cost, s) < best[d]:
+                    best[d] = (-cost, s)
+        ready = sorted({d for s in now for d in after.get(s, ()) if open_[d] == 0})
+        now = {d: own[d] - best[d][0] for d in ready}
+        out += [(d, level, now[d], best[d][1]) for d in ready]
+    yield pd.DataFrame(out, columns=["name", "level", "cost", "pred"]).astype({"level": "int32"})
+
+
+def relaxed(defs: DataFrame, edges: DataFrame, tail: int = TAIL) -> DataFrame:
+    """(name, level, cost, pred) of every node that an order reaches: longest distance from a root, most time of any path that ends there, and the node before on that path."""
+    names = defs.where("name IS NOT NULL").groupBy("name").agg(F.coalesce(F.max("estimated_s"), F.lit(1.0)).cast("double").alias("own"))
+    live = cut(inside(defs, edges), "graph-edges")
+    waits = live.groupBy(F.col("dst").alias("name")).agg(F.count("*").alias("open"))
+    none = F.lit(None)
+    state = names.join(waits, "name", "left").select("name", "own", F.coalesce("open", F.lit(0)).alias("open"), none.cast("struct<less:double,pred:string>").alias("best"))
+    root = F.col("open") == 0
+    state = cut(state.select("*", F.when(root, 0).alias("level"), F.when(root, F.col("own")).alias("cost"), none.cast("string").alias("pred")), "graph-state")
+    done, wave, stored = [state.where("level = 0").select("name", "level", "cost", "pred")], 0, live.count()
+    while True:
+        front, waiting = state.where(F.col("level") == wave), state.where("level IS NULL")
+        if not front.limit(1).count() or not waiting.limit(1).count():
+            break
+        # edges of nodes done in earlier waves are behind
+        left = live.join(state.select(F.col("name").alias("src")), "src", "left_semi")
+        n = left.count()
+        if n <= tail:
+            rows = state.where((F.col("level") == wave) | F.col("level").isNull()).select(F.col("name").alias("name_"), none.cast("string").alias("dst"), "own", "open", "best.less", "best.pred", F.col("level").cast("double").alias("level"), "cost")
+            rows = rows.unionByName(left.select(F.col("src").alias("name_"), "dst"), allowMissingColumns=True)
+            done.append(rows.coalesce(1).mapInPandas(_finish, "name string, level int, cost double, pred string"))
+            break
+        if 2 * n < stored:
+            live, stored = cut(left, "graph-edges"), n
+        wave += 1
+        sent = live.join(front.select(F.col("name").alias("src"), "cost"), "src")
+        got = sent.groupBy(F.col("dst").alias("name")).agg(F.count("*").alias("_met"), F.min(F.struct((-F.col("cost")).alias("less"), F.col("src").alias("pred"))).alias("_best"))
+        step = waiting.join(got, "name", "left").withColumns({"open": F.col("open") - F.coalesce("_met", F.lit(0)), "best": F.least("best", "_best")})
+        ready = F.col("open") == 0
+        state = cut(step.select("name", "own", "open", "best", F.when(ready, wave).alias("level"), F.when(ready, F.col("own") - F.col("best.less")).alias("cost"), F.when(ready, F.col("best.pred")).alias("pred")), "graph-state")
+        done.append(state.where(F.col("level") == wave).select("name", "level", "cost", "pred"))
+    return cut(reduce(DataFrame.unionByName, done), "graph-done")
+
+
+def levels(defs: DataFrame, edges: DataFrame, tail: int = TAIL) -> DataFrame:
+    """Longest distance of each node from a root."""
+    return relaxed(defs, edges, tail).select("name", "level")
+
 
+def path_costs(defs: DataFrame, edges: DataFrame, tail: int = TAIL) -> DataFrame:
+    """The most estimated seconds of any path that ends in each node."""
+    return relaxed(defs, edges, tail).select("name", F.round("cost", 2).alias("cost"))
 
-def _views(defs: DataFrame, edges: DataFrame) -> tuple[str, str]:
-    d, e = f"_defs_{id(defs)}", f"_edges_{id(edges)}"
-    defs.createOrReplaceTempView(d)
-    edges.createOrReplaceTempView(e)
-    return d, e
 
+def positions(defs: DataFrame, edges: DataFrame, tail: int = TAIL) -> DataFrame:
+    """(name, position, estimated_s): an order to run all nodes in, by level and name, numbered from 1 without one task for all."""
+    lead = F.conv(F.rpad(F.hex(F.substring("name", 1, 4).cast("binary")), 8, "0"), 16, 10).cast("long")
+    rows = levels(defs, edges, tail).select("name", "level", (F.col("level").cast("long") * (1 << 32) + lead).alias("_k"), F.lit(1).alias("_all"))
+    place = Segments(rows, ["_all"], ["_k", "name"]).running({"position": ("count", F.lit(1))}).done()
+    return place.join(defs.select("name", "estimated_s"), "name").select("name", F.col("position").cast("int").alias("position"), "estimated_s")
 
-def levels(defs: DataFrame, edges: DataFrame) -> DataFrame:
-    """Longest distance of each node from a root."""
-    d, e = _views(defs, edges)
-    return defs.sparkSession.sql(f"WITH RECURSIVE walk(name, depth) AS (SELECT name, 0 FROM {d} WHERE name NOT IN (SELECT dst FROM {e}) UNION ALL SELECT e.dst, depth + 1 FROM walk JOIN {e} e ON walk.name = e.src WHERE depth < {MOST_LEVELS}) SELECT name, max(depth) AS level FROM walk GROUP BY name")
 
+def critical_path(defs: DataFrame, edges: DataFrame, tail: int = TAIL) -> DataFrame:
+    """The path of most time, as one row: names joined by ``>`` and its cost.  Ties go to the end of least name.
 
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage ended in the checkpoint folder; only a local session may go without one."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name storage that all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="taskloom-"))
-    return df.checkpoint()
+    It is read backwards from its end by pointers of 1, 2, 4, ... steps."""
+    done = relaxed(defs, edges, tail)
+    end = cut(done.orderBy(F.desc("cost"), "name").limit(1).select("name"), "graph-end")
+    jump, seen, n = cut(done.select("name", "pred").where("pred IS NOT NULL"), "graph-jumps"), end, -1
+    while n != (n := seen.count()):
+        more = seen.join(jump, "name").select(F.col("pred").alias("name"))
+        seen = cut(seen.unionByName(more).distinct(), "graph-path")
+        jump = cut(jump.join(jump.select(F.col("name").alias("pred"), F.col("pred").alias("_p")), "pred").select("name", F.col("_p").alias("pred")), "graph-jumps")
+    path = done.join(seen, "name", "left_semi")
+    return path.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("level", "name"))), lambda x: x["name"]), ">").alias("path"), F.round(F.max("cost"), 2).alias("cost")).where("path <> ''")
 
 
-def dependents(defs: DataFrame, edges: DataFrame) -> DataFrame:
+def reached(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(label, node): all that follow the nodes of ``start`` (label, node) along edges, ``start`` itself only if it lies on a cycle.
+
+    A wave joins the edges of new nodes only; no pair between other nodes is made."""
+    edges = cut(edges.select("src", "dst").distinct(), "graph-edges")
+    front, parts = cut(start.select("label", "node").distinct(), "graph-front"), []
+    seen = None
+    while True:
+        step = front.join(edges, front["node"] == edges["src"]).select("label", F.col("dst").alias("node")).distinct()
+        if seen is not None:
+            step = step.join(seen, ["label", "node"], "left_anti")
+        front = cut(step, "graph-front")
+        if not front.limit(1).count():
+            break
+        parts.append(front)
+        # a few large tables instead of one a wave
+        seen = front if seen is None else seen.unionByName(front)
+        if len(parts) % 8 == 0:
+            seen = cut(seen, "graph-seen")
+    return seen if seen is not None else front
+
+
+def dependents(edges: DataFrame) -> DataFrame:
     """(root, node): all that transitively depend on root.
 
     Paths double in length each round until no pair is new, so cycles end too; pairs are kept, never paths."""
-    reach = _cut(edges.select(F.col("src").alias("root"), F.col("dst").alias("node")).distinct())
-    n = reach.count()
-    while True:
+    reach = cut(edges.select(F.col("src").alias("root"), F.col("dst").alias("node")).distinct(), "graph-pairs")
+    n = -1
+    while n != (n := reach.count()):
         far = reach.select("root", F.col("node").alias("_m")).join(reach.select(F.col("root").alias("_m"), "node"), "_m").select("root", "node")
-        reach = _cut(reach.unionByName(far).distinct())
-        if (m := reach.count()) == n:
-            return reach
-        n = m
+        reach = cut(reach.unionByName(far).distinct(), "graph-pairs")
+    return reach
 
 
-def critical_path(defs: DataFrame, edges: DataFrame) -> DataFrame:
-    """The path of most estimated seconds; ties go to the least path text."""
-    d, e = _views(defs, edges)
-    paths = defs.sparkSession.sql(
-        f"WITH RECURSIVE walk(name, path, cost) AS (SELECT name, name, coalesce(estimated_s, 1D) FROM {d} WHERE name NOT IN (SELECT dst FROM {e}) UNION ALL SELECT e.dst, concat(path, '>', e.dst), cost + coalesce(t.estimated_s, 1D) FROM walk JOIN {e} e ON walk.name = e.src JOIN {d} t ON t.name = e.dst) SELECT path, round(cost, 2) AS cost FROM walk"
-    )
-    return paths.orderBy(F.desc("cost"), "path").limit(1)
+def direct(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, name): what depends on each of ``roots`` (name) directly."""
+    return edges.join(roots.select(F.col("name").alias("src")).distinct(), "src", "left_semi").select(F.col("src").alias("root"), F.col("dst").alias("name"))
 
 
-def ready(defs: DataFrame, edges: DataFrame, done: list[str]) -> DataFrame:
-    """Nodes not done whose dependencies all are."""
-    unmet = edges.where(~F.col("src").isin(done)).select(F.col("dst").alias("name"))
-    return defs.select("name").where(~F.col("name").isin(done)).join(unmet, "name", "left_anti")
+def ready(defs: DataFrame, edges: DataFrame, done: DataFrame) -> DataFrame:
+    """Nodes not in ``done`` (name) whose dependencies all are."""
+    unmet = edges.join(done.select(F.col("name").alias("src")), "src", "left_anti").select(F.col("dst").alias("name"))
+    return defs.select("name").join(done.select("name"), "name", "left_anti").join(unmet, "name", "left_anti")
 
 
-def summary(defs: DataFrame, edges: DataFrame) -> DataFrame:
-    lv = levels(defs, edges)
-    width = lv.groupBy("level").agg(F.count("*").alias("c")).agg(F.count("*").alias("levels"), F.max("c").alias("max_parallelism"))
+def summary(defs: DataFrame, edges: DataFrame, tail: int = TAIL) -> DataFrame:
+    """One row: nodes, edges, levels and the most nodes of one level."""
+    width = levels(defs, edges, tail).groupBy("level").agg(F.count("*").alias("c")).agg(F.count("*").alias("levels"), F.max("c").alias("max_parallelism"))
     counts = edges.agg(F.count("*").alias("edges"))
-    return defs.agg(F.count("*").alias("nodes")).crossJoin(counts).crossJoin(width)
+    return defs.agg(F.count("*").alias("nodes")).crossJoin(counts).crossJoin(width)  # one row each
 
 
 def isolated(defs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -76,35 +182,23 @@ def isolated(defs: DataFrame, edges: DataFrame) -> DataFrame:
     return defs.select("name").join(ends, "name", "left_anti")
 
 
-def cyclic_members(defs: DataFrame, edges: DataFrame) -> DataFrame:
+def cyclic_members(defs: DataFrame, edges: DataFrame, tail: int = TAIL) -> DataFrame:
     """Nodes that no order reaches: those on a cycle, and what depends on them."""
-    reach = dependents(defs, edges)
-    on = reach.where("root = node").select("root").distinct()
-    below = reach.join(on, "root", "left_semi").select("node")
-    return on.select(F.col("root").alias("name")).unionByName(below.select(F.col("node").alias("name"))).distinct()
+    return defs.select("name").join(levels(defs, edges, tail), "name", "left_anti")
 
 
-def add_edges(defs: DataFrame, edges: DataFrame, more: DataFrame) -> tuple[DataFrame, bool]:
-    """``edges`` with ``more``, and True; if that makes a cycle, ``edges`` as they were, and False."""
-    both = edges.unionByName(more).distinct()
-    cyclic = dependents(defs, both).where("root = node").limit(1).count() > 0
-    return (edges, False) if cyclic else (both, True)
+def add_edges(edges: DataFrame, more: DataFrame) -> tuple[DataFrame, bool]:
+    """``edges`` (without a cycle) with ``more``, and True; if that makes a cycle, ``edges`` as they were, and False.
 
+    Only what the new edges lead to is walked: a cycle must pass one of them and come back to its source."""
+    both = edges.select("src", "dst").unionByName(more.select("src", "dst")).distinct()
+    start = more.select(F.col("src").alias("label"), F.col("dst").alias("node"))
+    back = reached(both, start).unionByName(start).where("label = node").limit(1).count()
+    return (edges.select("src", "dst"), False) if back else (both, True)
 
-def validate(defs: DataFrame, edges: DataFrame, most_levels: int = 10) -> DataFrame:
+
+def validate(defs: DataFrame, edges: DataFrame, most_levels: int = 10, tail: int = TAIL) -> DataFrame:
     """Warnings: isolated nodes, and more than ``most_levels`` levels."""
     alone = isolated(defs, edges).select(F.concat(F.lit("isolated: "), F.col("name")).alias("warning"))
-    deep = levels(defs, edges).agg((F.max("level") + 1).alias("_n")).where(F.col("_n") > most_levels).select(F.concat(F.lit("levels: "), F.col("_n").cast("string")).alias("warning"))
+    deep = levels(defs, edges, tail).agg((F.max("level") + 1).alias("_n")).where(F.col("_n") > most_levels).select(F.concat(F.lit("levels: "), F.col("_n").cast("string")).alias("warning"))
     return alone.unionByName(deep)
-
-
-def path_costs(defs: DataFrame, edges: DataFrame) -> DataFrame:
-    """The most estimated seconds of any path that ends in each node: relaxed level by level, one row a node, where
-    ``critical_path`` lists paths, of which a dense graph has too many."""
-    own = defs.select("name", F.coalesce("estimated_s", F.lit(1.0)).alias("_s"))
-    depth = levels(defs, edges).agg(F.max("level")).first()[0] or 0
-    cost = own.withColumn("cost", F.col("_s"))
-    for _ in range(depth):  # a graph has few levels, MOST_LEVELS at most
-        best = edges.join(cost.select(F.col("name").alias("src"), "cost"), "src").groupBy(F.col("dst").alias("name")).agg(F.max("cost").alias("_best"))
-        cost = own.join(best, "name", "left").withColumn("cost", F.col("_s") + F.coalesce("_best", F.lit(0.0))).drop("_best")
-    return cost.select("name", F.round("cost", 2).alias("cost"))

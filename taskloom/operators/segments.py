@@ -25,13 +25,15 @@ SHARE = 1 / 256
 CHUNK = "_chunk"
 
 
-def _micros(at: str) -> Column:
-    """The place in time that chunks are cut by."""
+def _place(t: DataFrame, at: str) -> Column:
+    """The number that chunks are cut by: microseconds of a time, or the number itself."""
+    if t.schema[at].dataType.typeName() not in ("timestamp", "timestamp_ntz", "date"):
+        return F.col(f"`{at}`").cast("long")
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast(`{at}` AS TIMESTAMP_NTZ))")
 
 
 class Segments:
-    """A table cut for ordered scans: ``key`` and ``order`` (the first is the time) say what a scan goes along."""
+    """A table cut for ordered scans: ``key`` and ``order`` (the first is a time or a whole number) say what a scan goes along."""
 
     def __init__(self, t: DataFrame, key: list[str], order: list[str], most: int = MOST, share: float = SHARE, like: Segments | None = None):
         """``like``: a cut of as many or more rows a key; if that found no hot key, none is looked for here."""
@@ -49,7 +51,7 @@ class Segments:
             self.rows = t.withColumn(CHUNK, F.lit(0))
             return
         cells = int(max(r["_n"] for r in hot) // self.bound) + 1
-        marked = self._with(t.withColumn("_at", _micros(order[0])), self.hot.withColumn("_hot", F.lit(True)), key)
+        marked = self._with(t.withColumn("_at", _place(t, order[0])), self.hot.withColumn("_hot", F.lit(True)), key)
         cuts = marked.where("_hot").groupBy(*key).agg(F.array_distinct(F.percentile_approx("_at", [k / cells for k in range(1, cells)], 100 * cells)).alias("_cuts"))
         # as rows, so that every use of the table is cut alike
         cuts = t.sparkSession.createDataFrame(cuts.collect(), cuts.schema)

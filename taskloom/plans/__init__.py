@@ -1,3 +1,3 @@
 """Queries of the engine's own operators; importing any of these modules registers all."""
 
-from . import catalogue, reading, restarting, scheduling  # noqa: F401
+from . import catalogue, graphs, reading, restarting, scheduling  # noqa: F401

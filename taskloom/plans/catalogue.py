@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import scalar as fx
-from ..operators import corpus, dag, eventlog, policy, queue, scoring
+from ..operators import corpus, eventlog, policy, queue, scoring
 from ..operators import telemetry as tm
 from ..sources import adapters as src
 from ..sources.adapters import sql
@@ -148,21 +148,6 @@ query("C10_B5_pending", with_("SELECT task_id, priority FROM tasks WHERE status
 query("B15_worst_case_time", with_("SELECT name, round(backoff_s * (pow(2, max_retries) - 1) + timeout_s * (max_retries + 1), 4)::DOUBLE AS worst_s FROM task_defs", "task_defs"))(lambda s, d: src.task_defs(s).select("name", F.round(F.col("backoff_s") * (F.pow(F.lit(2.0), "max_retries") - 1) + F.col("timeout_s") * (F.col("max_retries") + 1), 4).alias("worst_s")))
 query("B3_registry_filters", with_("SELECT name, stage_group FROM task_defs WHERE priority = 2 OR stage_group = 'retrieval'", "task_defs"))(lambda s, d: src.task_defs(s).where("priority = 2 OR stage_group = 'retrieval'").select("name", "stage_group"))
 query("B10_signature", with_("SELECT name, cpu_cost || '/' || ram_cost || '/' || gpu_cost AS signature, gpu_cost IN ('medium','high') AS gpu_heavy, cpu_cost = 'high' AS cpu_heavy, ram_cost IN ('medium','high') AS ram_heavy FROM task_defs", "task_defs"))(lambda s, d: src.task_defs(s).select("name", F.concat_ws("/", "cpu_cost", "ram_cost", "gpu_cost").alias("signature"), F.col("gpu_cost").isin("medium", "high").alias("gpu_heavy"), (F.col("cpu_cost") == "high").alias("cpu_heavy"), F.col("ram_cost").isin("medium", "high").alias("ram_heavy")))
-# --- dependency graph ------------------------------------------------------------------------
-_DV = ("task_defs", "task_edges")
-_walk = "walk(name, depth) AS (SELECT name, 0 FROM task_defs WHERE name NOT IN (SELECT dst FROM task_edges) UNION ALL SELECT e.dst, depth + 1 FROM walk JOIN task_edges e ON walk.name = e.src)"
-_reach = "reach(root, node) AS (SELECT src, dst FROM task_edges UNION SELECT root, e.dst FROM reach JOIN task_edges e ON reach.node = e.src)"
-g = lambda s: (src.task_defs(s), src.task_edges(s))
-query("J4_levels", sql("SELECT name, max(depth)::INT AS level FROM walk GROUP BY 1", *_DV, recursive=_walk))(lambda s, d: dag.levels(*g(s)))
-query("J3_J12_execution_plan", sql("SELECT name, row_number() OVER (ORDER BY level, name)::INT AS position, estimated_s FROM (SELECT name, max(depth) AS level FROM walk GROUP BY 1) JOIN task_defs USING (name)", *_DV, recursive=_walk))(lambda s, d: dag.levels(*g(s)).join(src.task_defs(s), "name").select("name", F.row_number().over(W.orderBy("level", "name")).alias("position"), "estimated_s"))
-query("J5_ready", sql("SELECT name FROM task_defs WHERE name NOT IN ('query_reformulation','cache_check') AND name NOT IN (SELECT dst FROM task_edges WHERE src NOT IN ('query_reformulation','cache_check'))", *_DV))(lambda s, d: dag.ready(*g(s), ["query_reformulation", "cache_check"]))
-query("J6_direct", sql("SELECT dst AS name FROM task_edges WHERE src = 'abstract_embedding'", "task_edges"))(lambda s, d: src.task_edges(s).where("src = 'abstract_embedding'").select(F.col("dst").alias("name")))
-query("J7_dependents", sql("SELECT root, node FROM reach", *_DV, recursive=_reach))(lambda s, d: dag.dependents(*g(s)))
-query("I17_skipped_dependents", sql("SELECT node AS name FROM reach JOIN task_defs ON name = node WHERE root = 'abstract_embedding' AND optional", *_DV, recursive=_reach))(lambda s, d: dag.dependents(*g(s)).where("root = 'abstract_embedding'").join(src.task_defs(s).where("optional"), F.col("node") == F.col("name"), "left_semi").select(F.col("node").alias("name")))
-query("J2_cycle_check", sql("SELECT count(*) = 0 AS acyclic FROM reach WHERE root = node", *_DV, recursive=_reach))(lambda s, d: dag.dependents(*g(s)).where("root = node").agg((F.count("*") == 0).alias("acyclic")))
-query("J8_critical_path", sql("SELECT path, round(cost, 2) AS cost FROM p ORDER BY round(cost, 2) DESC, path LIMIT 1", *_DV, recursive="p(name, path, cost) AS (SELECT name::VARCHAR, name::VARCHAR, estimated_s::DOUBLE FROM task_defs WHERE name NOT IN (SELECT dst FROM task_edges) UNION ALL SELECT e.dst, path || '>' || e.dst, cost + t.estimated_s FROM p JOIN task_edges e ON p.name = e.src JOIN task_defs t ON t.name = e.dst)"))(lambda s, d: dag.critical_path(*g(s)))
-query("J9_J11_summary", sql("SELECT (SELECT count(*) FROM task_defs) AS nodes, (SELECT count(*) FROM task_edges) AS edges, count(*) AS levels, max(c) AS max_parallelism FROM (SELECT level, count(*) AS c FROM (SELECT name, max(depth) AS level FROM walk GROUP BY 1) GROUP BY 1)", *_DV, recursive=_walk))(lambda s, d: dag.summary(*g(s)))
-query("J10_isolated", sql("SELECT name FROM task_defs WHERE name NOT IN (SELECT src FROM task_edges) AND name NOT IN (SELECT dst FROM task_edges)", *_DV))(lambda s, d: dag.isolated(*g(s)))
 query("D23_state_rollup", sql("SELECT stage_group, array_to_string(list_sort(list(name)), ',') AS names, round(sum(estimated_s), 3)::DOUBLE AS total_s FROM task_defs GROUP BY 1", "task_defs"))(lambda s, d: src.task_defs(s).groupBy("stage_group").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"), F.round(F.sum("estimated_s"), 3).alias("total_s")))
 # --- corpus ----------------------------------------------------------------------------------
 _dom = "dom AS (SELECT cluster_id, category FROM (SELECT cluster_id, category, row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, category) AS r FROM papers GROUP BY 1, 2) WHERE r = 1)"

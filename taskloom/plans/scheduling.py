@@ -6,11 +6,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fx
-from ..operators import dag, eventlog, policy, queue
+from ..operators import eventlog, policy, queue
 from ..operators import telemetry as tm
 from ..sources import adapters as src
 from ..sources.adapters import sql
-from .catalogue import _DV, _PV, _dec, _reach, _walk, GRP, ev, g, query, tel, tels, with_
+from .catalogue import _PV, _dec, GRP, ev, query, tel, tels, with_
 
 TK = lambda s, d: src.tasks(s, d)
 #: Cancelled tasks: orders with a returned line.
@@ -123,18 +123,4 @@ query("I9_latch_transitions", with_(f"""SELECT seq, pid, p AS old, st AS new FRO
  SELECT *, coalesce(last_value(sig IGNORE NULLS) OVER (PARTITION BY pid ORDER BY ts, seq ROWS UNBOUNDED PRECEDING), 'NORMAL') AS st FROM (
  SELECT *, {_sig} AS sig FROM (SELECT *, count(*) OVER (PARTITION BY pid ORDER BY ts, seq ROWS 4 PRECEDING) AS n FROM b2) WINDOW w AS (PARTITION BY pid ORDER BY ts, seq ROWS 4 PRECEDING)))) WHERE p <> st""", "telemetry", more=GRP + ", " + _bt))(lambda s, d: tm.latch_transitions(tels(s, d)))
 
-# --- graph -----------------------------------------------------------------------------------
-_back = lambda s: src.task_edges(s).unionByName(s.createDataFrame([("report_generation", "abstract_embedding")], "src string, dst string"))
-query("G4_cyclic_members", sql("SELECT DISTINCT node AS name FROM r2 WHERE root IN (SELECT root FROM r2 WHERE root = node) UNION SELECT root FROM r2 WHERE root = node", *_DV, recursive="te2 AS (SELECT * FROM task_edges UNION ALL SELECT 'report_generation', 'abstract_embedding'), r2(root, node) AS (SELECT src, dst FROM te2 UNION SELECT root, e.dst FROM r2 JOIN te2 e ON r2.node = e.src)"))(lambda s, d: dag.cyclic_members(src.task_defs(s), _back(s)))
-
-
-def _added(s, d):
-    e, ok = dag.add_edges(*g(s), s.createDataFrame([("report_generation", "abstract_embedding")], "src string, dst string"))
-    more, ok2 = dag.add_edges(src.task_defs(s), e, s.createDataFrame([("cache_check", "faiss_index_build")], "src string, dst string"))
-    return more.withColumn("applied", F.lit(f"{ok},{ok2}"))
-
-
-query("J1_add_edges", sql("SELECT src, dst, 'False,True' AS applied FROM task_edges UNION ALL SELECT 'cache_check', 'faiss_index_build', 'False,True'", "task_edges"))(_added)
-query("J10_warnings", sql("SELECT 'isolated: ' || name AS warning FROM task_defs WHERE name NOT IN (SELECT src FROM task_edges) AND name NOT IN (SELECT dst FROM task_edges) UNION ALL SELECT 'levels: ' || (max(depth) + 1) FROM walk HAVING max(depth) + 1 > 8", *_DV, recursive=_walk))(lambda s, d: dag.validate(*g(s), most_levels=8))
-query("J8_path_costs", sql("SELECT name, round(max(cost), 2)::DOUBLE AS cost FROM pc GROUP BY 1", *_DV, recursive="pc(name, cost) AS (SELECT name, estimated_s::DOUBLE FROM task_defs WHERE name NOT IN (SELECT dst FROM task_edges) UNION ALL SELECT e.dst, cost + t.estimated_s FROM pc JOIN task_edges e ON pc.name = e.src JOIN task_defs t ON t.name = e.dst)"))(lambda s, d: dag.path_costs(*g(s)))
 query("B6_lookup", sql("SELECT name, priority FROM task_defs WHERE name = 'alert_drain'", "task_defs"))(lambda s, d: src.task_defs(s).where("name = 'alert_drain'").select("name", "priority"))
