@@ -73,15 +73,17 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queue entries with cost levels and the snapshot of the same number."""
+    """All queue entries with cost levels and the snapshot of the same number; one without a snapshot meets an idle machine without a GPU."""
     level = lambda c: F.when(c == 0, "none").when(c == 1, "low").when(c == 2, "medium").otherwise("high")
     k = F.col("task_id")
     t = tasks(spark, sf_dir).select(
         "task_id", F.concat(F.lit("task-"), k.cast("string")).alias("task_name"), "priority", (k % 37).alias("defer_count"), F.when(k % 41 == 0, "cancelled").otherwise("pending").alias("state"),
         level(1 + k % 3).alias("cpu_cost"), level(F.floor(k / 4) % 4).alias("ram_cost"), level(F.floor(k / 16) % 4).alias("gpu_cost"),
     )
-    s = telemetry(spark, sf_dir).select(F.col("seq").alias("task_id"), "cpu_pct", "ram_pct", "swap_pct", "gpu_pct", (F.col("seq") % 5 != 0).alias("gpu_available"), F.when((F.col("ram_pct") > 92) | (F.col("swap_pct") > 40), "oom_risk").otherwise("none").alias("bottleneck"))
-    return t.join(s, "task_id")
+    idle = {"cpu_pct": 0.0, "ram_pct": 0.0, "swap_pct": 0.0, "gpu_pct": 0.0, "gpu_available": False}
+    s = telemetry(spark, sf_dir).select(F.col("seq").alias("task_id"), "cpu_pct", "ram_pct", "swap_pct", "gpu_pct", (F.col("seq") % 5 != 0).alias("gpu_available"))
+    both = t.join(s, "task_id", "left").withColumns({c: F.coalesce(c, F.lit(v)) for c, v in idle.items()})
+    return both.withColumn("bottleneck", F.when((F.col("ram_pct") > 92) | (F.col("swap_pct") > 40), "oom_risk").otherwise("none"))
 
 
 #: The default task catalogue: fixed values (name, priority, cpu, ram, gpu, seconds, dependencies, optional, retries, backoff, timeout, group).
@@ -136,8 +138,9 @@ SQL_VIEWS = {
  FROM documents LEFT JOIN embeddings ON doc_id = vec_id)""",
     "entries": """entries AS (SELECT t.task_id, 'task-' || t.task_id AS task_name, priority, t.task_id % 37 AS defer_count, CASE WHEN t.task_id % 41 = 0 THEN 'cancelled' ELSE 'pending' END AS state,
  (['none','low','medium','high'])[2 + t.task_id % 3] AS cpu_cost, (['none','low','medium','high'])[1 + (t.task_id // 4) % 4] AS ram_cost, (['none','low','medium','high'])[1 + (t.task_id // 16) % 4] AS gpu_cost,
- cpu_pct, ram_pct, swap_pct, gpu_pct, seq % 5 <> 0 AS gpu_available, CASE WHEN ram_pct > 92 OR swap_pct > 40 THEN 'oom_risk' ELSE 'none' END AS bottleneck
- FROM tasks t JOIN telemetry ON seq = t.task_id)""",
+ coalesce(cpu_pct, 0.0) AS cpu_pct, coalesce(ram_pct, 0.0) AS ram_pct, coalesce(swap_pct, 0.0) AS swap_pct, coalesce(gpu_pct, 0.0) AS gpu_pct, coalesce(seq % 5 <> 0, false) AS gpu_available,
+ CASE WHEN ram_pct > 92 OR swap_pct > 40 THEN 'oom_risk' ELSE 'none' END AS bottleneck
+ FROM tasks t LEFT JOIN telemetry ON seq = t.task_id)""",
     "task_defs": f"task_defs(name, priority, cpu_cost, ram_cost, gpu_cost, estimated_s, optional, max_retries, backoff_s, timeout_s, stage_group) AS (VALUES {_values([(n, p, c, r, g, s, o, m, b, t, grp) for n, p, c, r, g, s, _, o, m, b, t, grp in CATALOGUE])})",
     "task_edges": f"task_edges(src, dst) AS (VALUES {_values([(d, x[0]) for x in CATALOGUE for d in x[6]])})",
 }
