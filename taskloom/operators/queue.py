@@ -80,6 +80,23 @@ def cancel(tasks: DataFrame, ids: DataFrame, eager: bool = False) -> DataFrame:
     return x.where("state <> 'cancelled'") if eager else x
 
 
+def cancel_by_name(tasks: DataFrame, cancelled: DataFrame, names: DataFrame) -> DataFrame:
+    """(task_name, n): waiting tasks of each of ``names`` (task_name) that weren't cancelled before; 0 for a name that none has."""
+    own = live(tasks, cancelled).groupBy("task_name").agg(F.count("*").alias("n"))
+    return names.select("task_name").distinct().join(own, "task_name", "left").select("task_name", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def cleared(tasks: DataFrame) -> DataFrame:
+    """A queue after it was cleared: what waited is gone, what was popped stays."""
+    return tasks.where("status <> 'DEFERRED'")
+
+
+def snapshot(tasks: DataFrame, cancelled: DataFrame) -> DataFrame:
+    """Live tasks (column ``effective``) with their place in the order of popping."""
+    own = live(tasks, cancelled)
+    return own.select("task_id", "effective").join(pop_order(own), "task_id")
+
+
 def requeue(events: DataFrame) -> DataFrame:
     """Requeues folded from the log: how often, since when a task waits now; priority and place in line stay."""
     d = events.where("event_type IN ('QUEUED', 'DEFERRED')")
@@ -103,14 +120,15 @@ def queue_stats(tasks: DataFrame, cancelled: DataFrame) -> DataFrame:
 
 
 def scheduler_stats(tasks: DataFrame) -> DataFrame:
-    """One row of totals, with mean wait and burst."""
+    """One row of totals, with mean wait and burst, and the most tasks that waited at once."""
     wait = _spent("queued_at", "dispatch_at")
     burst = F.when(F.col("status") != "DEFERRED", _spent("dispatch_at", "complete_at"))
     is_ = lambda k: F.count_if(F.col("status") == k)
-    return tasks.agg(
+    totals = tasks.agg(
         F.count("*").alias("submitted"), F.count("dispatch_at").alias("dispatched"), is_("COMPLETED").alias("completed"), is_("FAILED").alias("failed"), is_("DEFERRED").alias("deferred"),
         F.count_if(F.col("defer_count") >= 5).alias("forced"), F.coalesce(F.round(F.avg(wait), 3), F.lit(0.0)).alias("avg_wait"), F.coalesce(F.round(F.avg(burst), 3), F.lit(0.0)).alias("avg_burst"),
     )
+    return totals.crossJoin(peak_depth_whole(tasks).select("peak"))  # one row each
 
 
 def pop_order(tasks: DataFrame, steps: int = 64) -> DataFrame:

@@ -93,17 +93,21 @@ def transitions(t: DataFrame | Segments, state: str = "bottleneck") -> DataFrame
     return x.where(F.col("_b") != F.col(state)).select("seq", "pid", F.col("_b").alias("old"), F.col(state).alias("new"), F.when(F.col(state) != "none", "DETECTED").otherwise("CLEARED").alias("event"))
 
 
-def alerts(t: DataFrame) -> DataFrame:
-    """Every alert of every row (needs ``streak`` and ``bottleneck``), with its severity."""
+def alert_rules() -> Column:
+    """The alerts of a row (needs ``streak``): array of (metric, level)."""
     c, r, s, g = (F.col(x) for x in ("cpu_pct", "ram_pct", "swap_pct", "gpu_pct"))
     one = lambda metric, level: F.struct(F.lit(metric).alias("metric"), F.lit(level).alias("level"))
-    rules = F.array_compact(F.array(
+    return F.array_compact(F.array(
         F.when(c > 95, one("cpu", "CRITICAL")).when((c > 85) & (F.col("streak") >= 3), one("cpu", "WARNING")),
         F.when(r > 92, one("ram", "CRITICAL")).when(r > 80, one("ram", "WARNING")),
         F.when(s > 40, one("swap", "WARNING")),
         F.when(g > 97, one("gpu", "CRITICAL")).when(g > 90, one("gpu", "WARNING")),
     ))
-    x = t.select("seq", "pid", "bottleneck", F.inline(rules))
+
+
+def alerts(t: DataFrame) -> DataFrame:
+    """Every alert of every row (needs ``streak`` and ``bottleneck``), with its severity."""
+    x = t.select("seq", "pid", "bottleneck", F.inline(alert_rules()))
     severity = F.when(F.col("level") == "CRITICAL", "critical").when(F.col("bottleneck").isin("oom_risk", "gpu_bound"), "high").otherwise("medium")
     return x.withColumn("severity", severity).drop("bottleneck")
 
@@ -136,12 +140,16 @@ def latch_transitions(t: DataFrame | Segments) -> DataFrame:
 def last_averages(t: DataFrame, window: int = 10) -> DataFrame:
     recent = W.partitionBy("pid").orderBy(F.desc("ts"), F.desc("seq"))
     x = t.withColumn("_r", F.row_number().over(recent)).where(F.col("_r") <= window)
-    return x.groupBy("pid").agg(F.round(F.avg("cpu_pct"), 5).alias("avg_cpu"), F.max("cpu_pct").alias("max_cpu"), F.round(F.avg("ram_pct"), 5).alias("avg_ram"), F.max("ram_pct").alias("max_ram"), F.count("*").alias("n"))
+    return x.groupBy("pid").agg(F.round(F.avg("cpu_pct"), 5).alias("avg_cpu"), F.max("cpu_pct").alias("max_cpu"), F.round(F.avg("ram_pct"), 5).alias("avg_ram"), F.max("ram_pct").alias("max_ram"), F.round(F.avg("disk_pct"), 5).alias("avg_disk"), F.count("*").alias("n"))
 
 
 def session_summary(t: DataFrame) -> DataFrame:
+    """Each process's time, loads, alerts and bottlenecks; gpu figures are of rows with ``gpu_available`` only, 0 without any."""
+    gpu = F.when(F.col("gpu_available"), F.col("gpu_pct"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
     return t.groupBy("pid").agg(
         F.expr("timestampdiff(SECOND, min(ts), max(ts))").alias("duration_s"), F.round(F.avg("cpu_pct"), 8).alias("avg_cpu"), F.max("cpu_pct").alias("peak_cpu"), F.round(F.avg("ram_pct"), 8).alias("avg_ram"), F.max("ram_pct").alias("peak_ram"),
+        zero(F.round(F.avg(gpu), 8)).alias("avg_gpu"), zero(F.max(gpu)).alias("peak_gpu"), F.sum(F.size(alert_rules())).alias("alerts"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("bottleneck") != "none", F.col("bottleneck")))), ",").alias("bottlenecks"),
     )
 

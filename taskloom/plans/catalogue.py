@@ -109,8 +109,8 @@ query("D18_alert_counts", with_("SELECT s AS severity, count(al.seq) AS n FROM (
 query("I8_throttle_instant", with_("SELECT seq, pid, cap FROM (SELECT *, lag(cap, 1, 3) OVER (PARTITION BY pid ORDER BY ts, seq) AS p FROM (SELECT *, CASE WHEN cpu_pct > 85 OR bottleneck IN ('oom_risk','cpu_bound') THEN 1 ELSE 3 END AS cap FROM t)) WHERE p <> cap", "telemetry", more=GRP))(lambda s, d: tm.throttle_instant(tels(s, d)))
 query("I9_throttle_latch", with_("SELECT state, count(*) AS n FROM (SELECT coalesce(last_value(sig IGNORE NULLS) OVER (PARTITION BY pid ORDER BY ts, seq ROWS UNBOUNDED PRECEDING), 'NORMAL') AS state FROM y) GROUP BY 1", "telemetry", more=GRP + """, x AS (SELECT *, count(*) OVER w AS n, min(cpu_pct) OVER w AS cl, max(cpu_pct) OVER w AS ch, min(ram_pct) OVER w AS rl, max(ram_pct) OVER w AS rh FROM t WINDOW w AS (PARTITION BY pid ORDER BY ts, seq ROWS 4 PRECEDING)),
  y AS (SELECT *, CASE WHEN (n >= 5 AND (cl > 80 OR rl > 80)) OR bottleneck = 'oom_risk' THEN 'THROTTLED' WHEN n >= 5 AND ch < 60 AND rh < 60 AND bottleneck = 'none' THEN 'NORMAL' END AS sig FROM x)"""))(lambda s, d: tm.throttle_latch(tels(s, d)))
-query("D24_rolling_averages", with_("SELECT pid, round(avg(cpu_pct), 5) AS avg_cpu, max(cpu_pct) AS max_cpu, round(avg(ram_pct), 5) AS avg_ram, max(ram_pct) AS max_ram, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY ts DESC, seq DESC) AS r FROM telemetry) WHERE r <= 10 GROUP BY 1", "telemetry"))(lambda s, d: tm.last_averages(src.telemetry(s, d)))
-query("D16_session_summary", with_("SELECT pid, date_sub('second', min(ts), max(ts)) AS duration_s, round(avg(cpu_pct), 8) AS avg_cpu, max(cpu_pct) AS peak_cpu, round(avg(ram_pct), 8) AS avg_ram, max(ram_pct) AS peak_ram, coalesce(array_to_string(list_sort(list(DISTINCT bottleneck) FILTER (WHERE bottleneck <> 'none')), ','), '') AS bottlenecks FROM t GROUP BY 1", "telemetry", more=GRP))(lambda s, d: tm.session_summary(tel(s, d)))
+query("D24_rolling_averages", with_("SELECT pid, round(avg(cpu_pct), 5) AS avg_cpu, max(cpu_pct) AS max_cpu, round(avg(ram_pct), 5) AS avg_ram, max(ram_pct) AS max_ram, round(avg(disk_pct), 5) AS avg_disk, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY ts DESC, seq DESC) AS r FROM telemetry) WHERE r <= 10 GROUP BY 1", "telemetry"))(lambda s, d: tm.last_averages(src.telemetry(s, d)))
+query("D16_session_summary", with_("SELECT pid, date_sub('second', min(ts), max(ts)) AS duration_s, round(avg(cpu_pct), 8) AS avg_cpu, max(cpu_pct) AS peak_cpu, round(avg(ram_pct), 8) AS avg_ram, max(ram_pct) AS peak_ram, coalesce(round(avg(gpu_pct) FILTER (WHERE seq % 5 <> 0), 8), 0.0) AS avg_gpu, coalesce(max(gpu_pct) FILTER (WHERE seq % 5 <> 0), 0.0) AS peak_gpu, sum((cpu_pct > 95 OR cpu_pct > 85 AND streak >= 3)::INT + (ram_pct > 80)::INT + (swap_pct > 40)::INT + (gpu_pct > 90)::INT)::BIGINT AS alerts, coalesce(array_to_string(list_sort(list(DISTINCT bottleneck) FILTER (WHERE bottleneck <> 'none')), ','), '') AS bottlenecks FROM t GROUP BY 1", "telemetry", more=GRP))(lambda s, d: tm.session_summary(tel(s, d).withColumn("gpu_available", F.col("seq") % 5 != 0)))
 query("D17_run_metrics", "SELECT user_id AS run_id, event_type AS metric, min(value) AS lo, max(value) AS hi, arg_max(value, event_id) AS last, count(*) AS n FROM events GROUP BY 1, 2")(lambda s, d: src.table(s, d, "events").groupBy(F.col("user_id").alias("run_id"), F.col("event_type").alias("metric")).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.max_by("value", "event_id").alias("last"), F.count("*").alias("n")))
 query("D19_stage_summary", with_("SELECT session % 10 AS run, count(*) FILTER (WHERE status = 'COMPLETED') AS completed, count(*) FILTER (WHERE status = 'FAILED') AS failed, count(*) FILTER (WHERE dispatch_at IS NULL) AS cached, round(sum(defer_count), 3)::DOUBLE AS total FROM tasks GROUP BY 1", "tasks"))(
     lambda s, d: src.tasks(s, d).groupBy((F.col("session") % 10).alias("run")).agg(F.count_if(F.col("status") == "COMPLETED").alias("completed"), F.count_if(F.col("status") == "FAILED").alias("failed"), F.count_if(F.col("dispatch_at").isNull()).alias("cached"), F.sum("defer_count").cast("double").alias("total")))
@@ -144,7 +144,7 @@ _AGED = "greatest(0, priority - ticks // 10)"
 query("I1_aging", with_(f"SELECT task_id, ({_AGED})::INT AS effective FROM (SELECT *, task_id % 60 AS ticks FROM tasks)", "tasks"))(lambda s, d: queue.aged(src.tasks(s, d).withColumn("ticks", F.col("task_id") % 60)).select("task_id", "effective"))
 query("D13_priority_distribution", with_("SELECT n AS name, count(t.task_id) AS n_tasks FROM (VALUES (0,'CRITICAL'),(1,'HIGH'),(2,'MEDIUM'),(3,'LOW'),(4,'BACKGROUND')) v(p, n) LEFT JOIN live t ON t.effective = p GROUP BY 1", "tasks", more=_LIVE))(lambda s, d: queue.distribution(aged(src.tasks(s, d)), cancelled(s, d)))
 query("D12_E14_peak_depth", with_("SELECT session, max(depth)::BIGINT AS peak FROM (SELECT session, sum(x) OVER (PARTITION BY session ORDER BY moved, x DESC, task_id ROWS UNBOUNDED PRECEDING) AS depth FROM (SELECT session, task_id, queued_at AS moved, 1 AS x FROM tasks UNION ALL SELECT session, task_id, dispatch_at, -1 FROM tasks WHERE dispatch_at IS NOT NULL)) GROUP BY 1", "tasks"))(lambda s, d: queue.peak_depth(src.tasks(s, d)))
-query("C10_B5_pending", with_("SELECT task_id, priority FROM tasks WHERE status = 'DEFERRED' AND task_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')", "tasks"))(lambda s, d: src.tasks(s, d).where("status = 'DEFERRED'").join(src.table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("task_id")), "task_id", "left_anti").select("task_id", "priority"))
+query("C10_B5_pending", with_("SELECT task_id, effective, row_number() OVER (ORDER BY effective, task_id)::INT AS position FROM live", "tasks", more=_LIVE))(lambda s, d: queue.snapshot(aged(src.tasks(s, d)), cancelled(s, d)))
 query("B15_worst_case_time", with_("SELECT name, round(backoff_s * (pow(2, max_retries) - 1) + timeout_s * (max_retries + 1), 4)::DOUBLE AS worst_s FROM task_defs", "task_defs"))(lambda s, d: src.task_defs(s).select("name", F.round(F.col("backoff_s") * (F.pow(F.lit(2.0), "max_retries") - 1) + F.col("timeout_s") * (F.col("max_retries") + 1), 4).alias("worst_s")))
 query("B3_registry_filters", with_("SELECT name, stage_group FROM task_defs WHERE priority = 2 OR stage_group = 'retrieval'", "task_defs"))(lambda s, d: src.task_defs(s).where("priority = 2 OR stage_group = 'retrieval'").select("name", "stage_group"))
 query("B10_signature", with_("SELECT name, cpu_cost || '/' || ram_cost || '/' || gpu_cost AS signature, gpu_cost IN ('medium','high') AS gpu_heavy, cpu_cost = 'high' AS cpu_heavy, ram_cost IN ('medium','high') AS ram_heavy FROM task_defs", "task_defs"))(lambda s, d: src.task_defs(s).select("name", F.concat_ws("/", "cpu_cost", "ram_cost", "gpu_cost").alias("signature"), F.col("gpu_cost").isin("medium", "high").alias("gpu_heavy"), (F.col("cpu_cost") == "high").alias("cpu_heavy"), F.col("ram_cost").isin("medium", "high").alias("ram_heavy")))

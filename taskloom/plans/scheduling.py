@@ -39,7 +39,7 @@ query("D12_queue_stats", with_("""SELECT t.session, count(*) AS pushed, count(di
  FROM tasks t LEFT JOIN can USING (task_id) JOIN pk ON pk.session = t.session GROUP BY 1""", "tasks", more=_can + ", mv AS (SELECT session, task_id, queued_at AS moved, 1 AS x FROM tasks UNION ALL SELECT session, task_id, dispatch_at, -1 FROM tasks WHERE dispatch_at IS NOT NULL), pk AS (SELECT session, max(depth)::BIGINT AS peak FROM (SELECT session, sum(x) OVER (PARTITION BY session ORDER BY moved, x DESC, task_id ROWS UNBOUNDED PRECEDING) AS depth FROM mv) GROUP BY 1)"))(lambda s, d: queue.queue_stats(TK(s, d), CAN(s, d)))
 query("D15_scheduler_stats", with_("""SELECT count(*) AS submitted, count(dispatch_at) AS dispatched, count(*) FILTER (WHERE status = 'COMPLETED') AS completed, count(*) FILTER (WHERE status = 'FAILED') AS failed, count(*) FILTER (WHERE status = 'DEFERRED') AS deferred,
  count(*) FILTER (WHERE defer_count >= 5) AS forced, coalesce(round(avg(greatest(0, date_diff('second', queued_at, dispatch_at))) FILTER (WHERE dispatch_at IS NOT NULL), 3), 0.0) AS avg_wait,
- coalesce(round(avg(greatest(0, date_diff('second', dispatch_at, complete_at))) FILTER (WHERE status <> 'DEFERRED' AND dispatch_at IS NOT NULL), 3), 0.0) AS avg_burst FROM tasks""", "tasks"))(lambda s, d: queue.scheduler_stats(TK(s, d)))
+ coalesce(round(avg(greatest(0, date_diff('second', dispatch_at, complete_at))) FILTER (WHERE status <> 'DEFERRED' AND dispatch_at IS NOT NULL), 3), 0.0) AS avg_burst, (SELECT max(d) FROM (SELECT sum(x) OVER (ORDER BY moved, x DESC, task_id ROWS UNBOUNDED PRECEDING)::BIGINT AS d FROM (SELECT task_id, queued_at AS moved, 1 AS x FROM tasks UNION ALL SELECT task_id, dispatch_at, -1 FROM tasks WHERE dispatch_at IS NOT NULL))) AS peak FROM tasks""", "tasks"))(lambda s, d: queue.scheduler_stats(TK(s, d)))
 
 # --- policy ----------------------------------------------------------------------------------
 _SNAP = ["cpu_pct", "ram_pct", "swap_pct", "gpu_pct", "gpu_available", "bottleneck"]
@@ -103,6 +103,9 @@ query("E6_E7_disk_rates", with_("""SELECT seq, pid, CASE WHEN t0 IS NULL THEN 0.
  SELECT *, CASE WHEN date_diff('microsecond', t0, ts) > 0 THEN date_diff('microsecond', t0, ts) / 1e6 ELSE 2.0 END AS dt FROM (SELECT *, lag(read_bytes) OVER w AS b, lag(busy_ms) OVER w AS m, lag(ctx) OVER w AS c, lag(ts) OVER w AS t0 FROM cn WINDOW w AS (PARTITION BY pid ORDER BY ts, seq)))""", "telemetry",
     more="cn AS (SELECT seq, pid, ts, sum((seq % 1000) * 1048576) OVER v AS read_bytes, sum(seq % 700000) OVER v AS busy_ms, sum(seq % 313) OVER v AS ctx FROM telemetry WINDOW v AS (PARTITION BY pid ORDER BY ts, seq ROWS UNBOUNDED PRECEDING))"))(
     lambda s, d: tm.disk_rates(tm.by_pid(src.telemetry(s, d)).running({"read_bytes": ("sum", (F.col("seq") % 1000) * 1048576), "busy_ms": ("sum", F.col("seq") % 700000), "ctx": ("sum", F.col("seq") % 313)})))
+query("I5_cancel_by_name", with_("SELECT task_name, (SELECT count(*) FROM live l WHERE 'job-' || l.session % 40 = n.task_name) AS n FROM (SELECT DISTINCT 'job-' || c_custkey % 50 AS task_name FROM customer) n", "tasks", more=_live))(
+    lambda s, d: queue.cancel_by_name(TK(s, d).withColumn("task_name", F.concat(F.lit("job-"), (F.col("session") % 40).cast("string"))), CAN(s, d), src.table(s, d, "customer").select(F.concat(F.lit("job-"), (F.col("c_custkey") % 50).cast("string")).alias("task_name"))))
+query("I5_clear", with_("SELECT task_id, status FROM tasks WHERE status <> 'DEFERRED'", "tasks"))(lambda s, d: queue.cleared(TK(s, d)).select("task_id", "status"))
 query("D15_peak_depth_whole", with_("""SELECT d AS peak, min(moved) AS peak_at FROM dd WHERE d = (SELECT max(d) FROM dd) GROUP BY 1""", "tasks", more="""mv AS (SELECT task_id, queued_at AS moved, 1 AS x FROM tasks UNION ALL SELECT task_id, dispatch_at, -1 FROM tasks WHERE dispatch_at IS NOT NULL),
  dd AS (SELECT moved, sum(x) OVER (ORDER BY moved, x DESC, task_id ROWS UNBOUNDED PRECEDING)::BIGINT AS d FROM mv)"""))(lambda s, d: queue.peak_depth_whole(TK(s, d)))
 query("F4_top_processes", with_("SELECT pid, cpu_pct FROM (SELECT * FROM (SELECT * FROM pr ORDER BY cpu_pct DESC, pid LIMIT 10) UNION SELECT * FROM pr WHERE pid IN (1, 2, 3))", "telemetry", more="pr AS (SELECT pid, arg_max(cpu_pct, seq) AS cpu_pct FROM telemetry GROUP BY 1)"))(lambda s, d: tm.top_processes(src.telemetry(s, d).groupBy("pid").agg(F.max_by("cpu_pct", "seq").alias("cpu_pct")), [1, 2, 3]))
