@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import headroom, share
+from ..functions.scalar import headroom, round_exact
 
 Rule = Callable[[], Column]
 
@@ -78,11 +78,13 @@ def evaluate(entries: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 
 
 def stats(decisions: DataFrame) -> DataFrame:
-    n = F.count("*")
-    deferred = F.col("action") == "defer"
+    """One row: decisions by action, the rates of dispatch (forced ones too) and deferral, and mean cpu and ram at deferral; 0 where there are none."""
+    n, of = F.count("*"), lambda *a: F.count_if(F.col("action").isin(*a))
+    rate = lambda x: round_exact(F.when(n > 0, x / n).otherwise(0.0), 4)
+    at = lambda c: round_exact(F.coalesce(F.avg(F.when(F.col("action") == "defer", F.col(c))), F.lit(0.0)), 2)
     return decisions.agg(
-        n.alias("total"), F.count_if(F.col("action").isin("dispatch", "force_dispatch")).alias("dispatched"), F.count_if(deferred).alias("deferred"), F.count_if(F.col("action") == "skip").alias("skipped"),
-        share(F.count_if(deferred).cast("double"), n).alias("defer_rate"), F.round(F.avg(F.when(deferred, F.col("cpu_pct"))), 2).alias("cpu_at_defer"),
+        n.alias("total"), of("dispatch").alias("dispatched"), of("force_dispatch").alias("forced"), of("defer").alias("deferred"), of("skip").alias("skipped"),
+        rate(of("dispatch", "force_dispatch")).alias("dispatch_rate"), rate(of("defer")).alias("defer_rate"), at("cpu_pct").alias("cpu_at_defer"), at("ram_pct").alias("ram_at_defer"),
     )
 
 

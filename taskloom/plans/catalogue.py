@@ -133,7 +133,8 @@ _case = lambda k: "CASE " + " ".join(f"WHEN {r[0]} THEN {r[k] if k == 3 else rep
 _dec = f"dec AS (SELECT *, {_case(1)} AS action, {_case(2)} AS rule, ({_case(3)})::DOUBLE AS retry_s FROM entries)"
 _PV = ("tasks", "telemetry", "entries")
 query("L1_L8_policy_chain", with_("SELECT task_id, action, rule, retry_s FROM dec", *_PV, more=_dec))(lambda s, d: policy.evaluate(src.entries(s, d)).select("task_id", "action", "rule", "retry_s"))
-query("D14_policy_stats", with_("SELECT count(*) AS total, count(*) FILTER (WHERE action IN ('dispatch','force_dispatch')) AS dispatched, count(*) FILTER (WHERE action = 'defer') AS deferred, count(*) FILTER (WHERE action = 'skip') AS skipped, round(count(*) FILTER (WHERE action = 'defer')::DOUBLE / count(*), 4) AS defer_rate, round(avg(cpu_pct) FILTER (WHERE action = 'defer'), 2) AS cpu_at_defer FROM dec", *_PV, more=_dec))(lambda s, d: policy.stats(policy.evaluate(src.entries(s, d))))
+_OF = lambda *a: "count(*) FILTER (WHERE action IN (" + ", ".join(f"'{x}'" for x in a) + "))"
+query("D14_policy_stats", with_(f"SELECT count(*) AS total, {_OF('dispatch')} AS dispatched, {_OF('force_dispatch')} AS forced, {_OF('defer')} AS deferred, {_OF('skip')} AS skipped, {PY(_OF('dispatch', 'force_dispatch') + '::DOUBLE / count(*)', 4)} AS dispatch_rate, {PY(_OF('defer') + '::DOUBLE / count(*)', 4)} AS defer_rate, {PY('avg(cpu_pct) FILTER (WHERE action = ' + repr('defer') + ')', 2)} AS cpu_at_defer, {PY('avg(ram_pct) FILTER (WHERE action = ' + repr('defer') + ')', 2)} AS ram_at_defer FROM dec", *_PV, more=_dec))(lambda s, d: policy.stats(policy.evaluate(src.entries(s, d))))
 query("D14_defers_by_rule", with_("SELECT rule, count(*) AS n FROM dec WHERE action = 'defer' GROUP BY 1", *_PV, more=_dec))(lambda s, d: policy.evaluate(src.entries(s, d)).where("action = 'defer'").groupBy("rule").agg(F.count("*").alias("n")))
 query("L10_B13_policy_a", with_("SELECT task_id, CASE WHEN defer_count >= 30 THEN 'force_dispatch' WHEN priority = 0 THEN 'dispatch' WHEN bottleneck = 'oom_risk' THEN 'defer' WHEN cpu_pct > 85 AND cpu_cost = 'high' THEN 'defer' WHEN ram_pct > 80 AND ram_cost = 'high' THEN 'defer' WHEN gpu_pct > 90 AND gpu_cost = 'high' THEN 'defer' WHEN 100 - ram_pct < 8 THEN 'defer' ELSE 'dispatch' END AS action FROM entries", *_PV))(
     lambda s, d: src.entries(s, d).select("task_id", F.when(F.col("defer_count") >= 30, "force_dispatch").when(F.col("priority") == 0, "dispatch").when(F.col("bottleneck") == "oom_risk", "defer").when((F.col("cpu_pct") > 85) & (F.col("cpu_cost") == "high"), "defer").when((F.col("ram_pct") > 80) & (F.col("ram_cost") == "high"), "defer").when((F.col("gpu_pct") > 90) & (F.col("gpu_cost") == "high"), "defer").when(100 - F.col("ram_pct") < 8, "defer").otherwise("dispatch").alias("action")))
