@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import scalar as fx
-from ..operators import corpus, eventlog, policy, queue, scoring
+from ..operators import corpus, eventlog, policy, queue, scoring, tools
 from ..operators import telemetry as tm
 from ..sources import adapters as src
 from ..sources.adapters import sql
@@ -202,3 +202,6 @@ query("E15_weekly", with_("SELECT (ws + (r - 1) // greatest(1, n // greatest(1,
 TITLES = ["License", "Copyright", "password", "zzqx no such title", "http", "token", "secret"]
 query("C7_title_match", "SELECT pos, title, paper_id FROM (" + " UNION ALL ".join(f"SELECT {i} AS pos, '{x}' AS title, min(doc_id) AS paper_id FROM documents WHERE contains(lower(text), lower('{x[:30]}'))" for i, x in enumerate(TITLES)) + ") WHERE paper_id IS NOT NULL ORDER BY pos LIMIT 5")(lambda s, d: scoring.title_match(P(s, d), TITLES))
 query("I18_run_lifecycle", with_("SELECT task_id, session, ended_at, run_status, CASE WHEN ended_at IS NULL THEN NULL ELSE greatest(0, date_diff('second', queued_at, ended_at))::DOUBLE END AS duration_s FROM (SELECT *, CASE WHEN ab THEN nx ELSE complete_at END AS ended_at, CASE WHEN ab THEN 'ABORTED' WHEN complete_at IS NULL THEN 'RUNNING' WHEN status = 'FAILED' THEN 'FAILED' ELSE 'COMPLETED' END AS run_status FROM (SELECT *, nx IS NOT NULL AND (complete_at IS NULL OR nx < complete_at) AS ab FROM (SELECT *, lead(queued_at) OVER (PARTITION BY session ORDER BY queued_at, task_id) AS nx FROM tasks)))", "tasks"))(lambda s, d: eventlog.run_lifecycle(src.tasks(s, d)))
+# --- tools as table functions ------------------------------------------------------------------
+query("P_cluster_tools", ORACLE_SQL["D4_cluster_profile"])(lambda s, d: tools.answered(tools.cells(src.papers(s, d), WORDS)))
+query("P_cluster_years", with_("SELECT cluster_id, year, count(*) AS n FROM papers GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY year DESC) <= 3", "papers"))(lambda s, d: tools.years_of(tools.cells(src.papers(s, d), WORDS), 3))
