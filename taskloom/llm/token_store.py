@@ -202,8 +202,9 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
 def lookup(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
     """(doc_id, shard, block, occurrence, ids) of a stated list of ids, every occurrence of each; absent ids give no rows.
 
-    Blocks are skipped by their key range where they are read; in a block that is left an id costs one probe of its
-    index for each occurrence and one more, whatever the block's size, and only found documents leave it."""
+    Blocks are skipped by their key range where they are read (between the least and the largest id asked for).  A block that
+    is left is read whole and its index unpacked once, which is linear in the block; then an id costs one probe for each
+    occurrence and one more, and only found documents leave the block."""
     want = np.array(sorted({int(k) for k in ids}), dtype=np.int64)
     fields = "doc_id bigint, shard int, block int, occurrence bigint, ids array<int>"
     schema = arrow_schema(fields)
