@@ -83,3 +83,26 @@ def test_added_edges(spark):
 def test_empty(spark):
     d, e = spark.createDataFrame([], DEFS), spark.createDataFrame([], EDGES)
     assert dag.relaxed(d, e).collect() == [] and dag.critical_path(d, e).collect() == [] and dag.dependents(e).collect() == []
+
+
+@pytest.mark.parametrize("tail, hold", [(3, 5), (10_000, 5), (10_000, 200_000)])
+def test_groups_that_no_edge_crosses(spark, monkeypatch, tail, hold):
+    monkeypatch.setattr(dag, "HOLD", hold)
+    rng = random.Random(6)
+    defs, edges = [], [("a1", "nowhere", "a"), (None, "a2", "a"), ("x", "y", None), ("y", "z", None), ("x", "z", None)]
+    for g in "abcdefgh":
+        defs += [(f"{g}{i}", rng.choice([None, 1.0, 2.5, 0.5]), g) for i in range(9)]
+        edges += [(f"{g}{a}", f"{g}{b}", g) for a, b in (sorted((rng.randrange(9), rng.randrange(9))) for _ in range(9)) if a != b]
+    defs += [("a3", 9.0, "a"), (None, 1.0, "b"), ("alone", 4.0, "i"), *((n, 1.0, None) for n in "xyz")]
+    loop = [*edges, ("c8", "c2", "c"), ("c2", "c8", "c"), ("d1", "d1", "d")]
+    d = spark.createDataFrame(defs, DEFS + ", grp string")
+    for rows in (edges, loop):
+        e = spark.createDataFrame(rows, EDGES + ", grp string")
+        want = plain([x[:2] for x in defs], [x[:2] for x in rows])
+        assert {r.name: (r.level, r.cost, r.pred) for r in dag.relaxed(d, e, tail, "grp").collect()} == want
+        assert dag.critical_path(d, e, tail, "grp").collect() == dag.critical_path(d, e, tail).collect()
+        assert sorted(dag.dependents(e, "grp", tail).collect()) == sorted(dag.dependents(e.where("src IS NOT NULL")).collect())
+    e = spark.createDataFrame(edges, EDGES + ", grp string")
+    for more, fits in [([("c8", "c2", "c"), ("c2", "c8", "c")], False), ([("d1", "d1", "d")], False), ([("a0", "a8", "a"), ("q", "r", "q")], True)]:
+        got, ok = dag.add_edges(e, spark.createDataFrame(more, EDGES + ", grp string"), "grp", tail)
+        assert ok == fits and got.distinct().count() == len({*edges, *(more if ok else ())})
