@@ -11,19 +11,24 @@ gives each place a pointer to the next blank place; the places really reached fr
 pointers of 1, 2, 4, ... restarts (``log2`` rounds of joins on unique keys).  All else is running sums and last values
 between restarts, taken over chunks (``segments``), so a task may hold any share of the events.
 
+That is how hot tasks go (of more than ``most`` events, or a 256th of all if more).  The others are dealt and sorted once, and
+each is followed event by event, with nothing held but the machine's state (``_fold``).
+
 Defined results: events of equal time go by ``tie``, which must tell them apart within a session; null ids are a task of
 their own; events without a time are left out, as no clock reads them; no events give no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import backoff
 from ..sources.scratch import cut
-from .segments import MOST, Segments
+from .segments import MOST, SHARE, Segments
 
 RESTARTS = ("EXPIRED", "SKIPPED", "EXHAUSTED")
 
@@ -74,6 +79,51 @@ def _blanks(pointers: DataFrame) -> DataFrame:
     return reached
 
 
+def _fold(batches: Iterator[pa.RecordBatch], deadline: int, max_retries: int) -> Iterator[pa.RecordBatch]:
+    """The machine's state at every event of rows sorted by task and time; ``_us`` is the time in microseconds."""
+    started, task, clock, attempts, off, number = False, None, None, 0, 0, 0
+    for b in batches:
+        made = []
+        for one, deferral, retryable, us in zip(*(b.column(c).to_pylist() for c in ("task_id", "_deferral", "_retryable", "_us"))):
+            if not started or one != task:
+                started, task, clock, attempts, off, number = True, one, None, 0, 0, 0
+            if deferral:
+                off += 1
+                if off == 1:
+                    clock = us
+                expired = us - clock >= deadline
+                made.append((None, number + 1, off, clock, expired, False))
+                number += not expired
+                if expired:
+                    attempts = off = 0
+            else:
+                attempts += 1
+                retried = retryable and attempts <= max_retries
+                made.append((attempts, None, off, clock, False, retried))
+                if retried:
+                    number = 0
+                else:
+                    attempts = off = 0
+        if made:
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
+            arrays = [pa.array(x, type=k) for x, k in zip(zip(*made), kinds)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *arrays], names=[*b.schema.names, "attempt", "_number", "_off", "_clock_us", "_expired", "_retried"])
+
+
+def _followed(events: DataFrame, deadline_s: float, max_retries: int) -> DataFrame:
+    """``events`` of tasks that one task can follow, with the columns that ``machine`` reads."""
+    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(at AS TIMESTAMP_NTZ))")
+    rows = events.select("task_id", "session", "priority", "tie", us.alias("_us"), (F.col("kind") == "deferral").alias("_deferral"), "retryable", (F.coalesce("retryable", F.lit(False))).alias("_retryable"), "kind", "at")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    deadline = int(deadline_s * 1_000_000)
+    met = rows.repartition("task_id").sortWithinPartitions("task_id", "_us", "tie").mapInArrow(
+        lambda b: _fold(b, deadline, max_retries), kinds + ", attempt bigint, _number int, _off bigint, _clock_us bigint, _expired boolean, _retried boolean"
+    )
+    clock = F.expr("CAST(timestampadd(MICROSECOND, _clock_us, TIMESTAMP_NTZ '1970-01-01 00:00:00') AS %s)" % events.schema["at"].dataType.simpleString())
+    elapsed = F.when(F.col("kind") == "deferral", F.expr("timestampdiff(SECOND, _clock, at)")).cast("double")
+    return met.withColumn("_clock", clock).withColumn("elapsed_s", elapsed)
+
+
 def machine(events: DataFrame, deadline_s: float = 600.0, max_retries: int = 2, base: float = 2.0, escalate_after: int = 5, most: int = MOST) -> DataFrame:
     """Every event (task_id, session, priority, at, tie, kind 'deferral' or 'failure', retryable) with what follows it.
 
@@ -82,8 +132,23 @@ def machine(events: DataFrame, deadline_s: float = 600.0, max_retries: int = 2,
     number of tasks with a deferral history: 1, 0 or -1)."""
     if deadline_s <= 0:
         raise ValueError("a deadline is over 0")
+    events = events.where("at IS NOT NULL")
+    counts = events.groupBy("task_id").agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    # at most 256 of them
+    hot = counts.where(F.col("_n") > max(most, int(total * SHARE))).select("task_id").collect()
+    if not hot:
+        return _judged(_followed(events, deadline_s, max_retries), base, escalate_after)
+    few = F.broadcast(events.sparkSession.createDataFrame(hot, counts.select(F.col("task_id").alias("_t")).schema))
+    same = F.col("task_id").eqNullSafe(F.col("_t"))
+    rest = _followed(events.join(few, same, "left_anti"), deadline_s, max_retries)
+    return _judged(_scanned(events.join(few, same, "left_semi"), deadline_s, max_retries, most), base, escalate_after).unionByName(_judged(rest, base, escalate_after))
+
+
+def _scanned(events: DataFrame, deadline_s: float, max_retries: int, most: int) -> DataFrame:
+    """``events`` of tasks of any size with the columns that ``machine`` reads, by scans between restarts."""
     kinds = {"deferral": F.col("kind") == "deferral", "try": (F.col("kind") == "failure") & F.col("retryable")}
-    numbered = Segments(events.where("at IS NOT NULL"), ["task_id"], ["at", "tie"], most).running({"i": ("count", F.lit(1))}, upto=-1)
+    numbered = Segments(events, ["task_id"], ["at", "tie"], most).running({"i": ("count", F.lit(1))}, upto=-1)
     numbered = numbered.running({"tried": ("sum", kinds["try"].cast("int")), "put_off": ("sum", kinds["deferral"].cast("int"))})
     ev = cut(numbered.done(), "restart-events")
     blank = _blanks(_next_blank(ev, deadline_s, max_retries, numbered)).where("i > 0").select(F.col("task_id").alias("_t"), F.col("i").alias("_i"), F.lit(True).alias("_new"))
@@ -103,7 +168,13 @@ def machine(events: DataFrame, deadline_s: float = 600.0, max_retries: int = 2,
     s = s.running({"_queued0": ("last", F.when(F.col("_retried"), F.col("_queued")))})
     own = F.when(kinds["deferral"] & ~F.col("_expired"), 1).otherwise(0)
     number = F.col("_queued") - F.coalesce("_queued0", F.lit(0)) - own + 1
-    t = s.done().withColumn("defer_number", F.when(kinds["deferral"], number).cast("int"))
+    return s.done().withColumn("_number", number)
+
+
+def _judged(t: DataFrame, base: float, escalate_after: int) -> DataFrame:
+    """What follows each event, from the machine's state there."""
+    kinds = {"deferral": F.col("kind") == "deferral"}
+    t = t.withColumn("defer_number", F.when(kinds["deferral"], F.col("_number")).cast("int"))
     after = F.greatest(F.lit(0), F.col("priority") - F.greatest(F.lit(0), F.col("defer_number") - (escalate_after - 1)))
     before = F.greatest(F.lit(0), F.col("priority") - F.greatest(F.lit(0), F.col("defer_number") - escalate_after))
     action = (
@@ -122,6 +193,8 @@ def machine(events: DataFrame, deadline_s: float = 600.0, max_retries: int = 2,
 
 def pressure_signals(acted: DataFrame, per_task: int = 10, overload: int = 5, most: int = MOST) -> DataFrame:
     """For each deferral that is queued again: how many tasks of its session have a history then, and the signal."""
+    # stored, as sessions are counted and cut before they are scanned
+    acted = cut(acted.select("session", "task_id", "at", "tie", "action", "defer_number", "history"), "restart-acted")
     s = Segments(acted, ["session"], ["at", "tie"], most).running({"active": ("sum", F.col("history"))})
     d = s.done().where("action IN ('REQUEUED', 'ESCALATED')")
     return d.select("session", "task_id", "tie", F.col("active").cast("long").alias("active"), F.when(F.col("defer_number") >= per_task, "task_backpressure").when(F.col("active") >= overload, "system_overload").otherwise("none").alias("signal"))

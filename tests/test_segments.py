@@ -121,3 +121,10 @@ def test_machine_against_a_plain_fold(spark, most):
     assert restarts.machine(df.limit(0)).collect() == []
     with pytest.raises(ValueError):
         restarts.machine(df, 0)
+
+
+def test_tasks_of_bounded_size_are_followed_after_one_shuffle(spark):
+    rows = [(k % 5, 1, 2, datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=k), k, "failure" if k % 3 == 0 else "deferral", k % 4 != 0) for k in range(60)]
+    df = spark.createDataFrame(rows, "task_id long, session long, priority int, at timestamp_ntz, tie long, kind string, retryable boolean")
+    plan = restarts.machine(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
