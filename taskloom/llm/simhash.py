@@ -8,7 +8,8 @@ thresholds come from a dynamic programme over candidate counts, estimated from h
 agree in each partition.  Every fingerprint is filed under its own partition value and probes all values
 within t_i of it; what meets there is verified in numpy.
 
-A filing place sends on a spanning forest of its verified links, never all pairs.  A place with more than
+A filing place sends on a spanning forest of its verified links, not all pairs.  Where links are only probable until texts are
+compared, the forest's pairs are compared first, then all pairs that still lie between two groups.  A place with more than
 ``PLACE`` fingerprints is dealt over a grid of cells: each holds a part of the filed ones and sees a part of the probes,
 so every pair meets in some cell and no task holds the whole place.  A cell takes its probes ``HOLD`` rows at a
 time.  Components are found by joins of labels and edges, with the state written to shared storage after each round;
@@ -178,8 +179,10 @@ def _apart(rows: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> np.nd
     return np.where(np.bitwise_count(rows[i, 0] ^ rows[j, 0]) <= radius, d, 1 << 40)
 
 
-def _least_forest(pairs: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Of ``pairs`` (rows: distance, node, node) a spanning forest of least distances between the trees of ``label``."""
+def _least_forest(pairs: np.ndarray, label: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
+    """Of ``pairs`` (rows: distance, node, node) a spanning forest of least distances between the trees of ``label``.
+
+    ``more`` is set for the nodes of pairs between trees that aren't in it."""
     pairs = pairs[:, label[pairs[1]] != label[pairs[2]]]
     pairs = pairs[:, np.lexsort((pairs[2], pairs[1], pairs[0]))]
     label, taken, left = label.copy(), [], np.arange(pairs.shape[1])
@@ -191,14 +194,34 @@ def _least_forest(pairs: np.ndarray, label: np.ndarray) -> np.ndarray:
         taken.append(new)
         label = _joined(label, pairs[1, new], pairs[2, new])
         left = left[label[pairs[1, left]] != label[pairs[2, left]]]
-    return pairs[:, np.concatenate(taken)] if taken else pairs
+    if not taken:
+        return pairs
+    chosen = np.concatenate(taken)
+    if more is not None:
+        more[np.delete(pairs[1:], chosen, axis=1)] = True
+    return pairs[:, chosen]
+
+
+def _between(rows: np.ndarray, filed: np.ndarray, tree: np.ndarray, radius: int, allow: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (node, node) of one place that lie in different trees and may be links, some at a time."""
+    data = np.flatnonzero(filed)
+    for a in range(0, len(rows), 256):
+        near = np.bitwise_count(rows[a : a + 256, None, 0] ^ rows[None, data, 0]) <= radius
+        i, j = np.nonzero(near & (tree[a : a + 256, None] != tree[None, data]))
+        i, j = i + a, data[j]
+        for k in range(0, len(i), PAIRS):
+            x, y = i[k : k + PAIRS], j[k : k + PAIRS]
+            ok = (_apart(rows, x, y, radius) <= allow) & (~filed[x] | (x < y))  # two filed nodes meet twice
+            if ok.any():
+                yield x[ok], y[ok]
 
 
-def _forest(rows: np.ndarray, filed: np.ndarray, radius: int, sure: int = 0, allow: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _forest(rows: np.ndarray, filed: np.ndarray, radius: int, sure: int = 0, allow: int = 0, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links (node, node, whether sure) of one place.
 
     Sure ones: each node with the least one of its tree; links are dropped as soon as they are in the forest.  Others, of
-    over ``sure`` differing bits: pairs that join those trees, of least distances."""
+    over ``sure`` differing bits: pairs that join those trees, of least distances.  ``more`` is set for the nodes of any
+    others of them."""
     label = np.arange(len(rows))
     data = np.flatnonzero(filed)
     doubt = np.zeros((3, 0), dtype=np.int64)
@@ -216,8 +239,8 @@ def _forest(rows: np.ndarray, filed: np.ndarray, radius: int, sure: int = 0, all
             if open_.any():
                 doubt = np.concatenate([doubt, np.stack([d[open_], x[open_], y[open_]])], axis=1)
                 if doubt.shape[1] > 2 * len(rows) + PAIRS:
-                    doubt = _least_forest(doubt, label)
-    doubt = _least_forest(doubt, label)
+                    doubt = _least_forest(doubt, label, more)
+    doubt = _least_forest(doubt, label, more)
     out = np.flatnonzero(label != np.arange(len(rows)))
     return np.concatenate([out, doubt[1]]), np.concatenate([label[out], doubt[2]]), np.arange(len(out) + doubt.shape[1]) < len(out)
 
@@ -227,13 +250,16 @@ def links(nodes: DataFrame, groups: list[list[int]], thresholds: list[int], radi
 
     ``nodes``: column ``fp`` and any number of check prints, 64 bits each; check prints of linked nodes differ by ``sure``
     bits together at most.  A node is its ``fp``, or a struct of all columns where there are check prints; then column ``sure``
-    is false for pairs that differ by more, ``allow`` at most, and would join further nodes."""
-    names = list(nodes.columns)
-    kinds = ", ".join(f"{c} bigint" for c in names)
+    is false for pairs that differ by more, ``allow`` at most, and would join further nodes.  Where a place has more such pairs
+    than a spanning forest, their nodes come paired with themselves, with ``sure`` null.  If ``nodes`` has a column ``tree``
+    too, all pairs of different trees within ``allow`` bits are given instead, none of them sure."""
+    names, trees = [c for c in nodes.columns if c != "tree"], "tree" in nodes.columns
+    carried = [*names, "tree"] if trees else names
+    kinds = ", ".join(f"{c} bigint" for c in carried)
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own_columns = [b.column(c) for c in names]
+            own_columns = [b.column(c) for c in carried]
             fp = own_columns[0].to_numpy(zero_copy_only=False).view(np.uint64)
             for part, (bits, t) in enumerate(zip(groups, thresholds)):
                 own = _packed(fp, bits)
@@ -241,7 +267,7 @@ def links(nodes: DataFrame, groups: list[list[int]], thresholds: list[int], radi
                     for flip in combinations(range(len(bits)), k):
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(np.full(len(fp), part, np.int32)), pa.array(own ^ np.int64(sum(1 << f for f in flip))), pa.array(np.full(len(fp), k == 0)), *own_columns],
-                            names=["part", "value", "filed", *names],
+                            names=["part", "value", "filed", *carried],
                         )
 
     rows = nodes.mapInArrow(probes, f"part int, value bigint, filed boolean, {kinds}")
@@ -258,9 +284,9 @@ def links(nodes: DataFrame, groups: list[list[int]], thresholds: list[int], radi
                  IF(filed, transform(sequence(0, _blocks - 1), q -> named_struct('block', _f * _blocks + q, 'filed', true)), cast(array() as array<struct<block:int,filed:boolean>>)),
                  transform(filter(sequence(0, _blocks - 1), g -> NOT filed OR g <> _f), g -> named_struct('block', g * _blocks + _p, 'filed', false))) END"""
         )
-        rows = rows.select("part", "value", *names, F.explode(cells).alias("_s")).select("part", "value", "_s.block", "_s.filed", *names)
+        rows = rows.select("part", "value", *carried, F.explode(cells).alias("_s")).select("part", "value", "_s.block", "_s.filed", *carried)
     else:
-        rows = rows.select("part", "value", F.lit(0).alias("block"), "filed", *names)
+        rows = rows.select("part", "value", F.lit(0).alias("block"), "filed", *carried)
 
     ends = [f"{e}_{c}" for e in "ab" for c in names]
 
@@ -272,7 +298,7 @@ def links(nodes: DataFrame, groups: list[list[int]], thresholds: list[int], radi
             kept: list[tuple[np.ndarray, ...]] = []
             held = 0
             for b in batches:
-                now = tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("part", "value", "block", "filed", *names))
+                now = tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("part", "value", "block", "filed", *carried))
                 if not len(now[0]):
                     continue
                 change = np.flatnonzero((np.diff(now[0]) != 0) | (np.diff(now[1]) != 0) | (np.diff(now[2]) != 0)) + 1
@@ -294,10 +320,26 @@ def links(nodes: DataFrame, groups: list[list[int]], thresholds: list[int], radi
             if kept:
                 yield joined(kept)
 
+        def made(node: np.ndarray, i: np.ndarray, j: np.ndarray, ok: pa.Array) -> pa.RecordBatch:
+            # the lesser node first, by the first print that differs
+            swap = np.zeros(len(i), dtype=bool)
+            for c in range(node.shape[1] - 1, -1, -1):
+                x, y = node[i, c], node[j, c]
+                swap = np.where(x == y, swap, x > y)
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            return pa.RecordBatch.from_arrays([*[pa.array(node[k, c].view(np.int64)) for k in (i, j) for c in range(node.shape[1])], ok], names=[*ends, "sure"])
+
         for part, value, block, filed, *prints in whole():
-            node = np.stack([x.view(np.uint64) for x in prints], axis=1)
+            node = np.stack([x.view(np.uint64) for x in prints[: len(names)]], axis=1)
             cuts = np.concatenate([[0], np.flatnonzero((np.diff(part) != 0) | (np.diff(value) != 0) | (np.diff(block) != 0)) + 1, [len(node)]])
             size = np.diff(cuts)
+            if trees:
+                for g in np.flatnonzero(size > 1):
+                    s = slice(cuts[g], cuts[g + 1])
+                    for i, j in _between(node[s], filed[s], prints[-1][s], radius, allow):
+                        yield made(node[s], i, j, pa.array(np.zeros(len(i), dtype=bool)))
+                continue
+            more = np.zeros(len(node), dtype=bool)
             few = np.repeat(size <= 8, size)
             place_of = np.repeat(np.arange(len(size)), size)
             a, b, c = [], [], []
@@ -311,21 +353,18 @@ def links(nodes: DataFrame, groups: list[list[int]], thresholds: list[int], radi
             for g in np.flatnonzero(size > 8):
                 s = slice(cuts[g], cuts[g + 1])
                 if filed[s].any():
-                    x, y, z = _forest(node[s], filed[s], radius, sure, allow)
+                    x, y, z = _forest(node[s], filed[s], radius, sure, allow, more[s])
                     a.append(x + cuts[g])
                     b.append(y + cuts[g])
                     c.append(z)
             i, j, ok = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, c))
             if len(i):
-                # the lesser node first, by the first print that differs
-                swap = np.zeros(len(i), dtype=bool)
-                for c in range(node.shape[1] - 1, -1, -1):
-                    x, y = node[i, c], node[j, c]
-                    swap = np.where(x == y, swap, x > y)
-                i, j = np.where(swap, j, i), np.where(swap, i, j)
-                yield pa.RecordBatch.from_arrays([*[pa.array(node[k, c].view(np.int64)) for k in (i, j) for c in range(node.shape[1])], pa.array(ok)], names=[*ends, "sure"])
-
-    dealt = rows.repartition("part", "value", "block").sortWithinPartitions("part", "value", "block", F.desc("filed"), *names)
+                yield made(node, i, j, pa.array(ok))
+            if more.any():
+                k = np.flatnonzero(more)
+                yield made(node, k, k, pa.nulls(len(k), pa.bool_()))
+
+    dealt = rows.repartition("part", "value", "block").sortWithinPartitions("part", "value", "block", F.desc("filed"), *carried)
     found = dealt.mapInArrow(verify, ", ".join(f"{e} bigint" for e in ends) + ", sure boolean").distinct()
     if len(names) == 1:
         return found.drop("sure").toDF("a", "b")
@@ -363,7 +402,20 @@ def _grouped(prints: DataFrame, names: list[str], radius: int, sure: int = 0, al
     edges = cut(links(nodes.select(*names), groups, thresholds, radius, sure=sure, allow=allow), "simhash-links")
     if decide:
         true = decide(edges.where("NOT sure").select("a", "b"), nodes.select("node", "_least"))
+        left = edges.where("sure IS NULL").select(F.col("a").alias("node"))
         edges = cut(edges.where("sure").select("a", "b").unionByName(true), "simhash-true")
+        if left.limit(1).count():
+            # pairs that a forest left out, as far as the true ones don't join their trees
+            tree = left.withColumn("tree", F.monotonically_increasing_id())
+            if edges.limit(1).count():
+                joined = cut(components(edges).join(left, "node"), "simhash-joined")
+                named = joined.groupBy("comp").agg(F.min("node").alias("_first"))
+                ids = cut(tree, "simhash-tree")
+                first = joined.join(named, "comp").join(ids.select(F.col("node").alias("_first"), F.col("tree").alias("_tree")), "_first").select("node", "_tree")
+                tree = ids.join(first, "node", "left").select("node", F.coalesce("_tree", "tree").alias("tree"))
+            rest = links(cut(tree.select("node.*", "tree"), "simhash-rest"), groups, thresholds, radius, sure=sure, allow=allow)
+            rest = cut(rest.select("a", "b"), "simhash-between")
+            edges = cut(edges.unionByName(decide(rest, nodes.select("node", "_least"))), "simhash-all")
     if not edges.limit(1).count():
         return cut(alone, "simhash-groups")
     label = cut(components(edges).join(nodes.select("node", "_least"), "node"), "simhash-labels")

@@ -125,3 +125,20 @@ def test_pairs_around_the_bound_are_counted_exactly(spark):
     # none under the bound goes, and all over it that the candidate search reaches; of pairs this near the bound, it misses one in ten
     assert {i for i, _ in rows} - kept == reach
     assert len(reach) >= 0.85 * len(copies)
+
+
+def test_a_link_that_is_not_the_nearest_of_its_trees_joins_them(spark):
+    # two trees of seven sure nodes in one place; of the pairs between them only one is true, and another is nearer by bits
+    one, two = [0, *(1 << k for k in range(6))], [63 << 40, *((63 << 40) ^ (1 << (20 + k)) for k in range(6))]
+    far = [(31 << 50) ^ (1 << k) for k in range(30, 36)]
+    prints = spark.createDataFrame([(0, c, k) for k, c in enumerate([*one, *two, *far])], "fp long, c1 long, _id long")
+    seen = []
+
+    def decide(pairs, nodes):
+        seen.append(pairs.count())
+        return pairs.where(f"least(a.c1, b.c1) = {one[3]} AND greatest(a.c1, b.c1) = {two[4]}")
+
+    found = simhash._grouped(prints, ["fp", "c1"], 4, 2, 20, decide)
+    assert {r.node.c1: r.component_id for r in found.collect()} == dict.fromkeys([*one, *two], 0) | dict.fromkeys(far, 14)
+    # first those of a forest, then all between the three trees
+    assert seen == [2, 2 * 7 * 6 + 49]
