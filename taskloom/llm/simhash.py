@@ -53,6 +53,8 @@ COPY_RADIUS, CHECK_SHINGLE = 8, 5
 #: (two more) the sets of shingles themselves decide.
 CHECK_BITS, CHECK_SURE, CHECK_ALLOW = 512, 32, 65
 CHECKS = [f"c{k}" for k in range(1, CHECK_BITS // 64 + 1)]
+#: Columns of nodes whose pairs weren't all compared: tree, members of the set, and those of them that another node has.
+REST = ["tree", "size", "shared"]
 #: What a probe costs, in comparisons.
 PROBE_COST = 200
 _LANES = (1 << 32) | 1
@@ -202,7 +204,7 @@ def _least_forest(pairs: np.ndarray, label: np.ndarray, more: np.ndarray | None
     return pairs[:, chosen]
 
 
-def _between(rows: np.ndarray, filed: np.ndarray, tree: np.ndarray, radius: int, allow: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _between(rows: np.ndarray, filed: np.ndarray, tree: np.ndarray, size: np.ndarray, shared: np.ndarray, radius: int, allow: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs (node, node) of one place that lie in different trees and may be links, some at a time."""
     data = np.flatnonzero(filed)
     for a in range(0, len(rows), 256):
@@ -211,7 +213,10 @@ def _between(rows: np.ndarray, filed: np.ndarray, tree: np.ndarray, radius: int,
         i, j = i + a, data[j]
         for k in range(0, len(i), PAIRS):
             x, y = i[k : k + PAIRS], j[k : k + PAIRS]
-            ok = (_apart(rows, x, y, radius) <= allow) & (~filed[x] | (x < y))  # two filed nodes meet twice
+            # two filed nodes meet twice; what two sets have in common others share too
+            ok = (~filed[x] | (x < y)) & (9 * np.minimum(shared[x], shared[y]) >= 4 * (size[x] + size[y]))
+            x, y = x[ok], y[ok]
+            ok = _apart(rows, x, y, radius) <= allow
             if ok.any():
                 yield x[ok], y[ok]
 
@@ -251,10 +256,11 @@ def links(nodes: DataFrame, groups: list[list[int]], thresholds: list[int], radi
     ``nodes``: column ``fp`` and any number of check prints, 64 bits each; check prints of linked nodes differ by ``sure``
     bits together at most.  A node is its ``fp``, or a struct of all columns where there are check prints; then column ``sure``
     is false for pairs that differ by more, ``allow`` at most, and would join further nodes.  Where a place has more such pairs
-    than a spanning forest, their nodes come paired with themselves, with ``sure`` null.  If ``nodes`` has a column ``tree``
-    too, all pairs of different trees within ``allow`` bits are given instead, none of them sure."""
-    names, trees = [c for c in nodes.columns if c != "tree"], "tree" in nodes.columns
-    carried = [*names, "tree"] if trees else names
+    than a spanning forest, their nodes come paired with themselves, with ``sure`` null.  If ``nodes`` has the columns
+    ``REST`` too, all pairs of different trees within ``allow`` bits are given instead, none of them sure, but for those whose
+    sets can't have enough in common (``shared``: members that another node has)."""
+    names, trees = [c for c in nodes.columns if c not in REST], "tree" in nodes.columns
+    carried = [*names, *REST] if trees else names
     kinds = ", ".join(f"{c} bigint" for c in carried)
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,7 +342,7 @@ def links(nodes: DataFrame, groups: list[list[int]], thresholds: list[int], radi
             if trees:
                 for g in np.flatnonzero(size > 1):
                     s = slice(cuts[g], cuts[g + 1])
-                    for i, j in _between(node[s], filed[s], prints[-1][s], radius, allow):
+                    for i, j in _between(node[s], filed[s], *(x[s] for x in prints[-3:]), radius, allow):
                         yield made(node[s], i, j, pa.array(np.zeros(len(i), dtype=bool)))
                 continue
             more = np.zeros(len(node), dtype=bool)
@@ -386,11 +392,12 @@ def components(edges: DataFrame) -> DataFrame:
         state = state.select("node", "comp")
 
 
-def _grouped(prints: DataFrame, names: list[str], radius: int, sure: int = 0, allow: int = 0, decide: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+def _grouped(prints: DataFrame, names: list[str], radius: int, sure: int = 0, allow: int = 0, decide: Callable[[DataFrame, DataFrame], DataFrame] | None = None, shares: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """A table of nodes: ``node``, the least ``_id`` in reach as ``component_id``, and whether over a thousandth of the rows have the node.
 
     ``prints``: columns ``names`` (fingerprint and check prints) and ``_id``.  ``decide`` takes the links that aren't sure and
-    the nodes with their least ids, and returns the true ones."""
+    the nodes with their least ids, and returns the true ones; ``shares`` takes some nodes and all with their least ids, and
+    gives the size of each one's set and how much of it others of them share."""
     node = F.col(names[0]) if len(names) == 1 else F.struct(*names)
     nodes = cut(prints.groupBy(*names).agg(F.min("_id").alias("_least"), F.count("*").alias("_rows")).withColumn("node", node), "simhash-nodes")
     n, rows = nodes.agg(F.count("*"), F.coalesce(F.sum("_rows"), F.lit(0))).first()
@@ -413,7 +420,9 @@ def _grouped(prints: DataFrame, names: list[str], radius: int, sure: int = 0, al
                 ids = cut(tree, "simhash-tree")
                 first = joined.join(named, "comp").join(ids.select(F.col("node").alias("_first"), F.col("tree").alias("_tree")), "_first").select("node", "_tree")
                 tree = ids.join(first, "node", "left").select("node", F.coalesce("_tree", "tree").alias("tree"))
-            rest = links(cut(tree.select("node.*", "tree"), "simhash-rest"), groups, thresholds, radius, sure=sure, allow=allow)
+            tree = cut(tree, "simhash-rest")
+            bounds = shares(tree.select("node"), nodes.select("node", "_least")) if shares else tree.select("node", F.lit(1 << 32).alias("size"), F.lit(1 << 32).alias("shared"))
+            rest = links(cut(tree.join(bounds, "node").select("node.*", *REST), "simhash-bounds"), groups, thresholds, radius, sure=sure, allow=allow)
             rest = cut(rest.select("a", "b"), "simhash-between")
             edges = cut(edges.unionByName(decide(rest, nodes.select("node", "_least"))), "simhash-all")
     if not edges.limit(1).count():
@@ -495,12 +504,9 @@ def sketch(text: str) -> tuple[int, ...]:
         return _majority([h, pairs, pairs]), *_least(_mixed(_shingles(h, CHECK_SHINGLE), 2))
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, own: DataFrame) -> DataFrame:
-    """Those ``pairs`` (a, b) of nodes whose texts, of least id each, share 0.8 of their sets of 5-word shingles."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _sets(ends: DataFrame, nodes: DataFrame, own: DataFrame) -> DataFrame:
+    """The set ``_s`` of 5-word shingles of each node of ``ends``, from its text of least id."""
     ends = cut(ends.join(nodes, "node").select("node", F.col("_least._key").alias("_k"), F.col("_least._th").alias("_h")), "simhash-doubt")
-    if not ends.limit(1).count():
-        return pairs
     more = "".join(f", get(_w, i + {j})" for j in range(1, CHECK_SHINGLE))
     shingles = F.expr(
         f"CASE WHEN size(_w) < {CHECK_SHINGLE} THEN array(xxhash64(array_join(_w, ' '))) ELSE "
@@ -508,7 +514,24 @@ def _alike(pairs: DataFrame, nodes: DataFrame, own: DataFrame) -> DataFrame:
     )
     found = own.select("_key", "_th", "_text").join(ends, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_th") == F.col("_h")))
     found = found.groupBy("node").agg(F.first("_text").alias("_text")).select("node", words(ascii_lower(F.col("_text")), SPACED_WORDS).alias("_w"))
-    sets = cut(found.select("node", shingles.alias("_s")), "simhash-sets")
+    return cut(found.select("node", shingles.alias("_s")), "simhash-sets")
+
+
+def _shares(ends: DataFrame, nodes: DataFrame, own: DataFrame) -> DataFrame:
+    """Of each node's set, its ``size`` and how many members (``shared``) another node of ``ends`` has too."""
+    sets = _sets(ends, nodes, own).withColumn("_i", F.monotonically_increasing_id())
+    sets = cut(sets, "simhash-numbered")
+    alone = sets.select("_i", F.explode("_s").alias("_x")).groupBy("_x").agg(F.min("_i").alias("_i"), F.count("*").alias("_c")).where("_c = 1").groupBy("_i").agg(F.count("*").alias("_n"))
+    size = F.size("_s").cast("long")
+    return sets.join(alone, "_i", "left").select("node", size.alias("size"), (size - F.coalesce("_n", F.lit(0))).alias("shared"))
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, own: DataFrame) -> DataFrame:
+    """Those ``pairs`` (a, b) of nodes whose texts, of least id each, share 0.8 of their sets of 5-word shingles."""
+    if not pairs.limit(1).count():
+        return pairs
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _sets(ends, nodes, own)
     met = pairs.join(sets.select(F.col("node").alias("a"), F.col("_s").alias("_x")), "a").join(sets.select(F.col("node").alias("b"), F.col("_s").alias("_y")), "b")
     # the common ones are at least 4/5 of all of both
     return met.where("9 * size(array_intersect(_x, _y)) >= 4 * (size(_x) + size(_y))").select("a", "b")
@@ -533,7 +556,7 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: i
 
     prints = map_texts(own, "_text", ["_null", "_key", "_th"], ", ".join(f"{c} long" for c in names), work)
     prints = cut(prints.select(*names, F.struct("_null", "_key", "_th").alias("_id")), "simhash")
-    chosen = _grouped(prints, names, radius, sure, allow, lambda pairs, nodes: _alike(pairs, nodes, own)).select("component_id").distinct().select("component_id.*")
+    chosen = _grouped(prints, names, radius, sure, allow, lambda pairs, nodes: _alike(pairs, nodes, own), lambda ends, nodes: _shares(ends, nodes, own)).select("component_id").distinct().select("component_id.*")
     chosen = chosen.select(F.col("_key").alias("_ck"), F.col("_th").alias("_ct"))
     kept = own.join(chosen, F.col("_key").eqNullSafe(F.col("_ck")) & (F.col("_th") == F.col("_ct")), "left_semi")
     return kept.groupBy("_key", "_th").agg(F.first("_row").alias("_row")).select("_row.*")
