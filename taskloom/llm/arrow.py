@@ -57,5 +57,8 @@ def map_texts(docs: DataFrame, text: str, keep: list[str], fields: str, work: Ca
                 got = work(texts)
                 arrays = [part.column(c) for c in keep] + [pa.array(got[n], type=t) for n, t in zip(names, types)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *names])
+            # else the pool keeps what earlier batches and stages took of a worker's memory
+            del batch, part, texts, got, arrays
+            pa.default_memory_pool().release_unused()
 
     return docs.selectExpr(*[f"`{c}`" for c in keep], f"`{text}` as {body}").mapInArrow(run, out)

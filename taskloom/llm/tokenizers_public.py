@@ -20,6 +20,7 @@ SPACE = "▁"
 #: Bytes that a worker's cache holds by estimate before it is emptied, and code points of the longest entry.  They bound
 #: memory only: results don't depend on them.
 CACHE_BYTES = 96_000_000
+PIECE_CACHE_BYTES = 56_000_000
 LONGEST = 64
 #: What an entry takes besides four bytes for each code point and id.
 _ENTRY = 200
@@ -27,6 +28,8 @@ _ENTRY = 200
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 CHUNK = 400_000  # symbols encoded at once
+#: Code points of texts that the piece encoder holds cut into words at once (a longer single text alone).
+CUT_AT_ONCE = 1_000_000
 CUT = re.compile(r"\s*\S+|\s+")
 ODD = re.compile("[\x1c-\x1f]")
 
@@ -141,6 +144,16 @@ class PieceModel:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, without begin and end ids."""
+        out: list[bytes] = []
+        begin = held = 0
+        for i, t in enumerate(texts):
+            if held and held + len(t) > CUT_AT_ONCE:
+                out += self._encode(texts[begin:i])
+                begin, held = i, 0
+            held += len(t)
+        return out + self._encode(texts[begin:])
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = []
         for t in texts:
             if not t:
@@ -150,7 +163,7 @@ class PieceModel:
             else:
                 cut.append((SPACE + t.replace(" ", " " + SPACE)).split(" "))
         cache = self.cache
-        if self.held > CACHE_BYTES:
+        if self.held > PIECE_CACHE_BYTES:
             cache.clear()
             self.held = 0
         new = set()
