@@ -58,9 +58,14 @@ def lifecycle_fill(events: DataFrame) -> DataFrame:
 
 def gantt_rows(events: DataFrame) -> DataFrame:
     """Bars for ended tasks and zero-width markers for deferrals."""
-    bars = events.where(F.col("event_type").isin("COMPLETED", "FAILED") & F.col("dispatch_at").isNotNull()).select("task_id", F.lit("bar").alias("kind"), F.col("dispatch_at").alias("start_at"), F.col("complete_at").alias("end_at"), F.when(F.col("event_type") == "COMPLETED", "green").otherwise("red").alias("colour"))
-    marks = events.where(F.col("event_type") == "DEFERRED").select("task_id", F.lit("marker").alias("kind"), F.col("event_at").alias("start_at"), F.col("event_at").alias("end_at"), F.lit("orange").alias("colour"))
-    return bars.unionByName(marks)
+    kind = F.col("event_type")
+    mark = kind == "DEFERRED"
+    shown = events.where(mark | (kind.isin("COMPLETED", "FAILED") & F.col("dispatch_at").isNotNull()))
+    return shown.select(
+        "task_id", F.when(mark, "marker").otherwise("bar").alias("kind"),
+        F.when(mark, F.col("event_at")).otherwise(F.col("dispatch_at")).alias("start_at"), F.when(mark, F.col("event_at")).otherwise(F.col("complete_at")).alias("end_at"),
+        F.when(mark, "orange").when(kind == "COMPLETED", "green").otherwise("red").alias("colour"),
+    )
 
 
 def last_n(events: DataFrame, n: int, kind: str | None = None) -> DataFrame:
