@@ -70,3 +70,11 @@ def small(df: DataFrame, most: int) -> tuple[DataFrame, bool]:
     if df.limit(most + 1).count() <= most:
         return F.broadcast(df), True
     return df, False
+
+
+def picked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` whose number ``_rid`` is in ``ids``, without a shuffle of ``rows`` as long as the bit mask, of 64 numbers a row, has
+    four million rows or fewer (numbers that are dense in each partition: some 256 million)."""
+    word, bit = F.shiftright("_rid", 6).alias("_word"), F.expr("shiftleft(1L, cast(_rid & 63 as int))")
+    mask = cut(ids.groupBy(word).agg(F.bit_or(bit).alias("_mask")), "mask")
+    return rows.select("*", word).join(small(mask, 4_000_000)[0], "_word").where("getbit(_mask, cast(_rid & 63 as int)) = 1").select(*rows.columns)

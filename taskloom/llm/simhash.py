@@ -12,8 +12,8 @@ A filing place sends on a spanning forest of its verified links, not all pairs.
 compared, the forest's pairs are compared first, then all pairs that still lie between two groups.  A place with more than
 ``PLACE`` fingerprints is dealt over a grid of cells: each holds a part of the filed ones and sees a part of the probes,
 so every pair meets in some cell and no task holds the whole place.  A cell takes its probes ``HOLD`` rows at a
-time.  Components are found by joins of labels and edges, with the state written to shared storage after each round;
-in these joins one side has one row a key, and a hub on the other is split by Spark's adaptive skew join.
+time.  Components are found by joins of labels and edges, with the state written to shared storage after each round,
+and edges are drawn anew between the labels, so that few are left after the first; in these joins one side has one row a key, and a hub on the other is split by Spark's adaptive skew join.
 Documents of hot fingerprints, and nodes of hot components, get their names by broadcast (``hot_join``).
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; a text of one
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_texts
-from .scratch import cut, hot_join, small
+from .scratch import cut, hot_join, picked, small
 from .text import SPACED_WORDS, ascii_lower, words
 
 SHINGLE = 4
@@ -378,18 +378,31 @@ def links(nodes: DataFrame, groups: list[list[int]], thresholds: list[int], radi
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) of all nodes with an edge (columns a, b): labels fall to the least one, and jump along."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    state = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
+    """(node, comp) of all nodes with an edge (columns a, b): comp is the least node in reach.
+
+    In each round nodes fall to their least neighbour, pointers are followed to their ends, and edges that still lie between
+    two ends are drawn between those, each once.  Nodes at least halve in two rounds, and edges never grow."""
+    once = lambda e: e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges, state = cut(once(edges), "edges"), None
     while True:
-        near = both.join(state.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("_near"))
-        step = state.join(near, "node").select("node", F.col("comp").alias("_old"), F.least("comp", "_near").alias("comp"))
-        step = cut(step, "labels")
-        jump = step.select(F.col("node").alias("comp"), F.col("comp").alias("_far"))
-        state = cut(step.join(jump, "comp", "left").select("node", "_old", F.least(F.coalesce("_far", "comp"), "comp").alias("comp")), "labels")
-        if not state.where(F.col("_old") != F.col("comp")).limit(1).count():
-            return state.select("node", "comp")
-        state = state.select("node", "comp")
+        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
+        while True:
+            far = up.select(F.col("node").alias("comp"), F.col("comp").alias("_far"))
+            step = cut(up.join(far, "comp").select("node", F.col("comp").alias("_old"), F.col("_far").alias("comp")), "labels")
+            up = step.select("node", "comp")
+            if not step.where(F.col("_old") != F.col("comp")).limit(1).count():
+                break
+        if state is None:
+            state = up
+        else:
+            far = up.select(F.col("node").alias("comp"), F.col("comp").alias("_far"))
+            state = cut(state.join(far, "comp", "left").select("node", F.coalesce("_far", "comp").alias("comp")), "labels")
+        for end in ("a", "b"):
+            edges = edges.join(up.select(F.col("node").alias(end), F.col("comp").alias("_far")), end).withColumn(end, F.col("_far")).drop("_far")
+        edges = cut(once(edges.where("a != b")), "edges")
+        if not edges.limit(1).count():
+            return state
 
 
 def _grouped(prints: DataFrame, names: list[str], radius: int, sure: int = 0, allow: int = 0, decide: Callable[[DataFrame, DataFrame], DataFrame] | None = None, shares: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -415,11 +428,13 @@ def _grouped(prints: DataFrame, names: list[str], radius: int, sure: int = 0, al
             # pairs that a forest left out, as far as the true ones don't join their trees
             tree = left.withColumn("tree", F.monotonically_increasing_id())
             if edges.limit(1).count():
-                joined = cut(components(edges).join(left, "node"), "simhash-joined")
+                known = components(edges)
+                joined = cut(known.join(left, "node"), "simhash-joined")
                 named = joined.groupBy("comp").agg(F.min("node").alias("_first"))
                 ids = cut(tree, "simhash-tree")
                 first = joined.join(named, "comp").join(ids.select(F.col("node").alias("_first"), F.col("tree").alias("_tree")), "_first").select("node", "_tree")
                 tree = ids.join(first, "node", "left").select("node", F.coalesce("_tree", "tree").alias("tree"))
+                edges = known.select(F.col("node").alias("a"), F.col("comp").alias("b"))  # joins the same nodes, with fewer edges
             tree = cut(tree, "simhash-rest")
             bounds = shares(tree.select("node"), nodes.select("node", "_least")) if shares else tree.select("node", F.lit(1 << 32).alias("size"), F.lit(1 << 32).alias("shared"))
             rest = links(cut(tree.join(bounds, "node").select("node.*", *REST), "simhash-bounds"), groups, thresholds, radius, sure=sure, allow=allow)
@@ -506,14 +521,13 @@ def sketch(text: str) -> tuple[int, ...]:
 
 def _sets(ends: DataFrame, nodes: DataFrame, own: DataFrame) -> DataFrame:
     """The set ``_s`` of 5-word shingles of each node of ``ends``, from its text of least id."""
-    ends = cut(ends.join(nodes, "node").select("node", F.col("_least._key").alias("_k"), F.col("_least._th").alias("_h")), "simhash-doubt")
+    ends = cut(ends.join(nodes, "node").select("node", F.col("_least._rid").alias("_rid")), "simhash-doubt")
     more = "".join(f", get(_w, i + {j})" for j in range(1, CHECK_SHINGLE))
     shingles = F.expr(
         f"CASE WHEN size(_w) < {CHECK_SHINGLE} THEN array(xxhash64(array_join(_w, ' '))) ELSE "
         f"array_distinct(slice(transform(_w, (x, i) -> xxhash64(concat_ws(' ', x{more}))), 1, size(_w) - {CHECK_SHINGLE - 1})) END"
     )
-    found = own.select("_key", "_th", "_text").join(ends, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_th") == F.col("_h")))
-    found = found.groupBy("node").agg(F.first("_text").alias("_text")).select("node", words(ascii_lower(F.col("_text")), SPACED_WORDS).alias("_w"))
+    found = picked(own.select("_rid", "_text"), ends).join(ends, "_rid").select("node", words(ascii_lower(F.col("_text")), SPACED_WORDS).alias("_w"))
     return cut(found.select("node", shingles.alias("_s")), "simhash-sets")
 
 
@@ -544,19 +558,21 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: i
     ten bits and more of 64, which no pigeonhole reaches at a bearable cost; so candidates come from a fingerprint over
     words and word pairs, which a changed word alters less (``radius`` bits), and are verified by ``CHECK_BITS`` min-wise
     bits of their sets of 5-word shingles: a link if ``sure`` of them differ or fewer; up to ``allow``, pairs of least
-    distance that would join two groups in a filing place are counted out over the sets themselves.
+    distance that would join two groups in a filing place are counted out over the sets themselves.  Rows are numbered and
+    stored once; from then on numbers are joined, and no text is shuffled but those that are counted out.
     Groups are chains of such links.  All columns stay, whatever their names; null, empty and blank texts are copies of
     each other; no documents give no rows."""
     names = ["fp", *CHECKS]
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{key}`").isNull().alias("_null"), F.col(f"`{key}`").alias("_key"), F.xxhash64(f"`{text}`").alias("_th"), F.col(f"`{text}`").alias("_text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.monotonically_increasing_id().alias("_rid"))
+    rows = cut(rows, "simhash-rows")  # a number stays with its row, whatever the order of a later scan
+    key_, text_ = (F.col("_row").getField(c) for c in (key, text))
+    own = rows.select("_rid", key_.isNull().alias("_null"), key_.alias("_key"), F.xxhash64(text_).alias("_th"), text_.alias("_text"))
 
     def work(texts):
         made = [sketch(t) for t in texts]
         return {c: [m[k] for m in made] for k, c in enumerate(names)}
 
-    prints = map_texts(own, "_text", ["_null", "_key", "_th"], ", ".join(f"{c} long" for c in names), work)
-    prints = cut(prints.select(*names, F.struct("_null", "_key", "_th").alias("_id")), "simhash")
-    chosen = _grouped(prints, names, radius, sure, allow, lambda pairs, nodes: _alike(pairs, nodes, own), lambda ends, nodes: _shares(ends, nodes, own)).select("component_id").distinct().select("component_id.*")
-    chosen = chosen.select(F.col("_key").alias("_ck"), F.col("_th").alias("_ct"))
-    kept = own.join(chosen, F.col("_key").eqNullSafe(F.col("_ck")) & (F.col("_th") == F.col("_ct")), "left_semi")
-    return kept.groupBy("_key", "_th").agg(F.first("_row").alias("_row")).select("_row.*")
+    prints = map_texts(own, "_text", ["_null", "_key", "_th", "_rid"], ", ".join(f"{c} long" for c in names), work)
+    prints = cut(prints.select(*names, F.struct("_null", "_key", "_th", "_rid").alias("_id")), "simhash")
+    chosen = _grouped(prints, names, radius, sure, allow, lambda pairs, nodes: _alike(pairs, nodes, own), lambda ends, nodes: _shares(ends, nodes, own))
+    return picked(rows, chosen.select("component_id._rid")).select("_row.*")
